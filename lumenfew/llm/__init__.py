@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenfew.llm import mixing, packing, quality, simhash, syncmers, tokencount, toxicity
+from lumenfew.llm import mixing, packing, pitman_yor, quality, simhash, suffix, syncmers, tokencount, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,8 +15,10 @@ def queries() -> dict[str, Query]:
     return {
         "op1_mixing": mixing.op1_mixing,
         "op2_packing": packing.op2_packing,
+        "op3_suffix_dedup": suffix.op3_suffix_dedup,
         "op4_token_counts": tokencount.op4_token_counts,
         "op5_toxicity": toxicity.op5_toxicity,
+        "op7_language_model": pitman_yor.op7_language_model,
         "op8_simhash": simhash.op8_simhash,
         "op9_syncmers": syncmers.op9_syncmers,
         "op10_quality_rules": quality.op10_quality_rules,
