@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenfew.llm import mixing, packing, pitman_yor, quality, simhash, suffix, syncmers, tokencount, toxicity
+from lumenfew.llm import mixing, packing, pitman_yor, quality, simhash, suffix, syncmers, tokencount, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Query]:
         "op3_suffix_dedup": suffix.op3_suffix_dedup,
         "op4_token_counts": tokencount.op4_token_counts,
         "op5_toxicity": toxicity.op5_toxicity,
+        "op6_warc": warc.op6_warc,
         "op7_language_model": pitman_yor.op7_language_model,
         "op8_simhash": simhash.op8_simhash,
         "op9_syncmers": syncmers.op9_syncmers,

@@ -64,8 +64,9 @@ def append_arrow(df: DataFrame, column: str, fields: list[tuple[str, str]], fn,
 
     names = [name for name, _ in fields]
     kept = [c for c in (df.columns if keep is None else keep) if c not in names]
-    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(column).alias("__text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*[f"`{c}`" for c in kept]).schema] + [f"`{n}` {t}" for n, t in fields])
+    # plain names on the way, whatever the columns are called
+    source = df.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(kept)], F.col(column).alias("__text"))
+    schema = ", ".join([f"`{name}` {f.dataType.simpleString()}" for name, f in zip(kept, source.schema, strict=False)] + [f"`{n}` {t}" for n, t in fields])
 
     def run(batches):
         from lumenfew.llm.textvec import slices

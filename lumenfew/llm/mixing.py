@@ -103,7 +103,7 @@ def schedule(goals: DataFrame, block: int = BLOCK) -> DataFrame:
     short = bounds.join(got, "s", "left").withColumn("got", F.coalesce("got", F.lit(0))).where("got < slots")
     late = short.select("s", "got", F.explode(F.expr("sequence(got, slots - 1)")).alias("rank")).select((F.lit(n) + F.col("rank") - F.col("got")).alias("t"), "s", "rank")
     every = drawn.unionByName(late).join(bounds, "s").withColumn("epoch", F.floor(F.col("rank") / F.col("n_blocks"))).withColumn("block", F.col("rank") % F.col("n_blocks"))
-    words = F.least(F.lit(block), F.col("wanted") - F.col("epoch") * F.col("source_size") - F.col("block") * block)
+    words = F.least(F.lit(block), F.col("source_size") - F.col("block") * block, F.col("wanted") - F.col("epoch") * F.col("source_size") - F.col("block") * block)
     return every.select("t", "source", "epoch", "block", words.cast("long").alias("words"))
 
 
@@ -138,6 +138,31 @@ def taken(ordered: DataFrame, goals: DataFrame, block: int = BLOCK) -> DataFrame
     return found.join(per, found.source.eqNullSafe(per.src)).drop("src")
 
 
+def mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
+    """The documents as the mix takes them, in the order of the schedule, with the columns of ``docs``.
+
+    A document comes once for each epoch that takes words of it; the one at a source's
+    target keeps its first words only. ``n_chars``, where there is one, is counted anew.
+    """
+    sized = staged(sizes(docs, ["doc_id", "source"]), "sizes")
+    ordered = staged(shuffled(sized), "shuffled")
+    each = mix(ordered, staged(targets(sized, weights, share, epochs), "targets")).groupBy(F.col("source").alias("s"), F.col("begin").alias("b"), "epoch").agg(F.min("t").alias("__t"), F.sum("taken").alias("__taken"))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    # rows that share id and text are told apart by their number, in the order of their source
+    nth = lambda id_, tie: Window.partitionBy(id_, tie).orderBy(F.col("source").asc_nulls_last())
+    numbered = ordered.where("size > 0").select("source", "begin", name.alias("__id"), F.col("tie").alias("__tie")).withColumn("__n", F.row_number().over(nth("__id", "__tie")))
+    takes = each.join(numbered, F.col("s").eqNullSafe(F.col("source")) & (F.col("b") == F.col("begin"))).select(F.col("__id").alias("__i"), F.col("__tie").alias("__h"), F.col("__n").alias("__m"), "__t", "__taken")
+    mine = docs.withColumn("__id", name).withColumn("__tie", F.xxhash64("text")).withColumn("__n", F.row_number().over(nth("__id", "__tie")))
+    # the numbers are compared outside the join's keys, so that the window's partitioning serves the join
+    rows = mine.join(takes, (F.col("__id") == F.col("__i")) & (F.col("__tie") == F.col("__h")) & (F.abs(F.col("__n") - F.col("__m")) == 0))
+    parts = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])", -1)
+    cut = F.regexp_count(F.col("text"), F.lit(WORD)) > F.col("__taken")
+    rows = rows.withColumn("text", F.when(cut, F.array_join(F.slice(parts, F.lit(1), F.col("__taken").cast("int")), "")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.char_length("text").cast("long"))
+    return rows.repartitionByRange("__t").sortWithinPartitions("__t").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document."""
     sized = staged(sizes(table(spark, sf_dir, "documents"), ["doc_id", "source"]), "sizes")
@@ -146,7 +171,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = r"""
-WITH sized AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0) AS BIGINT) AS size FROM documents),
+WITH sized AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 named AS (SELECT *, CAST([5, 2, 1][CAST((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1 AS INT)] AS DOUBLE) AS w FROM per),
 levels AS (

@@ -92,9 +92,10 @@ def pieces(docs: DataFrame, path: str | None = None, longest: int = LONGEST, clo
     names = [c for c in (docs.columns if keep is None else keep) if c not in ("start", "length", "ids", "doc_tokens", "sequence_id", "offset", "bucket")]
     found = append_arrow(docs, "text", [("__pieces", "array<struct<start:bigint,length:bigint,ids:binary>>")], encode, names)
     last = F.element_at("__pieces", -1)
-    flat = found.select(*names, (last["start"] + last["length"]).alias("doc_tokens"), F.explode("__pieces").alias("p"))
+    own = [F.col(f"`{c}`") for c in names]
+    flat = found.select(*own, (last["start"] + last["length"]).alias("doc_tokens"), F.explode("__pieces").alias("p"))
     bucket = F.log2(F.col("p.length").cast("double")).cast("int")
-    return flat.select(*names, "p.start", "p.length", "p.ids", "doc_tokens", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"), bucket.alias("bucket"))
+    return flat.select(*own, "p.start", "p.length", "p.ids", "doc_tokens", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"), bucket.alias("bucket"))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -181,6 +181,24 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BI
     return prints.join(groups(prints, max_bits), "simhash")
 
 
+def representatives(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: the one of the least id (nulls last, ties by a hash of the text).
+
+    Only ids, fingerprints and text hashes are gathered; whole rows are joined by their own
+    id, so a large group's rows stay spread.
+    """
+    prints = staged(with_fingerprints(docs.select("doc_id", "text", F.xxhash64("text").alias("tie")), size, keep=["doc_id", "tie"]), "simhash")
+    best = prints.groupBy("simhash").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("best"))
+    best = staged(best, "best")
+    found = components(links(best.select("simhash"), max_bits))
+    rooted = best.join(found, best.simhash == found.node, "left").select("best", F.coalesce("root", "simhash").alias("root"))
+    kept = rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.doc_id").alias("__id"), F.col("best.tie").alias("__tie"))
+    rows = docs.withColumn("__hash", F.xxhash64("text")).join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__tie")), "left_semi")
+    if not prints.groupBy("doc_id", "tie").count().where("count > 1").isEmpty():
+        rows = rows.dropDuplicates(["doc_id", "__hash"])
+    return rows.drop("__hash")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")

@@ -362,14 +362,14 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 def removed(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated strings taken out of ``text`` and ``n_chars`` set anew; a character that is cut in part goes whole."""
-    lost = repeats(docs).select(F.col("key").alias("__key"), "copies", "kept")
-    whole = (F.col("copies") > 1) & (F.octet_length("text") >= LENGTH)
-    joined = _keyed(docs).join(lost, F.col("key") == F.col("__key"), "left")
-    rest = F.when(whole, F.lit("")).when(F.col("kept").isNotNull(), F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit(""))).otherwise(F.col("text"))
+    lost = repeats(docs).select(F.col("key").alias("__key"), F.col("copies").alias("__copies"), F.col("kept").alias("__kept"))
+    whole = (F.col("__copies") > 1) & (F.octet_length("text") >= LENGTH)
+    joined = docs.withColumn("__own", F.unhex(F.md5(text_or_empty()))).join(lost, F.col("__own") == F.col("__key"), "left")
+    rest = F.when(whole, F.lit("")).when(F.col("__kept").isNotNull(), F.replace(F.make_valid_utf8(F.col("__kept").cast("string")), F.lit("\ufffd"), F.lit(""))).otherwise(F.col("text"))
     out = joined.withColumn("text", rest)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast("long"))
-    return out.select(*docs.columns)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,7 +60,7 @@ def _features(column: pa.Array):
     return (pa.array([bucket[i:j].astype(np.int32).tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()),)
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 200, rate: float = 0.05, decay: float = 1e-4) -> Model:
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 200, rate: float = 0.05, decay: float = 1e-3) -> Model:
     """Minimise the non-negative risk with logistic loss; each feature is scaled by its log-odds in P against U."""
     if not positive or not unlabelled or prior <= 0:
         return Model(np.zeros(BUCKETS, np.float32), -30.0)

@@ -126,7 +126,7 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
 def derivatives(records: DataFrame) -> DataFrame:
     """Each response in ``record`` (binary) with its facts, ``conversion`` and ``metadata`` (binary records); other types give no row."""
     keep = [c for c in records.columns if c not in ("record", "conversion", "metadata", *[f.split()[0] for f in _FACTS.split(", ")])]
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in records.select(*keep).schema], _FACTS, "conversion binary, metadata binary"])
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in records.schema if f.name in keep], _FACTS, "conversion binary, metadata binary"])
     names = [f.split()[0] for f in _FACTS.split(", ")]
     kinds = [pa.string()] * 8 + [pa.int32()]
 
@@ -144,7 +144,7 @@ def derivatives(records: DataFrame) -> DataFrame:
             index = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([*(b.column(i).take(index) for i in range(len(keep))), *(pa.array([f[n] for f in facts], k) for n, k in zip(names, kinds, strict=True)), pa.array(first, pa.binary()), pa.array(second, pa.binary())], names=[*keep, *names, "conversion", "metadata"])
 
-    return records.select(*keep, "record").mapInArrow(run, schema)
+    return records.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(keep)], "record").mapInArrow(run, schema)
 
 
 def write(records: DataFrame, column: str, path: str, compressed: bool = False) -> None:
@@ -168,5 +168,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page's derivatives: identifiers, digests, text, and the metadata record's content."""
     made = derivatives(responses(table(spark, sf_dir, "pages")))
-    body = F.expr("decode(substring(metadata, instr(decode(metadata, 'utf-8'), '\r\n\r\n') + 4), 'utf-8')")
+    whole = F.decode("metadata", "utf-8")
+    body = F.substr(whole, F.instr(whole, "\r\n\r\n") + 4)
     return made.select(F.col("page_id").cast("long").alias("page_id"), *[f.split()[0] for f in _FACTS.split(", ")], body.alias("metadata_json"), F.octet_length("conversion").cast("long").alias("conversion_bytes"))
