@@ -81,28 +81,32 @@ def _features(column: pa.Array):
     return pa.array(index, pa.binary()), pa.array(value, pa.binary())
 
 
-def _fit(rows: list, steps: int = 80, rate: float = 1.5, decay: float = 1e-6) -> tuple[np.ndarray, float]:
-    """Full-batch logistic regression with Adam steps over packed sparse rows."""
-    at = np.concatenate([np.frombuffer(r.buckets, np.int32) for r in rows])
-    x = np.concatenate([np.frombuffer(r.value, np.float32) for r in rows])
-    sizes = np.array([len(r.buckets) // 4 for r in rows])
+def _fit(rows: list, steps: int = 80, rate: float = 1.5, decay: float = 1e-6, chunk: int = 200) -> tuple[np.ndarray, float]:
+    """Full-batch logistic regression with Adam steps over packed sparse rows, ``chunk`` rows at a time."""
     y = np.array([r.y for r in rows], np.float64)
-    row = np.repeat(np.arange(len(rows)), sizes)
-    used, at = np.unique(at, return_inverse=True)
     share = y.mean()
     per_row = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) / len(y)
-    w, b = np.zeros(len(used)), 0.0
-    m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
+    parts = []
+    for i in range(0, len(rows), chunk):
+        own = rows[i : i + chunk]
+        sizes = [len(r.buckets) // 4 for r in own]
+        parts.append((slice(i, i + len(own)), np.repeat(np.arange(len(own), dtype=np.int32), sizes), np.frombuffer(b"".join(r.buckets for r in own), np.int32), np.frombuffer(b"".join(r.value for r in own), np.float32)))
+    seen = np.zeros(BUCKETS, bool)
+    for _, _, at, _ in parts:
+        seen[at] = True
+    w, b = np.zeros(BUCKETS), 0.0
+    m, v = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
     for t in range(1, steps + 1):
-        z = np.bincount(row, x * w[at], len(rows)) + b
-        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * per_row
-        grad = np.append(np.bincount(at, x * g[row], len(used)) + decay * w, g.sum())
+        grad = np.append(decay * w, 0.0)
+        for which, row, at, x in parts:
+            z = np.bincount(row, x * w[at], which.stop - which.start) + b
+            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[which]) * per_row[which]
+            grad[:-1] += np.bincount(at, x * g[row], BUCKETS)
+            grad[-1] += g.sum()
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-7)
-        w, b = w - step[:-1], b - step[-1]
-    weights = np.zeros(BUCKETS, np.float32)
-    weights[used] = w
-    return weights, float(b)
+        w, b = w - np.where(seen, step[:-1], 0), b - step[-1]
+    return w.astype(np.float32), float(b)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:

@@ -40,7 +40,9 @@ LENGTH = 400
 #: Bytes of an anchor's piece (a power of two).
 GRAM = 128
 #: Text bytes of a shard, about.
-SHARD = 2 << 20
+SHARD = 1 << 20
+#: Text bytes that are hashed at once, about.
+PART = 1 << 20
 #: Digests in a range, about.
 RANGE = 1_000_000
 _C = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
@@ -333,7 +335,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     def find(batches):
         seen = set()  # a copied text once a task
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PART):
                 keys = part.column("key").to_pylist()
                 fresh = [k not in seen and not seen.add(k) for k in keys]
                 part = part.filter(pa.array(fresh))
