@@ -1,0 +1 @@
+"""Few-shot quantitation over fixed-length arrays, as Spark DataFrame jobs."""

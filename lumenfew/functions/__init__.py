@@ -1,0 +1 @@
+"""Column functions: arrays, text and aggregates. All stay in the JVM."""

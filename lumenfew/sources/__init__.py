@@ -1,0 +1 @@
+"""Readers of heterogeneous measurement files, and sinks."""

@@ -1,0 +1 @@
+"""All jobs are batch jobs that resume by an anti-join (``sources.sinks.pending``); there is no streaming operator."""
