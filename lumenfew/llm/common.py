@@ -35,7 +35,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
+    spark = session(df.sparkSession)
     path = f"{shared_dir(spark)}/lumenfew/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -4,14 +4,16 @@
    equal strings have equal ones. The positions of a text fall into runs with their
    least hash at one place, and only runs whose hash is another run's too can hold a repeated string. This
    loses nothing and leaves the other text out of the sorting.
-2. Shards. The text around such runs is gathered into shards of about ``SHARD`` bytes, and
-   each gets a suffix array by Larsson-Sadakane refinement: suffixes are grouped by eight
+2. Shards. The text around such runs is gathered into shards of about ``SHARD`` bytes, in
+   the order of the texts' least shared anchors, so that texts with a passage in common
+   mostly meet in one shard and list it once (a range partitioning cuts a frequent anchor
+   too). An anchor that one shard alone has needs no merging. Each shard gets a suffix array by Larsson-Sadakane refinement: suffixes are grouped by eight
    bytes, then only groups that are still tied are sorted, by the group of the suffix h
    further on, with h doubling. Common prefixes follow in Kasai's text order: where the
    bytes before a suffix and before its predecessor agree, the common prefix is one less
    than that of the suffix before; the rest are compared. Neighbours that share ``LENGTH``
    bytes or more form a class, which is repeated within the shard.
-3. Merging. Each shard lists its classes once each, as sorted 96-bit digests of their
+3. Merging. Each shard lists its classes whose anchor another shard has too, once each, as sorted 96-bit digests of their
    strings, cut into ranges of the digest. A range meets the lists of all shards in one
    task and finds by binary search which classes other shards have too. However often a
    string occurs, a shard lists it once, and digests fall evenly into ranges.
@@ -210,57 +212,79 @@ def merged_intervals(begin: np.ndarray, count: np.ndarray, length: int = LENGTH)
     return out
 
 
+def covered(at: np.ndarray, end: int, length: int = LENGTH) -> np.ndarray:
+    """The bytes that strings from the positions ``at`` on cover, as (begin, end) rows."""
+    edge = np.zeros(end + length + 1, np.int32)
+    np.add.at(edge, at, 1)
+    np.add.at(edge, at + length, -1)
+    inside = np.concatenate([[0], (np.cumsum(edge) > 0).astype(np.int8), [0]])
+    return np.flatnonzero(np.diff(inside)).reshape(-1, 2)
+
+
 _SHARDS = "shard binary, `range` int, digests binary, checks binary, positions binary, key binary, text binary, pieces binary"
 
 
+def _assign(batches):
+    """Rows (key, text, runs) in order, each key once in a row, to rows with the shard that they fall into (its first key)."""
+    shard, weight, last = None, 0, None
+    for batch in batches:
+        keys, own = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+        keep, shards = [], []
+        for key, cuts in zip(keys, own, strict=True):
+            keep.append(key != last)
+            if key != last:
+                if shard is None or weight >= SHARD:
+                    shard, weight = key, 0
+                weight += sum(j - i for i, j in merged_intervals(np.array([r["begin"] for r in cuts]), np.array([r["n"] for r in cuts])))
+                last = key
+            shards.append(shard)
+        out = pa.RecordBatch.from_arrays([pa.array(shards, pa.binary()), *batch.columns], names=["shard", "key", "text", "runs"])
+        yield out.filter(pa.array(keep))
+
+
 def _build(n_ranges: int):
-    """Rows (key, text, runs), each key once in a row, to the rows of their shards."""
+    """One shard's texts, and the runs whose anchor other shards have too, to the rows of the shard."""
 
-    def flush(held: list):
+    kinds = [pa.binary(), pa.int32(), *[pa.binary()] * 6]
+
+    def run(texts: pa.Table, shared: pa.Table) -> pa.Table:
+        if not texts.num_rows:
+            return pa.table({f.split()[0].strip("`"): pa.array([], k) for f, k in zip(_SHARDS.split(", "), kinds, strict=True)})
+        across = set(zip(shared["of_key"].to_pylist(), shared["of_begin"].to_pylist(), strict=True))
         parts, pieces, at = [], [], 0
-        segment, ends = [], []
-        for _, text, cuts in held:
+        segment, ends, wanted = [], [], []
+        keys = texts["key"].to_pylist()
+        for key, text, own_runs in zip(keys, texts["text"], texts["runs"].to_pylist(), strict=True):
+            text = text.as_py()
             own = []
-            for i, j in cuts:
+            for i, j in merged_intervals(np.array([r["begin"] for r in own_runs]), np.array([r["n"] for r in own_runs])):
                 own.append((i, at, j - i))
                 parts += [np.frombuffer(text, np.uint8, j - i, i), np.zeros(8, np.uint8)]
                 segment += [np.full(j - i, len(ends), np.int32), np.full(8, -1, np.int32)]
                 ends.append(at + j - i)
+                wanted += [(at + r["begin"] - i, r["n"]) for r in own_runs if i <= r["begin"] < j and (key, r["begin"]) in across]
                 at += j - i + 8
             pieces.append(np.array(own, np.int64).tobytes())
         data, segment, ends = np.concatenate(parts), np.concatenate(segment), np.array(ends, np.int64)
-        shard = held[0][0]
+        shard = texts["shard"][0].as_py()
         repeated, first, size = shard_classes(data, segment, ends)
-        rows = [(shard, -2, None, None, None, key, text, piece) for (key, text, _), piece in zip(held, pieces, strict=True)]
-        rows.append((shard, -1, None, None, repeated.astype(np.uint32).tobytes(), None, None, None))
+        rows = [(shard, -2, None, None, None, key, text.as_py(), piece) for key, text, piece in zip(keys, texts["text"], pieces, strict=True)]
+        rows.append((shard, -1, None, None, covered(repeated, at).tobytes(), None, None, None))
+        listed = np.zeros(len(data), bool)
+        for i, n in wanted:
+            listed[i : i + n] = True
+        first, size = first[listed[first]], size[listed[first]]
         wide, narrow = digests(data, first)
         order = np.argsort(wide, kind="stable")
         wide, narrow = wide[order], narrow[order]
         place = np.where(size == 1, first, NONE).astype(np.uint32)[order]
         which = ((wide >> np.uint64(32)) * np.uint64(n_ranges)) >> np.uint64(32)
         bounds = np.searchsorted(which, np.arange(n_ranges + 1))
-        for r, (i, j) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-            if j > i:
-                rows.append((shard, r, wide[i:j].tobytes(), narrow[i:j].tobytes(), place[i:j].tobytes(), None, None, None))
-        kinds = [pa.binary(), pa.int32(), *[pa.binary()] * 6]
+        for r in np.flatnonzero(np.diff(bounds)).tolist():
+            i, j = bounds[r], bounds[r + 1]
+            rows.append((shard, r, wide[i:j].tobytes(), narrow[i:j].tobytes(), place[i:j].tobytes(), None, None, None))
         names = ["shard", "range", "digests", "checks", "positions", "key", "text", "pieces"]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
-    def run(batches):
-        held, weight, last = [], 0, None
-        for batch in batches:
-            for key, text, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                if key == last:
-                    continue
-                last = key
-                cuts = merged_intervals(np.array([r["begin"] for r in own]), np.array([r["n"] for r in own]))
-                held.append((key, text.as_py(), cuts))
-                weight += sum(j - i for i, j in cuts)
-                if weight >= SHARD:
-                    yield from flush(held)
-                    held, weight = [], 0
-        if held:
-            yield from flush(held)
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return run
 
@@ -296,13 +320,16 @@ def _spans(group: pa.Table) -> pa.Table:
     pieces = [np.frombuffer(r["pieces"], np.int64).reshape(-1, 3) for r in docs]
     end = max(int(p[-1, 1] + p[-1, 2]) for p in pieces) + 1
     edge = np.zeros(end + 1, np.int32)
-    for x in group["positions"]:
-        if x.as_py():
+    for x, own in zip(group["positions"], group["own"], strict=True):
+        if x.as_py() and own.as_py():  # within the shard: covered bytes
+            begin, stop = np.frombuffer(x.as_py(), np.int64).reshape(-1, 2).T
+            np.add.at(edge, begin, 1)
+            np.add.at(edge, np.minimum(stop, end), -1)
+        elif x.as_py():  # across shards: positions
             at = np.frombuffer(x.as_py(), np.uint32).astype(np.int64)
             np.add.at(edge, at, 1)
             np.add.at(edge, at + LENGTH, -1)
-    covered = np.concatenate([[0], (np.cumsum(edge) > 0).astype(np.int8), [0]])
-    change = np.flatnonzero(np.diff(covered))
+    change = np.flatnonzero(np.diff(np.concatenate([[0], (np.cumsum(edge) > 0).astype(np.int8), [0]])))
     start, stop = change[::2], change[1::2]
     out = {"key": [], "spans": [], "kept": []}
     for r, own in zip(docs, pieces, strict=True):
@@ -345,17 +372,22 @@ def repeats(docs: DataFrame) -> DataFrame:
     found = staged(long.select("key", "text").mapInArrow(find, "anchor long, key binary, begin long, n long"), "anchors")
     place = F.xxhash64("key", "begin")
     shared = found.groupBy("anchor").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("anchor")
-    cuts = found.join(shared, "anchor", "left_semi").groupBy("key").agg(F.collect_set(F.struct("begin", "n")).alias("runs"))
+    cuts = found.join(shared, "anchor", "left_semi").groupBy("key").agg(F.collect_set(F.struct("begin", "n", "anchor")).alias("runs"), F.min("anchor").alias("lead"))
     keys = long.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     marked = staged(keys.join(cuts, "key", "left").where("copies > 1 or runs is not null"), "marked")
     total = marked.agg(F.sum(F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r["n"]))).first()[0] or 0
     n_ranges = max(partitions(spark), -(-total // RANGE))
-    cut = marked.where("runs is not null").select(F.col("key").alias("k"), "rep", "runs")
-    with_text = long.join(cut, (long.key == cut.k) & long.doc_id.eqNullSafe(cut.rep)).select("key", F.col("text").cast("binary").alias("text"), "runs").sortWithinPartitions("key")
-    shards = staged(with_text.mapInArrow(_build(n_ranges), _SHARDS), "shards")
+    cut = marked.where("runs is not null").select(F.col("key").alias("k"), "rep", "runs", "lead")
+    chosen = long.join(cut, (long.key == cut.k) & long.doc_id.eqNullSafe(cut.rep)).select("lead", "key", F.col("text").cast("binary").alias("text"), "runs")
+    in_order = chosen.repartitionByRange("lead", "key").sortWithinPartitions("lead", "key").select("key", "text", "runs")
+    texts = staged(in_order.mapInArrow(_assign, "shard binary, key binary, text binary, runs array<struct<begin:bigint,n:bigint,anchor:bigint>>"), "texts")
+    each = texts.select("shard", "key", F.explode("runs").alias("r")).select("shard", "key", "r.begin", "r.anchor")
+    wide = each.groupBy("anchor").agg(F.min("shard").alias("a"), F.max("shard").alias("b")).where("a <> b").select("anchor")
+    wanted = each.join(wide, "anchor", "left_semi").select(F.col("shard").alias("of"), F.col("key").alias("of_key"), F.col("begin").alias("of_begin"))
+    shards = staged(texts.groupBy("shard").cogroup(wanted.groupBy("of")).applyInArrow(_build(n_ranges), _SHARDS), "shards")
     across = shards.where("`range` >= 0").groupBy("range").applyInArrow(_merge, "shard binary, positions binary")
     nothing = [F.lit(None).cast("binary").alias(c) for c in ("key", "text", "pieces")]
-    marks = shards.where("`range` < 0").select("shard", "positions", "key", "text", "pieces").unionAll(across.select("shard", "positions", *nothing))
+    marks = shards.where("`range` < 0").select("shard", "positions", "key", "text", "pieces", F.lit(True).alias("own")).unionAll(across.select("shard", "positions", *nothing, F.lit(False)))
     spans = marks.groupBy("shard").applyInArrow(lambda t: _spans(t), "key binary, spans array<struct<begin:bigint,end:bigint>>, kept binary")
     spans = staged(spans, "spans")
     copies = marked.select("key", "copies")
