@@ -17,13 +17,13 @@ SCHEMA = "task string, support_size int, repetition int"
 
 
 def grid_cells(rows: DataFrame, sizes: list[int], reps: int, family: str = "eval", group: str | None = None) -> DataFrame:
-    """``task, idx, x, y`` to one copy a (size, repetition), with ``role``: the grid is exploded, then ranked by hash within each cell.
+    """``task, idx, x, y`` to one copy a (size, repetition), with ``role``: rows meet the small grid, then are ranked by hash within each cell.
 
     A cell needs ``size + LEAST_QUERY`` rows. With ``group``, one member of each of ``size``
     groups is support and those groups' other members go.
     """
-    grid = F.explode(F.array(*[F.struct(F.lit(k).alias("support_size"), F.lit(r).alias("repetition")) for k in sizes for r in range(reps)])).alias("g")
-    each = rows.select("*", grid).select(*rows.columns, "g.support_size", "g.repetition")
+    grid = rows.sparkSession.createDataFrame([(k, r) for k in sizes for r in range(reps)], "support_size int, repetition int")
+    each = rows.crossJoin(F.broadcast(grid))
     own = F.col("idx") if group is None else F.col(group)
     coded = each.withColumn("__code", F.md5(F.concat_ws("-", F.lit(family), "support_size", "repetition", own.cast("string"))))
     from pyspark.sql import Window
