@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfew.operators import heads, splits
@@ -40,11 +40,11 @@ def grid_cells(rows: DataFrame, sizes: list[int], reps: int, family: str = "eval
     return sized.select(*BY, "idx", "role", "x", "y")
 
 
-def representation_comparison(rows: DataFrame, arms: dict[str, Callable[[Column], Column]], sizes: list[int], reps: int, head: str = "ridge") -> DataFrame:
-    """One head over several representations of the same splits."""
+def representation_comparison(rows: DataFrame, arms: dict[str, Callable[[DataFrame], DataFrame]], sizes: list[int], reps: int, head: str = "ridge") -> DataFrame:
+    """One head over several representations of the same splits; an arm makes a table's ``x`` into its features."""
     out = None
     for arm, make in arms.items():
-        one = heads.scores(grid_cells(rows.withColumn("x", make(F.col("x"))), sizes, reps), BY, {arm: head})
+        one = heads.scores(grid_cells(make(rows), sizes, reps), BY, {arm: head})
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql.functions import pandas_udf
 
 SCALES = (2, 4, 8, 16, 32)
@@ -47,3 +48,15 @@ def scattering(x: Column) -> Column:
         return out
 
     return run(x)
+
+
+def with_scattering(df: DataFrame, x: str = "x") -> DataFrame:
+    """``df`` with the coefficients in place of its array column; rows of one width only."""
+    schema = ", ".join(f"`{f.name}` {'array<double>' if f.name == x else f.dataType.simpleString()}" for f in df.schema)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield b.assign(**{x: list(scattered(np.stack(b[x].to_list()).astype(float)))})
+
+    return df.mapInPandas(run, schema)

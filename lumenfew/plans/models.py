@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lumenfew.functions import arrays as A
 from lumenfew.operators import experiments as X
 from lumenfew.operators import pca, simulate, spectra, splits, trust
-from lumenfew.operators.wavelet import scattering
+from lumenfew.operators.wavelet import scattering, with_scattering
 from lumenfew.plans.embeddings import rows
 
 SIZES, REPS = [5, 10, 20], 2
@@ -62,7 +62,7 @@ def representation_comparison(spark, sf):
     df = task_rows(spark, sf)
     model = pca.fit(df, "x", 20)
     matrix = spectra.random_projection(64, 20)
-    return X.representation_comparison(df.select("task", "idx", "x", "y"), {"raw-64": lambda c: c, "pca-20": model.scores, "random-projection-20": lambda c: A.project(c, matrix), "wavelet-scattering": scattering}, SIZES, REPS)
+    return X.representation_comparison(df.select("task", "idx", "x", "y"), {"raw-64": lambda d: d, "pca-20": lambda d: d.withColumn("x", model.scores(F.col("x"))), "random-projection-20": lambda d: d.withColumn("x", A.project(F.col("x"), matrix)), "wavelet-scattering": with_scattering}, SIZES, REPS)
 
 
 def label_budget(spark, sf):
@@ -142,7 +142,8 @@ def corpus_flip(spark, sf):
     df = task_rows(spark, sf).select("task", "idx", "x", "y")
     library = np.stack([np.exp(-0.5 * ((np.arange(64) - c) / 5) ** 2) for c in (8, 32, 56)])
     both = df.select("x").unionByName(simulate.mixtures(spark, library, 300).select(A.snv(A.doubles("spectrum")).alias("x")))
-    return X.representation_comparison(df, {"real": pca.fit(df, "x", 10).scores, "real-and-simulated": pca.fit(both, "x", 10).scores}, SIZES, REPS)
+    alone, mixed = pca.fit(df, "x", 10), pca.fit(both, "x", 10)
+    return X.representation_comparison(df, {"real": lambda d: d.withColumn("x", alone.scores(F.col("x"))), "real-and-simulated": lambda d: d.withColumn("x", mixed.scores(F.col("x")))}, SIZES, REPS)
 
 
 QUERIES = {f.__name__: f for f in (pca_reconstruction_error, principal_angles, wavelet_scattering, random_projection, representation_comparison, label_budget, decoupling, cars_selected, grouped_cells, posterior_audit, ridge_jackknife, physics_gate, sample_selection, fusion_regression, fusion_classification, simulated_mixtures, fuel_compositions, corpus_blocks, corpus_flip)}
