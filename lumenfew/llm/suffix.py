@@ -372,6 +372,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     found = staged(long.select("key", "text").mapInArrow(find, "anchor long, key binary, begin long, n long"), "anchors")
     place = F.xxhash64("key", "begin")
     shared = found.groupBy("anchor").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("anchor")
+    # written first: a join of two plain exchanges is one whose frequent anchors Spark can split
+    shared = staged(shared, "shared")
     cuts = found.join(shared, "anchor", "left_semi").groupBy("key").agg(F.collect_set(F.struct("begin", "n", "anchor")).alias("runs"), F.min("anchor").alias("lead"))
     keys = long.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     marked = staged(keys.join(cuts, "key", "left").where("copies > 1 or runs is not null"), "marked")
@@ -383,6 +385,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     texts = staged(in_order.mapInArrow(_assign, "shard binary, key binary, text binary, runs array<struct<begin:bigint,n:bigint,anchor:bigint>>"), "texts")
     each = texts.select("shard", "key", F.explode("runs").alias("r")).select("shard", "key", "r.begin", "r.anchor")
     wide = each.groupBy("anchor").agg(F.min("shard").alias("a"), F.max("shard").alias("b")).where("a <> b").select("anchor")
+    wide = staged(wide, "wide")
     wanted = each.join(wide, "anchor", "left_semi").select(F.col("shard").alias("of"), F.col("key").alias("of_key"), F.col("begin").alias("of_begin"))
     shards = staged(texts.groupBy("shard").cogroup(wanted.groupBy("of")).applyInArrow(_build(n_ranges), _SHARDS), "shards")
     across = shards.where("`range` >= 0").groupBy("range").applyInArrow(_merge, "shard binary, positions binary")
