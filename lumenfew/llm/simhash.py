@@ -181,16 +181,40 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BI
     return prints.join(groups(prints, max_bits), "simhash")
 
 
-def representatives(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+def _similar(docs: DataFrame, prints: DataFrame) -> DataFrame:
+    """``(a, b)`` fingerprints of texts whose shingle sets are alike; ``prints`` has ``doc_id, tie, simhash, sig, n_set, bands``."""
+    from lumenfew.llm import minhash
+
+    sets = staged(prints.where("n_set > 0").groupBy("sig").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie", "simhash")).alias("one"), F.first("n_set").alias("n_set"), F.first("bands").alias("bands")), "sets")
+    pairs = staged(minhash.candidates(sets.select("sig", "n_set", "bands")), "pairs")
+    ends = pairs.select(F.col("a").alias("sig")).unionAll(pairs.select(F.col("b").alias("sig"))).distinct()
+    asked = staged(sets.join(ends, "sig").select("sig", F.col("one.doc_id").alias("__id"), F.col("one.tie").alias("__tie")), "asked")
+    texts = docs.select("doc_id", "text").withColumn("__hash", F.xxhash64("text")).join(asked, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__tie")))
+    near = minhash.links(texts.select("sig", "text").dropDuplicates(["sig"]), pairs)
+    names = sets.select("sig", F.col("one.simhash").alias("print"))
+    # equal sets may have several fingerprints
+    equal = prints.select("sig", "simhash").join(names, "sig").where("simhash <> print").select(F.col("print").alias("a"), F.col("simhash").alias("b")).distinct()
+    left, right = names.select(F.col("sig").alias("a"), F.col("print").alias("of_a")), names.select(F.col("sig").alias("b"), F.col("print").alias("of_b"))
+    return near.join(left, "a").join(right, "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).unionAll(equal).where("a <> b")
+
+
+def representatives(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BITS, similar: bool = False) -> DataFrame:
     """``docs`` with one row of each group of near duplicates: the one of the least id (nulls last, ties by a hash of the text).
 
+    ``similar`` also links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
     Only ids, fingerprints and text hashes are gathered; whole rows are joined by their own
     id, so a large group's rows stay spread.
     """
-    prints = staged(with_fingerprints(docs.select("doc_id", "text", F.xxhash64("text").alias("tie")), size, keep=["doc_id", "tie"]), "simhash")
+    prints = with_fingerprints(docs.select("doc_id", "text", F.xxhash64("text").alias("tie")), size, keep=["doc_id", "tie", "text"] if similar else ["doc_id", "tie"])
+    if similar:
+        from lumenfew.llm import minhash
+
+        prints = minhash.with_bands(prints, ["doc_id", "tie", "simhash"])
+    prints = staged(prints, "simhash")
     best = prints.groupBy("simhash").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("best"))
     best = staged(best, "best")
-    found = components(links(best.select("simhash"), max_bits))
+    near = links(best.select("simhash"), max_bits)
+    found = components(near.unionAll(_similar(docs, prints)) if similar else near)
     rooted = best.join(found, best.simhash == found.node, "left").select("best", F.coalesce("root", "simhash").alias("root"))
     kept = rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.doc_id").alias("__id"), F.col("best.tie").alias("__tie"))
     rows = docs.withColumn("__hash", F.xxhash64("text")).join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__tie")), "left_semi")
