@@ -1,6 +1,6 @@
-"""Suffix-array deduplication: remove every byte of a string of ``LENGTH`` bytes that starts more than once.
+"""Suffix-array deduplication: remove every byte of a string of ``length`` bytes (``LENGTH`` by default) that starts more than once.
 
-1. Anchors. Every ``LENGTH``-byte string has a least hash among its ``GRAM``-byte pieces;
+1. Anchors. Every ``length``-byte string has a least hash among its pieces of ``gram_of(length)`` bytes;
    equal strings have equal ones. The positions of a text fall into runs with their
    least hash at one place, and only runs whose hash is another run's too can hold a repeated string. This
    loses nothing and leaves the other text out of the sorting.
@@ -11,18 +11,19 @@
    bytes, then only groups that are still tied are sorted, by the group of the suffix h
    further on, with h doubling. Common prefixes follow in Kasai's text order: where the
    bytes before a suffix and before its predecessor agree, the common prefix is one less
-   than that of the suffix before; the rest are compared. Neighbours that share ``LENGTH``
+   than that of the suffix before; the rest are compared. Neighbours that share ``length``
    bytes or more form a class, which is repeated within the shard.
 3. Merging. Each shard lists its classes whose anchor another shard has too, once each, as sorted 96-bit digests of their
    strings, cut into ranges of the digest. A range meets the lists of all shards in one
    task and finds by binary search which classes other shards have too. However often a
    string occurs, a shard lists it once, and digests fall evenly into ranges.
-4. Spans. Each shard marks the bytes that repeated strings cover.
+4. Spans. Each shard marks the bytes that repeated strings cover. With ``words``, a span
+   of fewer words than that and fewer than ``LENGTH`` bytes stays.
 
-Equal texts are one text here, with a number of copies: all of a copied text of ``LENGTH``
-bytes or more goes.
+Equal texts are one text here, with a number of copies: all of a copied text of ``length``
+bytes or more goes (with ``words``, as for spans).
 
-Defined cases: a null text counts as empty; texts shorter than ``LENGTH`` bytes keep all;
+Defined cases: a null text counts as empty; texts shorter than ``length`` bytes keep all;
 null ids and repeated rows are rows like others; other columns are passed on by ``removed``.
 """
 
@@ -35,12 +36,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfew.llm.common import partitions, staged, table, text_or_empty
+from lumenfew.llm.common import WORD, partitions, staged, table, text_or_empty
 from lumenfew.llm.textvec import buffer_of, mix, slices
 
 LENGTH = 400
-#: Bytes of an anchor's piece (a power of two).
-GRAM = 128
 #: Text bytes of a shard, about.
 SHARD = 1 << 20
 #: Text bytes that are hashed at once, about.
@@ -51,6 +50,13 @@ _C = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x
 NONE = np.uint32(0xFFFFFFFF)
 
 
+def gram_of(length: int) -> int:
+    """Bytes of an anchor's piece: the greatest power of two that is a third of ``length`` at most."""
+    if length < 3:
+        raise ValueError("repeated strings have 3 bytes or more")
+    return 1 << (length // 3).bit_length() - 1
+
+
 def gram_hashes(data: np.ndarray, size: int, a: np.uint64 = _C[0], b: np.uint64 = _C[1]) -> np.ndarray:
     """A 64-bit hash of the ``size`` bytes (a power of two) from each position on, by doubling."""
     h = mix(np.arange(1, 257, dtype=np.uint64) * a)[data]
@@ -65,8 +71,9 @@ def gram_hashes(data: np.ndarray, size: int, a: np.uint64 = _C[0], b: np.uint64
     return h
 
 
-def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM):
+def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH):
     """Runs of positions whose strings have their least hash at one place: document, first position in it, positions, hash."""
+    gram = gram_of(length)
     n = len(data) - length + 1
     if n <= 0:
         return tuple(np.zeros(0, np.int64) for _ in range(4))
@@ -224,25 +231,29 @@ def covered(at: np.ndarray, end: int, length: int = LENGTH) -> np.ndarray:
 _SHARDS = "shard binary, `range` int, digests binary, checks binary, positions binary, key binary, text binary, pieces binary"
 
 
-def _assign(batches):
+def _assign(length: int):
     """Rows (key, text, runs) in order, each key once in a row, to rows with the shard that they fall into (its first key)."""
-    shard, weight, last = None, 0, None
-    for batch in batches:
-        keys, own = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-        keep, shards = [], []
-        for key, cuts in zip(keys, own, strict=True):
-            keep.append(key != last)
-            if key != last:
-                if shard is None or weight >= SHARD:
-                    shard, weight = key, 0
-                weight += sum(j - i for i, j in merged_intervals(np.array([r["begin"] for r in cuts]), np.array([r["n"] for r in cuts])))
-                last = key
-            shards.append(shard)
-        out = pa.RecordBatch.from_arrays([pa.array(shards, pa.binary()), *batch.columns], names=["shard", "key", "text", "runs"])
-        yield out.filter(pa.array(keep))
-
-
-def _build(n_ranges: int):
+
+    def run(batches):
+        shard, weight, last = None, 0, None
+        for batch in batches:
+            keys, own = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            keep, shards = [], []
+            for key, cuts in zip(keys, own, strict=True):
+                keep.append(key != last)
+                if key != last:
+                    if shard is None or weight >= SHARD:
+                        shard, weight = key, 0
+                    weight += sum(j - i for i, j in merged_intervals(np.array([r["begin"] for r in cuts]), np.array([r["n"] for r in cuts]), length))
+                    last = key
+                shards.append(shard)
+            out = pa.RecordBatch.from_arrays([pa.array(shards, pa.binary()), *batch.columns], names=["shard", "key", "text", "runs"])
+            yield out.filter(pa.array(keep))
+
+    return run
+
+
+def _build(n_ranges: int, length: int):
     """One shard's texts, and the runs whose anchor other shards have too, to the rows of the shard."""
 
     kinds = [pa.binary(), pa.int32(), *[pa.binary()] * 6]
@@ -257,7 +268,7 @@ def _build(n_ranges: int):
         for key, text, own_runs in zip(keys, texts["text"], texts["runs"].to_pylist(), strict=True):
             text = text.as_py()
             own = []
-            for i, j in merged_intervals(np.array([r["begin"] for r in own_runs]), np.array([r["n"] for r in own_runs])):
+            for i, j in merged_intervals(np.array([r["begin"] for r in own_runs]), np.array([r["n"] for r in own_runs]), length):
                 own.append((i, at, j - i))
                 parts += [np.frombuffer(text, np.uint8, j - i, i), np.zeros(8, np.uint8)]
                 segment += [np.full(j - i, len(ends), np.int32), np.full(8, -1, np.int32)]
@@ -267,14 +278,14 @@ def _build(n_ranges: int):
             pieces.append(np.array(own, np.int64).tobytes())
         data, segment, ends = np.concatenate(parts), np.concatenate(segment), np.array(ends, np.int64)
         shard = texts["shard"][0].as_py()
-        repeated, first, size = shard_classes(data, segment, ends)
+        repeated, first, size = shard_classes(data, segment, ends, length)
         rows = [(shard, -2, None, None, None, key, text.as_py(), piece) for key, text, piece in zip(keys, texts["text"], pieces, strict=True)]
-        rows.append((shard, -1, None, None, covered(repeated, at).tobytes(), None, None, None))
+        rows.append((shard, -1, None, None, covered(repeated, at, length).tobytes(), None, None, None))
         listed = np.zeros(len(data), bool)
         for i, n in wanted:
             listed[i : i + n] = True
         first, size = first[listed[first]], size[listed[first]]
-        wide, narrow = digests(data, first)
+        wide, narrow = digests(data, first, length)
         order = np.argsort(wide, kind="stable")
         wide, narrow = wide[order], narrow[order]
         place = np.where(size == 1, first, NONE).astype(np.uint32)[order]
@@ -314,7 +325,12 @@ def _merge(group: pa.Table) -> pa.Table:
     return pa.table({"shard": pa.array(shards, pa.binary()), "positions": pa.array(found, pa.binary())})
 
 
-def _spans(group: pa.Table) -> pa.Table:
+def _enough(span: bytes, words: int) -> bool:
+    """Whether a repeated span counts: ``words`` words or ``LENGTH`` bytes (any does with ``words`` 0)."""
+    return len(span) >= LENGTH or len(span.split()) >= words
+
+
+def _spans(group: pa.Table, length: int, words: int) -> pa.Table:
     """One shard: the spans to remove from each of its texts, and what stays."""
     docs = [r for r in group.to_pylist() if r["key"] is not None]
     pieces = [np.frombuffer(r["pieces"], np.int64).reshape(-1, 3) for r in docs]
@@ -328,7 +344,7 @@ def _spans(group: pa.Table) -> pa.Table:
         elif x.as_py():  # across shards: positions
             at = np.frombuffer(x.as_py(), np.uint32).astype(np.int64)
             np.add.at(edge, at, 1)
-            np.add.at(edge, at + LENGTH, -1)
+            np.add.at(edge, at + length, -1)
     change = np.flatnonzero(np.diff(np.concatenate([[0], (np.cumsum(edge) > 0).astype(np.int8), [0]])))
     start, stop = change[::2], change[1::2]
     out = {"key": [], "spans": [], "kept": []}
@@ -336,7 +352,7 @@ def _spans(group: pa.Table) -> pa.Table:
         spans = []
         for i, at, n in own.tolist():
             k = slice(np.searchsorted(start, at), np.searchsorted(start, at + n))
-            spans += [{"begin": i + a - at, "end": i + b - at} for a, b in zip(start[k].tolist(), stop[k].tolist(), strict=True)]
+            spans += [{"begin": i + a - at, "end": i + b - at} for a, b in zip(start[k].tolist(), stop[k].tolist(), strict=True) if _enough(r["text"][i + a - at : i + b - at], words)]
         if spans:
             edges = [0, *[e for s in spans for e in (s["begin"], s["end"])], len(r["text"])]
             out["key"].append(r["key"])
@@ -350,14 +366,21 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("key", F.unhex(F.md5(text_or_empty())))
 
 
-def repeats(docs: DataFrame) -> DataFrame:
+def _counts(length: int, words: int):
+    """Whether a copied text goes whole."""
+    long = F.octet_length("text") >= length
+    return long & ((F.octet_length("text") >= LENGTH) | (F.regexp_count("text", F.lit(WORD)) >= words)) if words else long
+
+
+def repeats(docs: DataFrame, length: int = LENGTH, words: int = 0) -> DataFrame:
     """For each text that loses bytes: ``key`` (its MD5), ``copies``, ``spans`` (begin and end bytes) and ``kept`` (binary).
 
     ``spans`` and ``kept`` are null for texts that only ``copies`` > 1 makes repeat: they go whole.
+    Strings of ``length`` bytes are looked for; ``words`` keeps the spans of fewer words (and fewer than ``LENGTH`` bytes).
     """
     spark = docs.sparkSession
     texts = _keyed(docs.select("doc_id", "text"))
-    long = texts.where(F.octet_length("text") >= LENGTH)
+    long = texts.where(F.octet_length("text") >= length)
 
     def find(batches):
         seen = set()  # a copied text once a task
@@ -366,7 +389,7 @@ def repeats(docs: DataFrame) -> DataFrame:
                 keys = part.column("key").to_pylist()
                 fresh = [k not in seen and not seen.add(k) for k in keys]
                 part = part.filter(pa.array(fresh))
-                doc, begin, n, anchor = runs(*buffer_of(part.column("text")))
+                doc, begin, n, anchor = runs(*buffer_of(part.column("text")), length)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), part.column("key").take(pa.array(doc)), pa.array(begin), pa.array(n)], names=["anchor", "key", "begin", "n"])
 
     found = staged(long.select("key", "text").mapInArrow(find, "anchor long, key binary, begin long, n long"), "anchors")
@@ -382,25 +405,25 @@ def repeats(docs: DataFrame) -> DataFrame:
     cut = marked.where("runs is not null").select(F.col("key").alias("k"), "rep", "runs", "lead")
     chosen = long.join(cut, (long.key == cut.k) & long.doc_id.eqNullSafe(cut.rep)).select("lead", "key", F.col("text").cast("binary").alias("text"), "runs")
     in_order = chosen.repartitionByRange("lead", "key").sortWithinPartitions("lead", "key").select("key", "text", "runs")
-    texts = staged(in_order.mapInArrow(_assign, "shard binary, key binary, text binary, runs array<struct<begin:bigint,n:bigint,anchor:bigint>>"), "texts")
+    texts = staged(in_order.mapInArrow(_assign(length), "shard binary, key binary, text binary, runs array<struct<begin:bigint,n:bigint,anchor:bigint>>"), "texts")
     each = texts.select("shard", "key", F.explode("runs").alias("r")).select("shard", "key", "r.begin", "r.anchor")
     wide = each.groupBy("anchor").agg(F.min("shard").alias("a"), F.max("shard").alias("b")).where("a <> b").select("anchor")
     wide = staged(wide, "wide")
     wanted = each.join(wide, "anchor", "left_semi").select(F.col("shard").alias("of"), F.col("key").alias("of_key"), F.col("begin").alias("of_begin"))
-    shards = staged(texts.groupBy("shard").cogroup(wanted.groupBy("of")).applyInArrow(_build(n_ranges), _SHARDS), "shards")
+    shards = staged(texts.groupBy("shard").cogroup(wanted.groupBy("of")).applyInArrow(_build(n_ranges, length), _SHARDS), "shards")
     across = shards.where("`range` >= 0").groupBy("range").applyInArrow(_merge, "shard binary, positions binary")
     nothing = [F.lit(None).cast("binary").alias(c) for c in ("key", "text", "pieces")]
     marks = shards.where("`range` < 0").select("shard", "positions", "key", "text", "pieces", F.lit(True).alias("own")).unionAll(across.select("shard", "positions", *nothing, F.lit(False)))
-    spans = marks.groupBy("shard").applyInArrow(lambda t: _spans(t), "key binary, spans array<struct<begin:bigint,end:bigint>>, kept binary")
+    spans = marks.groupBy("shard").applyInArrow(lambda t: _spans(t, length, words), "key binary, spans array<struct<begin:bigint,end:bigint>>, kept binary")
     spans = staged(spans, "spans")
     copies = marked.select("key", "copies")
     return copies.join(spans, "key", "left").where("copies > 1 or spans is not null")
 
 
-def removed(docs: DataFrame) -> DataFrame:
+def removed(docs: DataFrame, length: int = LENGTH, words: int = 0) -> DataFrame:
     """``docs`` with repeated strings taken out of ``text`` and ``n_chars`` set anew; a character that is cut in part goes whole."""
-    lost = repeats(docs).select(F.col("key").alias("__key"), F.col("copies").alias("__copies"), F.col("kept").alias("__kept"))
-    whole = (F.col("__copies") > 1) & (F.octet_length("text") >= LENGTH)
+    lost = repeats(docs, length, words).select(F.col("key").alias("__key"), F.col("copies").alias("__copies"), F.col("kept").alias("__kept"))
+    whole = (F.col("__copies") > 1) & _counts(length, words)
     joined = docs.withColumn("__own", F.unhex(F.md5(text_or_empty()))).join(lost, F.col("__own") == F.col("__key"), "left")
     rest = F.when(whole, F.lit("")).when(F.col("__kept").isNotNull(), F.replace(F.make_valid_utf8(F.col("__kept").cast("string")), F.lit("\ufffd"), F.lit(""))).otherwise(F.col("text"))
     out = joined.withColumn("text", rest)
