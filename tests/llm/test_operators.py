@@ -431,3 +431,28 @@ def test_warc_query_returns_every_page(spark, sf):
     rows = got.collect()
     assert len(rows) == spark.read.parquet(f"{sf}/pages.parquet").count()
     assert all(json.loads(r.metadata_json)["refers_to"] == r.response_id for r in rows)
+
+
+def test_toxicity_with_every_document_labelled(spark):
+    rng = np.random.default_rng(8)
+    fine, bad = [[f"{a}{i}" for i in range(40)] for a in ("calm", "vile")]
+    rows = [(i, " ".join([*rng.choice(fine, 30), *rng.choice(bad if i % 10 == 0 else fine, 6)])) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.apply(docs, toxicity.train(docs, labels), keep=["doc_id"]).collect()}
+    assert sum(got[i] for i in got if i % 10 == 0) > 108
+    assert sum(got[i] for i in got if i % 10) < 11
+
+
+def test_toxicity_counts_all_training_text(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "UNLABELLED", 20)
+    seen = {}
+    fit = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda *a, **k: seen.update(k) or fit(*a, **k))
+    rows = [(i, "vile words" if i % 4 == 0 else "calm words") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    toxicity.train(docs, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(100)], "doc_id long, toxic int"))
+    trained = [t for i, t in rows if zlib.crc32(str(i).encode()) % 5]
+    counts, n = seen["seen"]
+    assert n == len(trained) and counts.max() == n
+    assert sum(t.startswith("vile") for t in trained) in counts
