@@ -5,13 +5,20 @@ matter) on at most ``SAMPLE`` labelled rows, chosen by the hash of their ids, an
 calibrates the logit on a fifth of them (Platt). ``apply`` scores whole texts in Arrow
 batches and compares the probability with a fixed threshold.
 
+A text's n-grams are its own: a score doesn't depend on the texts that share its batch.
+Training gathers one row a labelled id, of at most 8 bytes a bucket: 2 MB a row whatever
+the text's length, ``SAMPLE`` rows.
+
 Defined cases: a null or empty text has no words, so the base rules reject it; without
-labelled rows of both classes the model is neutral and only the base rules decide; other
+labelled rows of both classes the model is neutral and only the base rules decide; an
+empty table gives no rows; very long texts count and score whole; of rows that share a
+labelled id the one with the least features trains; equal texts get equal results; other
 columns pass through, but those named like a result are replaced.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -45,16 +52,27 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * (logit + self.bias) + self.shift, -30, 30)))
 
 
+def _inner(bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which runs of ``n`` neighbours (by their first) lie within one document, and where each document's kept ones begin."""
+    size = np.diff(bounds)
+    keep = np.ones(bounds[-1], bool)
+    for k in range(1, n):
+        keep[bounds[1:][size >= k] - k] = False
+    return keep[: max(len(keep) - n + 1, 0)], np.concatenate([[0], np.cumsum(np.maximum(size - n + 1, 0))])
+
+
 def _grams(words) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each kind of n-gram its buckets and where each document's begin."""
+    """For each kind of n-gram its buckets and where each document's begin; none reaches into another document."""
     h = words.hashes()
     kinds = [((h & np.uint64(BUCKETS - 1)).astype(np.int64), words.first)]
-    two = mix(h[:-1] * np.uint64(3) + h[1:]) if len(h) > 1 else h[:0]
-    kinds.append(((two & np.uint64(BUCKETS - 1)).astype(np.int64), np.minimum(words.first, len(two))))
+    keep, bounds = _inner(words.first, 2)
+    two = mix(h[:-1] * np.uint64(3) + h[1:])[keep]
+    kinds.append(((two & np.uint64(BUCKETS - 1)).astype(np.int64), bounds))
+    keep, bounds = _inner(words.offsets, 4)
     d = words.data.astype(np.uint32)
-    four = (d[:-3] | d[1:-2] << np.uint32(8) | d[2:-1] << np.uint32(16) | d[3:] << np.uint32(24)) if len(d) > 3 else d[:0]
+    four = (d[:-3] | d[1:-2] << np.uint32(8) | d[2:-1] << np.uint32(16) | d[3:] << np.uint32(24))[keep]
     four = (four * np.uint32(0x9E3779B1)) >> np.uint32(32 - 18)
-    kinds.append((four.astype(np.int64), np.minimum(words.offsets, len(four))))
+    kinds.append((four.astype(np.int64), bounds))
     return kinds
 
 
@@ -112,12 +130,15 @@ def _fit(rows: list, steps: int = 80, rate: float = 1.5, decay: float = 1e-6, ch
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on at most ``sample`` labelled rows; a fifth of them, by id, calibrates."""
     some = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = append_arrow(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id"), "text", [("buckets", "binary"), ("value", "binary")], _features, keep=["doc_id", "y"]).collect()
+    each = append_arrow(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id"), "text", [("buckets", "binary"), ("value", "binary")], _features, keep=["doc_id", "y"])
+    # one row an id, so that repeated ids don't raise the bound
+    rows = each.groupBy("doc_id").agg(F.min(F.struct("y", "buckets", "value")).alias("r")).select("doc_id", "r.*").collect()
     rows.sort(key=lambda r: r.doc_id)
     if len({r.y for r in rows}) < 2:
         return Model(np.zeros(BUCKETS, np.float32), 0.0, 1.0, 30.0)
-    fold = [r for r in rows if r.doc_id % 5 != 0]
-    rest = [r for r in rows if r.doc_id % 5 == 0]
+    code = lambda r: zlib.crc32(str(r.doc_id).encode()) % 5
+    fold = [r for r in rows if code(r)]
+    rest = [r for r in rows if not code(r)]
     if len({r.y for r in fold}) < 2 or len({r.y for r in rest}) < 2:
         fold = rest = rows
     weights, bias = _fit(fold)
