@@ -262,14 +262,109 @@ def test_language_model(spark, sf, odd):
             assert unseen.score.sum() > unseen.base_score.sum()
 
 
-def test_pitman_yor_tables_sit_right():
-    alone = pitman_yor.alone_probability(0.5)
-    assert alone[1, 1] == 1 and alone[2, 2] == 1 and alone[5, 1] == 0
-    assert 0 < alone[5, 2] < 1
+def test_pitman_yor_tables_follow_their_conditional():
+    numbers = pitman_yor.Stirling(0.6, exact=300)
+    s = {(1, 1): 1.0}
+    for c in range(1, 12):
+        for t in range(1, c + 2):
+            s[c + 1, t] = s.get((c, t - 1), 0.0) + (c - 0.6 * t) * s.get((c, t), 0.0)
     rng = np.random.default_rng(0)
-    c = rng.integers(1, 200, 500)
-    t = pitman_yor.sweep(rng, c, np.ones(500, np.int64), np.full(500, 0.5), 0.5, alone)
-    assert ((t >= 1) & (t <= c)).all()
+    weight = [s[12, t] * np.prod([(0.3 + j) / 50 * (4 + 0.6 * j) for j in range(1, t)]) for t in range(1, 13)]
+    drawn = pitman_yor.draw_tables(rng, np.full(40_000, 12), np.full(40_000, 0.3), 50.0, np.full(40_000, 4.0), numbers)
+    assert np.allclose(np.bincount(drawn, minlength=13)[1:] / 40_000, np.array(weight) / sum(weight), atol=0.01)
+    # beyond the recurrence, ratios follow their law
+    far = pitman_yor.Stirling(0.6, exact=3000)
+    place = int(numbers.place(np.array([3000]))[0])
+    for t in (2, 5, 50, 500, 1500):
+        assert abs(numbers.ratios(place, t)[-1] - far.rows[-1][t - 2]) < 0.03
+    # a window of tables is widened until its tail no longer counts
+    big = pitman_yor.draw_tables(rng, np.full(400, 3000), np.full(400, 9.0), 1000.0, np.full(400, 9000.0), numbers, grows=0.0)
+    log_weight = np.concatenate([[0], np.cumsum(np.log(0.009 * (9000 + 0.6 * np.arange(1, 3000))) + far.rows[-1])])
+    weight = np.exp(log_weight - log_weight.max())
+    mean = (weight * np.arange(1, 3001)).sum() / weight.sum()
+    assert mean > 60 and abs(big.mean() / mean - 1) < 0.03
+
+
+def sampled_by_customers(texts, held, sweeps=160, burn_in=60, strength=1.0):
+    """A plain sampler: every customer of every restaurant moves by itself, with each table's size at hand."""
+    rng = np.random.default_rng(1)
+    tokens = [[*words(lower(t)), None] for t in texts]
+    pairs = [(a, b) for own, h in zip(tokens, held, strict=True) if not h for a, b in zip(["<", *own[:-1]], own, strict=True)]
+    cells = Counter(pairs)
+    v = len({b for _, b in cells})
+    share = lambda n: min(max((a := n.count(1)) / max(a + 2 * n.count(2), 1), 0.1), 0.95)
+    d1, d0 = share(list(cells.values())), share(list(Counter(b for _, b in cells).values()))
+    rooms, root = defaultdict(lambda: defaultdict(list)), defaultdict(list)
+    size, tables, total = Counter(), Counter(), [0, 0]
+
+    def parent(w):
+        own = root.get(w, ())
+        return (sum(own) - d0 * len(own) + (strength + d0 * total[1]) / (v + 1)) / (strength + total[0])
+
+    def sit(own, d, new):
+        weights = [n - d for n in own] + [new]
+        k = int(np.searchsorted(np.cumsum(weights), rng.random() * sum(weights)))
+        own.append(1) if k >= len(own) else own.__setitem__(k, own[k] + 1)
+        return k >= len(own) - 1 and own[-1] == 1 and k == len(own) - 1
+
+    def leave(own):
+        k = int(np.searchsorted(np.cumsum(own), rng.random() * sum(own), "right"))
+        own[k] -= 1
+        if not own[k]:
+            own.pop(k)
+            return True
+        return False
+
+    def enter(a, b):
+        before = len(rooms[a][b])
+        sit(rooms[a][b], d1, (strength + d1 * tables[a]) * parent(b))
+        size[a] += 1
+        if len(rooms[a][b]) > before:
+            tables[a] += 1
+            old = len(root[b])
+            sit(root[b], d0, (strength + d0 * total[1]) / (v + 1))
+            total[0] += 1
+            total[1] += len(root[b]) > old
+
+    for a, b in pairs:
+        enter(a, b)
+    out, n = np.zeros(len(texts)), 0
+    sums = defaultdict(float)
+    for i in range(sweeps):
+        for a, b in pairs:
+            size[a] -= 1
+            if leave(rooms[a][b]):
+                tables[a] -= 1
+                total[0] -= 1
+                total[1] -= leave(root[b])
+            enter(a, b)
+        if i >= burn_in and i % 5 == 0:
+            n += 1
+            for a, b in {(a, b) for own in tokens for a, b in zip(["<", *own[:-1]], own, strict=True)}:
+                own = rooms[a].get(b, [])
+                sums[a, b] += (sum(own) - d1 * len(own) + (strength + d1 * tables[a]) * parent(b)) / (strength + size[a])
+    for k, own in enumerate(tokens):
+        out[k] = sum(np.log10(sums[p] / n) for p in zip(["<", *own[:-1]], own, strict=True))
+    return out, np.array([len(own) for own in tokens])
+
+
+def test_language_model_equals_a_plain_sampler(spark):
+    rng = np.random.default_rng(6)
+    names = [f"w{i}" for i in range(30)]
+    follows = {a: rng.dirichlet(np.full(30, 0.15)) for a in names}
+    texts = []
+    for _ in range(70):
+        own = ["w0"]
+        while len(own) < 25:
+            own.append(names[int(rng.choice(30, p=follows[own[-1]]))])
+        texts.append(" ".join(own))
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(70)]
+    want, n = sampled_by_customers(texts, held)
+    got = pitman_yor.scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).toPandas().sort_values("doc_id")
+    assert np.abs(got.score.to_numpy() - want).max() < 0.02 * n.max() and abs((got.score.to_numpy() - want).sum() / n.sum()) < 0.005
+    assert np.corrcoef(got.score / n, want / n)[0, 1] > 0.99
+    unseen = got[got.held_out]
+    assert unseen.score.sum() > unseen.base_score.sum()
 
 
 def prints_by_brute_force(text):
@@ -383,6 +478,36 @@ def measured(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(inside), len(w) < 50 or 100 * len(inside) > 50 * len(w)
 
 
+def test_quality_of_a_text_is_its_own(spark, docs):
+    import pyarrow as pa
+
+    from lumenfew.llm.textvec import words_of
+
+    texts = ["", "a", "abc de", *[d["text"] for d in docs[:30]], "é 漢字 x", ""]
+    rng = np.random.default_rng(2)
+    weights = rng.normal(size=quality.BUCKETS)
+    together = quality.logits(words_of(pa.array(texts)), weights)
+    alone = [quality.logits(words_of(pa.array([t])), weights)[0] for t in texts]
+    assert np.allclose(together, alone)
+    for i, (a, b) in enumerate(zip(*quality._features(pa.array(texts)), strict=True)):
+        x, y = (c[0] for c in quality._features(pa.array([texts[i]])))
+        assert a == x and b == y
+    # one and the same count by hand
+    w = words("abc de fgh de")
+    kinds = quality._grams(words_of(pa.array(["zz yy", "abc de fgh de", "q"])))
+    assert [int(x[2] - x[1]) for _, x in kinds] == [len(w), len(w) - 1, len("abc de fgh de") - 3]
+
+
+def test_quality_takes_text_ids_and_repeated_ids(spark):
+    rng = np.random.default_rng(4)
+    good, bad = [f"fine{i}" for i in range(50)], [f"junk{i}" for i in range(50)]
+    rows = [(f"d{i // 2}", " ".join(rng.choice(good if (i // 2) % 2 else bad, 80))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    labels = spark.createDataFrame([(f"d{i}", i % 2) for i in range(100)], "doc_id string, quality int")
+    got = quality.apply(docs, quality.train(docs, labels), keep=["doc_id"]).collect()
+    assert all((r.quality > 0.5) == (int(r.doc_id[1:]) % 2 == 1) for r in got)
+
+
 @pytest.mark.parametrize("which", ["sf", "odd"])
 def test_quality_counts(spark, sf, odd, which):
     folder = {"sf": sf, "odd": odd}[which]
