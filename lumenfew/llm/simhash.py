@@ -1,19 +1,23 @@
 """SimHash near duplicates through a byte-position inverted index with count filtering.
 
 A 64-bit fingerprint is eight positional bytes. Two fingerprints that differ in at most
-three bits share at least five of them, so every such pair meets in a posting list of
-five positions and their bytes (56 choices). Each list's pairs are tallied (how many of
-the eight positional bytes they share), pairs under the guaranteed minimum of five go,
-and the rest are verified by counting differing bits.
+three bits share at least five of them. A posting list holds the fingerprints that have the
+same bytes at four positions (70 choices; single bytes would list a 256th of all documents
+each). A pair that meets is tallied: how many of the eight positional bytes it shares. Pairs
+under the guaranteed minimum of five go (those that share just the list's four), the pair is
+taken up in the first of the lists in which it meets, and the rest are verified by counting
+differing bits.
 
 Exact copies are one fingerprint: the index holds distinct fingerprints only. A posting
-list fixes 40 of 64 bits, so it holds at most 2**24 fingerprints; a list of up to
-``PAIRWISE`` members is compared by lags, and a longer one enumerates the neighbours of
-each member in the 24 open bits, which takes linear time and adds a spanning set of links.
+list of up to ``PAIRWISE`` members is compared by lags, and a longer one enumerates the
+neighbours of each member in the 32 open bits, which takes linear time and adds a spanning
+set of links: either way no link between components is lost.
 
 Defined cases: a null text counts as empty; texts with no word have fingerprint zero and
 link like others; fewer words than a shingle has make one shingle; null ids never become a
-component id (a component of null ids only has a null id); repeated rows get equal results.
+component id (a component of null ids only has a null id); repeated rows and ties get equal
+results; an empty table gives no rows; very long texts count whole (shingle hashes are
+summed in parts); other columns are passed on, but ``simhash`` is replaced.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfew.llm.common import append_arrow, staged, table
+from lumenfew.llm.common import append_arrow, partitions, staged, table
 from lumenfew.llm.components import components
 
 SHINGLE = 3
@@ -34,7 +38,7 @@ MAX_BITS = 3
 BYTES = 8
 SEED = 42
 #: Members of a posting list that are compared with each other by lags.
-PAIRWISE = 64
+PAIRWISE = 1024
 
 
 def shingle_hashes(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -78,8 +82,8 @@ def _masks(least: int) -> list[int]:
 
 
 def postings(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Each fingerprint once for each choice of the guaranteed positions: (list, bytes, simhash)."""
-    masks = [m - (1 << 64) if m >> 63 else m for m in _masks(BYTES - max_bits)]
+    """Each fingerprint once for each choice of one position less than the guaranteed minimum: (list, bytes, simhash)."""
+    masks = [m - (1 << 64) if m >> 63 else m for m in _masks(BYTES - max_bits - 1)]
     entry = F.explode(F.array(*[F.struct(F.lit(i).alias("list"), F.col("simhash").bitwiseAND(F.lit(m)).alias("bytes")) for i, m in enumerate(masks)])).alias("p")
     return prints.select("simhash", entry).select("p.list", "p.bytes", "simhash")
 
@@ -117,15 +121,16 @@ def _dense(prints: np.ndarray, open_bits: np.ndarray, max_bits: int) -> tuple[np
 
 
 def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """``(a, b)`` fingerprints at most ``max_bits`` apart; all of them but for long lists, where they span the list's components."""
+    """``(a, b)`` fingerprints at most ``max_bits`` (6 or less) apart; all of them but for long lists, where they span the list's components."""
     from pyspark.sql import Window
 
     least = BYTES - max_bits
-    choices = list(combinations(range(BYTES), least))
-    masks = np.array(_masks(least), np.uint64)
+    choices = list(combinations(range(BYTES), least - 1))
+    masks = np.array(_masks(least - 1), np.uint64)
     first = np.array([next((i for i, c in enumerate(choices) if all(s >> k & 1 for k in c)), -1) for s in range(256)])
-    entries = postings(prints, max_bits)
-    shared = entries.withColumn("n", F.count("*").over(Window.partitionBy("list", "bytes"))).where("n > 1").drop("n")
+    # spread first: the few bytes of a fingerprint become many postings
+    entries = postings(prints.repartition(partitions(prints.sparkSession), "simhash"), max_bits)
+    shared = entries.withColumn("n", F.count("*").over(Window.partitionBy("list", "bytes"))).where("n > 1").drop("n").sortWithinPartitions("list", "bytes")
 
     def settle(which, group, value):
         """Pairs of complete posting lists, which lie one after another."""
@@ -136,13 +141,16 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             mask = masks[which[at]]
             free = np.array([1 << i for i in range(64) if not int(mask) >> i & 1], np.uint64)
             yield _dense(np.unique(value[at : at + n]), free, max_bits)
-        no = np.repeat(np.where(long, -1 - np.arange(len(size)), np.arange(len(size))), size)
-        for lag in range(1, int(size[~long].max(initial=1))):
-            i = np.flatnonzero((no[lag:] == no[:-lag]) & (no[lag:] >= 0))
-            a, b = value[i], value[i + lag]
-            tally = _shared_bytes(a, b)
-            near = (np.bitwise_count(tally) >= least) & (first[tally] == which[i]) & (np.bitwise_count(a ^ b) <= max_bits)
-            yield a[near], b[near]
+        end = np.repeat(np.where(long, 0, begin + size), size)
+        live, lag = np.arange(len(value)), 1
+        while len(live := live[live + lag < end[live]]):  # those that have a partner so far behind
+            for i in np.array_split(live, -(-len(live) // (1 << 20))):
+                a, b = value[i], value[i + lag]
+                tally = _shared_bytes(a, b)
+                near = np.flatnonzero((np.bitwise_count(tally) >= least) & (first[tally] == which[i]))
+                near = near[np.bitwise_count(a[near] ^ b[near]) <= max_bits]
+                yield a[near], b[near]
+            lag += 1
 
     def run(batches):
         rest = None
