@@ -146,14 +146,12 @@ def test_packing_round_trip(spark, sf, odd, which):
 
 
 def removed_by_brute_force(texts, length=400):
-    starts = Counter()
-    for t in texts:
-        starts.update(t[i : i + length] for i in range(len(t) - length + 1))
-    for t in texts:
+    codes = [np.fromiter((hash(t[i : i + length]) for i in range(len(t) - length + 1)), np.int64, max(len(t) - length + 1, 0)) for t in texts]
+    names, counts = np.unique(np.concatenate(codes), return_counts=True)
+    for t, own in zip(texts, codes, strict=True):
         mask = bytearray(len(t))
-        for i in range(len(t) - length + 1):
-            if starts[t[i : i + length]] > 1:
-                mask[i : i + length] = b"\1" * length
+        for i in np.flatnonzero(counts[np.searchsorted(names, own)] > 1).tolist():
+            mask[i : i + length] = b"\1" * length
         spans = len(re.findall(b"\1+", bytes(mask)))
         yield sum(mask), spans, hashlib.sha256(bytes(b for b, m in zip(t, mask, strict=True) if not m)).hexdigest()
 
