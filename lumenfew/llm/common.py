@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from pathlib import Path
@@ -14,12 +15,30 @@ ROOT = str(Path(__file__).resolve().parents[2])
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of an Arrow batch on its way to Python, unless the application says otherwise: texts vary too much for a count of rows.
+BATCH = 4 << 20
+
+
 def session(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver did."""
+    """Let Python workers import this package from where the driver did, in batches of bounded bytes."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.sparkContext.getConf().contains(key):
+        spark.conf.set(key, str(BATCH))
     return spark
 
 
+def release() -> None:
+    """Give memory that a worker has freed back to the system: executors share it with their JVM."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return session(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -75,5 +94,6 @@ def append_arrow(df: DataFrame, column: str, fields: list[tuple[str, str]], fn,
             for part in slices(batch, "__text", limit):
                 made = fn(part.column("__text"))
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), *(pa.array(x) for x in made)], names=[*kept, *names])
+        release()
 
     return source.mapInArrow(run, schema)

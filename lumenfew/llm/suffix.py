@@ -4,7 +4,8 @@
    equal strings have equal ones. The positions of a text fall into runs with their
    least hash at one place, and only runs whose hash is another run's too can hold a repeated string. This
    loses nothing and leaves the other text out of the sorting.
-2. Shards. The text around such runs is gathered into shards of about ``SHARD`` bytes, in
+2. Shards. The texts with such runs are gathered into shards of about ``SHARD`` bytes (runs in
+   full, whole texts by a quarter, so that either is bounded), in
    the order of the texts' least shared anchors, so that texts with a passage in common
    mostly meet in one shard and list it once (a range partitioning cuts a frequent anchor
    too). An anchor that one shard alone has needs no merging. Each shard gets a suffix array by Larsson-Sadakane refinement: suffixes are grouped by eight
@@ -36,11 +37,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfew.llm.common import WORD, partitions, staged, table, text_or_empty
+from lumenfew.llm.common import WORD, partitions, release, session, staged, table, text_or_empty
 from lumenfew.llm.textvec import buffer_of, mix, slices
 
 LENGTH = 400
-#: Text bytes of a shard, about.
+#: Bytes of repeated runs in a shard and a quarter of its texts', about.
 SHARD = 1 << 20
 #: Text bytes that are hashed at once, about.
 PART = 1 << 20
@@ -239,12 +240,12 @@ def _assign(length: int):
         for batch in batches:
             keys, own = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             keep, shards = [], []
-            for key, cuts in zip(keys, own, strict=True):
+            for key, text, cuts in zip(keys, batch.column(1), own, strict=True):
                 keep.append(key != last)
                 if key != last:
                     if shard is None or weight >= SHARD:
                         shard, weight = key, 0
-                    weight += sum(j - i for i, j in merged_intervals(np.array([r["begin"] for r in cuts]), np.array([r["n"] for r in cuts]), length))
+                    weight += sum(j - i for i, j in merged_intervals(np.array([r["begin"] for r in cuts]), np.array([r["n"] for r in cuts]), length)) + len(text.as_py()) // 4
                     last = key
                 shards.append(shard)
             out = pa.RecordBatch.from_arrays([pa.array(shards, pa.binary()), *batch.columns], names=["shard", "key", "text", "runs"])
@@ -294,6 +295,8 @@ def _build(n_ranges: int, length: int):
         for r in np.flatnonzero(np.diff(bounds)).tolist():
             i, j = bounds[r], bounds[r + 1]
             rows.append((shard, r, wide[i:j].tobytes(), narrow[i:j].tobytes(), place[i:j].tobytes(), None, None, None))
+        del data, segment, repeated, first, size, wide, narrow, order, place, listed, parts
+        release()
         names = ["shard", "range", "digests", "checks", "positions", "key", "text", "pieces"]
         return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
@@ -378,7 +381,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, words: int = 0) -> DataFrame:
     ``spans`` and ``kept`` are null for texts that only ``copies`` > 1 makes repeat: they go whole.
     Strings of ``length`` bytes are looked for; ``words`` keeps the spans of fewer words (and fewer than ``LENGTH`` bytes).
     """
-    spark = docs.sparkSession
+    spark = session(docs.sparkSession)
     texts = _keyed(docs.select("doc_id", "text"))
     long = texts.where(F.octet_length("text") >= length)
 
@@ -391,6 +394,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, words: int = 0) -> DataFrame:
                 part = part.filter(pa.array(fresh))
                 doc, begin, n, anchor = runs(*buffer_of(part.column("text")), length)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), part.column("key").take(pa.array(doc)), pa.array(begin), pa.array(n)], names=["anchor", "key", "begin", "n"])
+        release()
 
     found = staged(long.select("key", "text").mapInArrow(find, "anchor long, key binary, begin long, n long"), "anchors")
     place = F.xxhash64("key", "begin")
