@@ -4,8 +4,8 @@
    equal strings have equal ones. The positions of a text fall into runs with their
    least hash at one place, and only runs whose hash is another run's too can hold a repeated string. This
    loses nothing and leaves the other text out of the sorting.
-2. Shards. The texts with such runs are gathered into shards of about ``SHARD`` bytes (runs in
-   full, whole texts by a quarter, so that either is bounded), in
+2. Shards. The text that such runs cover (nothing else travels) is gathered into shards of about
+   ``SHARD`` bytes, in
    the order of the texts' least shared anchors, so that texts with a passage in common
    mostly meet in one shard and list it once (a range partitioning cuts a frequent anchor
    too). An anchor that one shard alone has needs no merging. Each shard gets a suffix array by Larsson-Sadakane refinement: suffixes are grouped by eight
@@ -18,30 +18,29 @@
    strings, cut into ranges of the digest. A range meets the lists of all shards in one
    task and finds by binary search which classes other shards have too. However often a
    string occurs, a shard lists it once, and digests fall evenly into ranges.
-4. Spans. Each shard marks the bytes that repeated strings cover. With ``words``, a span
-   of fewer words than that and fewer than ``LENGTH`` bytes stays.
+4. Spans. Each shard marks the bytes that repeated strings cover, and texts lose them where
+   they stand. With ``words``, a span of fewer words than that and fewer than ``LENGTH`` bytes stays.
 
 Equal texts are one text here, with a number of copies: all of a copied text of ``length``
 bytes or more goes (with ``words``, as for spans).
 
 Defined cases: a null text counts as empty; texts shorter than ``length`` bytes keep all;
-null ids and repeated rows are rows like others; other columns are passed on by ``removed``.
+null ids, repeated rows and ties are rows like others; an empty table gives no rows; very
+long texts are matched whole; other columns, whatever their names, are passed on by ``removed``.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfew.llm.common import WORD, partitions, release, session, staged, table, text_or_empty
+from lumenfew.llm.common import dropped, partitions, release, session, staged, table, text_or_empty
 from lumenfew.llm.textvec import buffer_of, mix, slices
 
 LENGTH = 400
-#: Bytes of repeated runs in a shard and a quarter of its texts', about.
+#: Bytes of a shard, about.
 SHARD = 1 << 20
 #: Text bytes that are hashed at once, about.
 PART = 1 << 20
@@ -229,35 +228,50 @@ def covered(at: np.ndarray, end: int, length: int = LENGTH) -> np.ndarray:
     return np.flatnonzero(np.diff(inside)).reshape(-1, 2)
 
 
-_SHARDS = "shard binary, `range` int, digests binary, checks binary, positions binary, key binary, text binary, pieces binary"
+_SHARDS = "shard binary, `range` int, digests binary, checks binary, positions binary, key binary, pieces binary"
+
+
+_RUNS = "array<struct<begin:bigint,n:bigint,anchor:bigint>>"
 
 
-def _assign(length: int):
-    """Rows (key, text, runs) in order, each key once in a row, to rows with the shard that they fall into (its first key)."""
+def _cut(length: int):
+    """Rows (lead, key, text, runs) to what the runs' strings cover of the text: pieces by their begin and size."""
 
     def run(batches):
-        shard, weight, last = None, 0, None
         for batch in batches:
-            keys, own = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            keep, shards = [], []
-            for key, text, cuts in zip(keys, batch.column(1), own, strict=True):
-                keep.append(key != last)
-                if key != last:
-                    if shard is None or weight >= SHARD:
-                        shard, weight = key, 0
-                    weight += sum(j - i for i, j in merged_intervals(np.array([r["begin"] for r in cuts]), np.array([r["n"] for r in cuts]), length)) + len(text.as_py()) // 4
-                    last = key
-                shards.append(shard)
-            out = pa.RecordBatch.from_arrays([pa.array(shards, pa.binary()), *batch.columns], names=["shard", "key", "text", "runs"])
-            yield out.filter(pa.array(keep))
+            begins, sizes, parts = [], [], []
+            for text, own in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
+                text = text.as_py()
+                spans = merged_intervals(np.array([r["begin"] for r in own]), np.array([r["n"] for r in own]), length)
+                begins.append(np.array([i for i, _ in spans], np.int64).tobytes())
+                sizes.append(np.array([j - i for i, j in spans], np.int64).tobytes())
+                parts.append(b"".join(text[i:j] for i, j in spans))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.binary()) for x in (begins, sizes, parts)), batch.column(3)], names=["lead", "key", "begins", "sizes", "parts", "runs"])
 
     return run
 
 
+def _assign(batches):
+    """Rows (key, begins, sizes, parts, runs) in order, each key once in a row, to rows with the shard that they fall into (its first key)."""
+    shard, weight, last = None, 0, None
+    for batch in batches:
+        keep, shards = [], []
+        for key, parts in zip(batch.column(0).to_pylist(), batch.column(3), strict=True):
+            keep.append(key != last)
+            if key != last:
+                if shard is None or weight >= SHARD:
+                    shard, weight = key, 0
+                weight += len(parts.as_py())
+                last = key
+            shards.append(shard)
+        out = pa.RecordBatch.from_arrays([pa.array(shards, pa.binary()), *batch.columns], names=["shard", "key", "begins", "sizes", "parts", "runs"])
+        yield out.filter(pa.array(keep))
+
+
 def _build(n_ranges: int, length: int):
     """One shard's texts, and the runs whose anchor other shards have too, to the rows of the shard."""
 
-    kinds = [pa.binary(), pa.int32(), *[pa.binary()] * 6]
+    kinds = [pa.binary(), pa.int32(), *[pa.binary()] * 5]
 
     def run(texts: pa.Table, shared: pa.Table) -> pa.Table:
         if not texts.num_rows:
@@ -266,22 +280,27 @@ def _build(n_ranges: int, length: int):
         parts, pieces, at = [], [], 0
         segment, ends, wanted = [], [], []
         keys = texts["key"].to_pylist()
-        for key, text, own_runs in zip(keys, texts["text"], texts["runs"].to_pylist(), strict=True):
-            text = text.as_py()
-            own = []
-            for i, j in merged_intervals(np.array([r["begin"] for r in own_runs]), np.array([r["n"] for r in own_runs]), length):
-                own.append((i, at, j - i))
-                parts += [np.frombuffer(text, np.uint8, j - i, i), np.zeros(8, np.uint8)]
-                segment += [np.full(j - i, len(ends), np.int32), np.full(8, -1, np.int32)]
-                ends.append(at + j - i)
-                wanted += [(at + r["begin"] - i, r["n"]) for r in own_runs if i <= r["begin"] < j and (key, r["begin"]) in across]
-                at += j - i + 8
+        for key, begins, sizes, held, own_runs in zip(keys, *(texts[c] for c in ("begins", "sizes", "parts", "runs")), strict=True):
+            held = held.as_py()
+            own, done = [], 0
+            for i, n in zip(np.frombuffer(begins.as_py(), np.int64).tolist(), np.frombuffer(sizes.as_py(), np.int64).tolist(), strict=True):
+                own.append((i, at, n))
+                parts += [np.frombuffer(held, np.uint8, n, done), np.zeros(8, np.uint8)]
+                segment += [np.full(n, len(ends), np.int32), np.full(8, -1, np.int32)]
+                ends.append(at + n)
+                at += n + 8
+                done += n
+            first = np.array([p[0] for p in own])
+            for r in own_runs.as_py():
+                if (key, r["begin"]) in across:
+                    i, to, _ = own[int(np.searchsorted(first, r["begin"], "right")) - 1]
+                    wanted.append((to + r["begin"] - i, r["n"]))
             pieces.append(np.array(own, np.int64).tobytes())
         data, segment, ends = np.concatenate(parts), np.concatenate(segment), np.array(ends, np.int64)
         shard = texts["shard"][0].as_py()
         repeated, first, size = shard_classes(data, segment, ends, length)
-        rows = [(shard, -2, None, None, None, key, text.as_py(), piece) for key, text, piece in zip(keys, texts["text"], pieces, strict=True)]
-        rows.append((shard, -1, None, None, covered(repeated, at, length).tobytes(), None, None, None))
+        rows = [(shard, -2, None, None, None, key, piece) for key, piece in zip(keys, pieces, strict=True)]
+        rows.append((shard, -1, None, None, covered(repeated, at, length).tobytes(), None, None))
         listed = np.zeros(len(data), bool)
         for i, n in wanted:
             listed[i : i + n] = True
@@ -294,10 +313,10 @@ def _build(n_ranges: int, length: int):
         bounds = np.searchsorted(which, np.arange(n_ranges + 1))
         for r in np.flatnonzero(np.diff(bounds)).tolist():
             i, j = bounds[r], bounds[r + 1]
-            rows.append((shard, r, wide[i:j].tobytes(), narrow[i:j].tobytes(), place[i:j].tobytes(), None, None, None))
+            rows.append((shard, r, wide[i:j].tobytes(), narrow[i:j].tobytes(), place[i:j].tobytes(), None, None))
         del data, segment, repeated, first, size, wide, narrow, order, place, listed, parts
         release()
-        names = ["shard", "range", "digests", "checks", "positions", "key", "text", "pieces"]
+        names = ["shard", "range", "digests", "checks", "positions", "key", "pieces"]
         return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return run
@@ -333,8 +352,8 @@ def _enough(span: bytes, words: int) -> bool:
     return len(span) >= LENGTH or len(span.split()) >= words
 
 
-def _spans(group: pa.Table, length: int, words: int) -> pa.Table:
-    """One shard: the spans to remove from each of its texts, and what stays."""
+def _spans(group: pa.Table, length: int) -> pa.Table:
+    """One shard: the bytes of each of its texts that repeated strings cover."""
     docs = [r for r in group.to_pylist() if r["key"] is not None]
     pieces = [np.frombuffer(r["pieces"], np.int64).reshape(-1, 3) for r in docs]
     end = max(int(p[-1, 1] + p[-1, 2]) for p in pieces) + 1
@@ -350,36 +369,28 @@ def _spans(group: pa.Table, length: int, words: int) -> pa.Table:
             np.add.at(edge, at + length, -1)
     change = np.flatnonzero(np.diff(np.concatenate([[0], (np.cumsum(edge) > 0).astype(np.int8), [0]])))
     start, stop = change[::2], change[1::2]
-    out = {"key": [], "spans": [], "kept": []}
+    out = {"key": [], "spans": []}
     for r, own in zip(docs, pieces, strict=True):
         spans = []
         for i, at, n in own.tolist():
             k = slice(np.searchsorted(start, at), np.searchsorted(start, at + n))
-            spans += [{"begin": i + a - at, "end": i + b - at} for a, b in zip(start[k].tolist(), stop[k].tolist(), strict=True) if _enough(r["text"][i + a - at : i + b - at], words)]
+            spans += [{"begin": i + a - at, "end": i + b - at} for a, b in zip(start[k].tolist(), stop[k].tolist(), strict=True)]
         if spans:
-            edges = [0, *[e for s in spans for e in (s["begin"], s["end"])], len(r["text"])]
             out["key"].append(r["key"])
             out["spans"].append(spans)
-            out["kept"].append(b"".join(r["text"][i:j] for i, j in zip(edges[::2], edges[1::2], strict=True)))
     span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-    return pa.table({"key": pa.array(out["key"], pa.binary()), "spans": pa.array(out["spans"], span), "kept": pa.array(out["kept"], pa.binary())})
+    return pa.table({"key": pa.array(out["key"], pa.binary()), "spans": pa.array(out["spans"], span)})
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("key", F.unhex(F.md5(text_or_empty())))
 
 
-def _counts(length: int, words: int):
-    """Whether a copied text goes whole."""
-    long = F.octet_length("text") >= length
-    return long & ((F.octet_length("text") >= LENGTH) | (F.regexp_count("text", F.lit(WORD)) >= words)) if words else long
+def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """For each text that loses bytes: ``key`` (its MD5), ``copies`` and ``spans`` (begin and end bytes).
 
-
-def repeats(docs: DataFrame, length: int = LENGTH, words: int = 0) -> DataFrame:
-    """For each text that loses bytes: ``key`` (its MD5), ``copies``, ``spans`` (begin and end bytes) and ``kept`` (binary).
-
-    ``spans`` and ``kept`` are null for texts that only ``copies`` > 1 makes repeat: they go whole.
-    Strings of ``length`` bytes are looked for; ``words`` keeps the spans of fewer words (and fewer than ``LENGTH`` bytes).
+    ``spans`` are null for texts that only ``copies`` > 1 makes repeat: they go whole.
+    Strings of ``length`` bytes are looked for.
     """
     spark = session(docs.sparkSession)
     texts = _keyed(docs.select("doc_id", "text"))
@@ -404,49 +415,71 @@ def repeats(docs: DataFrame, length: int = LENGTH, words: int = 0) -> DataFrame:
     cuts = found.join(shared, "anchor", "left_semi").groupBy("key").agg(F.collect_set(F.struct("begin", "n", "anchor")).alias("runs"), F.min("anchor").alias("lead"))
     keys = long.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     marked = staged(keys.join(cuts, "key", "left").where("copies > 1 or runs is not null"), "marked")
+    dropped(found, shared)
     total = marked.agg(F.sum(F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r["n"]))).first()[0] or 0
     n_ranges = max(partitions(spark), -(-total // RANGE))
     cut = marked.where("runs is not null").select(F.col("key").alias("k"), "rep", "runs", "lead")
     chosen = long.join(cut, (long.key == cut.k) & long.doc_id.eqNullSafe(cut.rep)).select("lead", "key", F.col("text").cast("binary").alias("text"), "runs")
-    in_order = chosen.repartitionByRange("lead", "key").sortWithinPartitions("lead", "key").select("key", "text", "runs")
-    texts = staged(in_order.mapInArrow(_assign(length), "shard binary, key binary, text binary, runs array<struct<begin:bigint,n:bigint,anchor:bigint>>"), "texts")
+    pieces = chosen.mapInArrow(_cut(length), f"lead long, key binary, begins binary, sizes binary, parts binary, runs {_RUNS}")
+    in_order = pieces.repartitionByRange("lead", "key").sortWithinPartitions("lead", "key").drop("lead")
+    texts = staged(in_order.mapInArrow(_assign, f"shard binary, key binary, begins binary, sizes binary, parts binary, runs {_RUNS}"), "texts")
     each = texts.select("shard", "key", F.explode("runs").alias("r")).select("shard", "key", "r.begin", "r.anchor")
     wide = each.groupBy("anchor").agg(F.min("shard").alias("a"), F.max("shard").alias("b")).where("a <> b").select("anchor")
     wide = staged(wide, "wide")
     wanted = each.join(wide, "anchor", "left_semi").select(F.col("shard").alias("of"), F.col("key").alias("of_key"), F.col("begin").alias("of_begin"))
     shards = staged(texts.groupBy("shard").cogroup(wanted.groupBy("of")).applyInArrow(_build(n_ranges, length), _SHARDS), "shards")
+    dropped(texts, wide)
     across = shards.where("`range` >= 0").groupBy("range").applyInArrow(_merge, "shard binary, positions binary")
-    nothing = [F.lit(None).cast("binary").alias(c) for c in ("key", "text", "pieces")]
-    marks = shards.where("`range` < 0").select("shard", "positions", "key", "text", "pieces", F.lit(True).alias("own")).unionAll(across.select("shard", "positions", *nothing, F.lit(False)))
-    spans = marks.groupBy("shard").applyInArrow(lambda t: _spans(t, length, words), "key binary, spans array<struct<begin:bigint,end:bigint>>, kept binary")
-    spans = staged(spans, "spans")
+    nothing = [F.lit(None).cast("binary").alias(c) for c in ("key", "pieces")]
+    marks = shards.where("`range` < 0").select("shard", "positions", "key", "pieces", F.lit(True).alias("own")).unionAll(across.select("shard", "positions", *nothing, F.lit(False)))
+    spans = staged(marks.groupBy("shard").applyInArrow(lambda t: _spans(t, length), "key binary, spans array<struct<begin:bigint,end:bigint>>"), "spans")
+    dropped(shards)
     copies = marked.select("key", "copies")
     return copies.join(spans, "key", "left").where("copies > 1 or spans is not null")
 
 
+_KEPT = [("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept", "binary")]
+
+
+def with_kept(docs: DataFrame, length: int = LENGTH, words: int = 0) -> DataFrame:
+    """``docs`` (its columns as ``_0``, ``_1`` and so on) with ``n_bytes, n_removed, n_spans`` and ``kept``, the bytes that stay.
+
+    ``words`` keeps the spans of fewer words (and fewer than ``LENGTH`` bytes).
+    """
+    lost = repeats(docs, length).select(F.col("key").alias("__key"), F.col("copies") > 1, "spans").toDF("__key", "__copied", "__spans")
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns)], F.col("text").alias("__text"))
+    rows = plain.withColumn("__own", F.unhex(F.md5(text_or_empty("__text")))).join(lost, F.col("__own") == F.col("__key"), "left").drop("__own", "__key")
+    n = len(docs.columns)
+
+    def run(batches):
+        for batch in batches:
+            made = []
+            for text, copied, spans in zip(*(batch.column(n + k).to_pylist() for k in range(3)), strict=True):
+                text = (text or "").encode()
+                spans = [(0, len(text))] if copied and len(text) >= length else [(s["begin"], s["end"]) for s in spans or ()]
+                spans = [(i, j) for i, j in spans if _enough(text[i:j], words)]
+                edges = [0, *[e for s in spans for e in s], len(text)]
+                made.append((len(text), sum(j - i for i, j in spans), len(spans), b"".join(text[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True))))
+            kinds = [pa.int64()] * 3 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *(pa.array([m[k] for m in made], kinds[k]) for k in range(4))], names=[f"_{i}" for i in range(n)] + [c for c, _ in _KEPT])
+        release()
+
+    schema = ", ".join([f"_{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema)] + [f"{c} {t}" for c, t in _KEPT])
+    return rows.mapInArrow(run, schema)
+
+
 def removed(docs: DataFrame, length: int = LENGTH, words: int = 0) -> DataFrame:
     """``docs`` with repeated strings taken out of ``text`` and ``n_chars`` set anew; a character that is cut in part goes whole."""
-    lost = repeats(docs, length, words).select(F.col("key").alias("__key"), F.col("copies").alias("__copies"), F.col("kept").alias("__kept"))
-    whole = (F.col("__copies") > 1) & _counts(length, words)
-    joined = docs.withColumn("__own", F.unhex(F.md5(text_or_empty()))).join(lost, F.col("__own") == F.col("__key"), "left")
-    rest = F.when(whole, F.lit("")).when(F.col("__kept").isNotNull(), F.replace(F.make_valid_utf8(F.col("__kept").cast("string")), F.lit("\ufffd"), F.lit(""))).otherwise(F.col("text"))
-    out = joined.withColumn("text", rest)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast("long"))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    at = {c: f"_{i}" for i, c in enumerate(docs.columns)}
+    rest = F.col(at["text"])
+    kept = F.col("kept")
+    # a cut character leaves bytes that aren't valid; a text that stays as it was is not touched
+    text = F.when(F.col("n_removed") > 0, F.replace(F.make_valid_utf8(kept.cast("string")), F.lit("\ufffd"), F.lit(""))).otherwise(rest)
+    own = {"text": text} | ({"n_chars": F.char_length(text).cast("long")} if "n_chars" in at else {})
+    return with_kept(docs, length, words).select(*[own.get(c, F.col(k)).alias(c) for c, k in at.items()])
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each document loses, and a digest of what it keeps."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    lost = repeats(docs)
-    lost = lost.select(F.col("key").alias("k"), "copies", F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["begin"]).alias("gone"), F.size("spans").cast("long").alias("runs"), F.sha2("kept", 256).alias("kept_sha"))
-    rows = _keyed(docs).select("doc_id", "key", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.sha2(text_or_empty().cast("binary"), 256).alias("sha"))
-    whole = F.coalesce(F.col("copies") > 1, F.lit(False)) & (F.col("n_bytes") >= LENGTH)
-    return rows.join(lost, F.col("key") == F.col("k"), "left").select(
-        "doc_id",
-        "n_bytes",
-        F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("gone", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(whole, F.lit(1)).otherwise(F.coalesce("runs", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha", "sha")).alias("kept_sha256"),
-    )
+    return with_kept(docs).select(F.col("_0").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
