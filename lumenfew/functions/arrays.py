@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ def doubles(x: Column | str) -> Column:
     return (F.col(x) if isinstance(x, str) else x).cast("array<double>")
 
 
+def bound(x: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(x)`` with ``x`` made once, however often it is used."""
+    return F.element_at(F.transform(F.array(x), use), 1)
+
+
 def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
 
@@ -59,8 +66,8 @@ def squared_distance(x: Column, y: Column) -> Column:
 
 
 def project(x: Column, columns: list[list[float]]) -> Column:
-    """Row times matrix; ``columns`` holds the matrix by column (bounded by channels x outputs)."""
-    return F.array(*[dot(x, F.array(*map(F.lit, map(float, c)))) for c in columns])
+    """Row times matrix; ``columns`` holds the matrix by column (bounded by channels x outputs). ``x`` is made once."""
+    return bound(x, lambda v: F.array(*[dot(v, F.array(*map(F.lit, map(float, c)))) for c in columns]))
 
 
 def centred_scores(x: Column, centre: list[float], columns: list[list[float]]) -> Column:

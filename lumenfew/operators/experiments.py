@@ -1,90 +1,188 @@
-"""Whole experiments: grids of cells from a table of features to result rows."""
+"""Whole experiments: grids of cells from a table of features to result rows.
+
+A cell is (task, support size, repetition). Its support is the first rows by hash: ids meet
+the small grid, and a ranked limit leaves ``max(sizes)`` rows a cell before anything is
+shuffled. Heads are fitted on supports alone (``applyInPandas`` over a few rows a cell), and
+what they found goes to every task: cells times a head, bounded by the grid and checked.
+Then the whole table passes once, in batches; each row is predicted by the cells of its task
+whose support it isn't in, and partial aggregates make the measures. No window, group or
+task holds a table.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenfew.functions import metrics as M
 from lumenfew.operators import heads, splits
 
 BY = ["task", "support_size", "repetition"]
-#: Query rows a grid cell needs at least.
+#: Query rows a cell needs more than.
 LEAST_QUERY = 5
 SCHEMA = "task string, support_size int, repetition int"
+#: Bytes of all fitted heads at most.
+MOST = 256 << 20
 
+Fit = Callable[[dict, np.ndarray, np.ndarray], dict[str, heads.Fitted]]
 
-def grid_cells(rows: DataFrame, sizes: list[int], reps: int, family: str = "eval", group: str | None = None) -> DataFrame:
-    """``task, idx, x, y`` to one copy a (size, repetition), with ``role``: rows meet the small grid, then are ranked by hash within each cell.
 
-    A cell needs ``size + LEAST_QUERY`` rows. With ``group``, one member of each of ``size``
-    groups is support and those groups' other members go.
-    """
-    grid = rows.sparkSession.createDataFrame([(k, r) for k in sizes for r in range(reps)], "support_size int, repetition int")
-    each = rows.crossJoin(F.broadcast(grid))
-    own = F.col("idx") if group is None else F.col(group)
-    coded = each.withColumn("__code", F.md5(F.concat_ws("-", F.lit(family), "support_size", "repetition", own.cast("string"))))
-    from pyspark.sql import Window
+def grid(rows: DataFrame, sizes: list[int], reps: int) -> DataFrame:
+    return F.broadcast(rows.sparkSession.createDataFrame([(k, r) for k in sizes for r in range(reps)], "support_size int, repetition int"))
+
+
+def coded(family: str, id_: Column) -> Column:
+    return F.md5(F.concat_ws("-", F.lit(family), "support_size", "repetition", id_.cast("string")))
 
+
+def support_rows(rows: DataFrame, sizes: list[int], reps: int, family: str = "eval", group: str | None = None) -> DataFrame:
+    """The support of each cell: ``task, support_size, repetition, idx, x, y`` and ``group``.
+
+    With ``group``, one member of each of ``support_size`` groups.
+    """
+    own = ["idx"] if group is None else ["idx", group]
     cell = Window.partitionBy(*BY)
     if group is None:
-        ranked = coded.withColumn("__n", F.row_number().over(cell.orderBy("__code", "idx")))
-        out = ranked.withColumn("role", F.when(F.col("__n") <= F.col("support_size"), "support").otherwise("query"))
+        each = rows.select("task", *own).crossJoin(grid(rows, sizes, reps))
+        ranked = each.withColumn("__n", F.row_number().over(cell.orderBy(coded(family, F.col("idx")), "idx"))).where(F.col("__n") <= max(sizes))
+        ids = ranked.where(F.col("__n") <= F.col("support_size")).drop("__n")
     else:
-        ranked = coded.withColumn("__g", F.dense_rank().over(cell.orderBy("__code", group))).withColumn("__n", F.row_number().over(Window.partitionBy(*BY, group).orderBy(F.md5(F.concat_ws("-", F.lit("member"), "support_size", "repetition", F.col("idx").cast("string"))), "idx")))
-        inside = F.col("__g") <= F.col("support_size")
-        out = ranked.where(~inside | (F.col("__n") == 1)).withColumn("role", F.when(inside, "support").otherwise("query"))
-    sized = out.withColumn("__c", F.count("*").over(cell)).where(F.col("__c") > F.col("support_size") + LEAST_QUERY)
-    return sized.select(*BY, "idx", "role", "x", "y")
+        names = rows.select("task", group).distinct().crossJoin(grid(rows, sizes, reps))
+        ranked = names.withColumn("__n", F.row_number().over(cell.orderBy(coded(family, F.col(group)), group))).where(F.col("__n") <= max(sizes))
+        few = F.broadcast(ranked.where(F.col("__n") <= F.col("support_size")).drop("__n"))  # grid x sizes rows
+        code = coded("member", F.col("idx"))
+        ids = rows.select("task", *own).join(few, ["task", group]).groupBy(*BY, group).agg(F.min_by("idx", F.struct(code, "idx")).alias("idx"))
+    return rows.join(F.broadcast(ids.select(*BY, "idx")), ["task", "idx"])  # at most grid x sizes ids
+
+
+def fit_cells(rows: DataFrame, sizes: list[int], reps: int, fit: Fit, family: str = "eval", group: str | None = None):
+    """Fit every cell; a broadcast list of (keys, ids or groups that take no part, heads by name)."""
+
+    def run(keys: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("idx")
+        named = dict(zip(BY, keys, strict=True))
+        made = fit(named, np.stack(frame.x.to_list()).astype(float), frame.y.to_numpy(float))
+        out = frame[group or "idx"].unique().tolist()
+        return pd.DataFrame({"task": [keys[0]], "blob": [pickle.dumps((named, out, made))]})
+
+    found = support_rows(rows, sizes, reps, family, group).groupBy(*BY).applyInPandas(run, "task string, blob binary").collect()
+    if (size := sum(len(r.blob) for r in found)) > MOST:
+        raise ValueError(f"the fitted heads take {size} bytes, more than {MOST}: use a smaller grid")
+    by_task: dict[str, list[bytes]] = {}
+    for r in found:
+        by_task.setdefault(r.task, []).append(bytes(r.blob))
+    return rows.sparkSession.sparkContext.broadcast(by_task)
+
+
+def predicted(rows: DataFrame, models, each: Callable[[dict, dict, np.ndarray, pd.DataFrame], pd.DataFrame], schema: str, group: str | None = None) -> DataFrame:
+    """``each(keys, heads, x, rows)`` on the rows of every batch that a cell has as queries; the keys stand before its columns."""
+    wanted = rows.select("task", "idx", "x", "y", *([group] if group else []))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cells = {t: [pickle.loads(b) for b in own] for t, own in models.value.items()}
+        for b in batches:
+            for task, part in b.groupby("task", sort=False):
+                x = np.stack(part.x.to_list()).astype(float)
+                for keys, out, made in cells.get(task, []):
+                    query = ~part[group or "idx"].isin(out).to_numpy()
+                    if query.any():
+                        found = each(keys, made, x[query], part[query])
+                        for i, k in enumerate(BY):
+                            found.insert(i, k, keys[k])
+                        yield found
+
+    return wanted.mapInPandas(run, f"{SCHEMA}, {schema}")
+
+
+def predictions(rows: DataFrame, sizes: list[int], reps: int, fit: Fit, family: str = "eval", group: str | None = None) -> DataFrame:
+    """``task, support_size, repetition, idx, arm, n_features, note, y, pred`` of every query row, cell and head."""
+
+    def each(_, made, x, part):
+        own = [pd.DataFrame({"idx": part.idx.to_numpy(), "arm": arm, "n_features": m.n_features, "note": m.note, "y": part.y.to_numpy(float), "pred": m.predict(x)}) for arm, m in made.items()]
+        return pd.concat(own, ignore_index=True)
+
+    models = fit_cells(rows, sizes, reps, fit, family, group)
+    return predicted(rows, models, each, "idx long, arm string, n_features int, note int, y double, pred double", group)
+
+
+def scores(rows: DataFrame, sizes: list[int], reps: int, fit: Fit, family: str = "eval", group: str | None = None) -> DataFrame:
+    """One result row a cell and head: ``arm, n_features, note, r2, rmse, rpd``."""
+    y, pred = F.col("y"), F.col("pred")
+    made = predictions(rows, sizes, reps, fit, family, group)
+    out = made.groupBy(*BY, "arm", "n_features", "note").agg(M.r2(pred, y).alias("r2"), M.rmse(pred, y).alias("rmse"), M.rpd(pred, y).alias("rpd"), M.accuracy(pred, y).alias("accuracy"), F.count("*").alias("n_query"))
+    return out.where(F.col("n_query") > LEAST_QUERY)
+
+
+def one_head(name: str, arm: str | None = None) -> Fit:
+    return lambda _, x, y: {arm or name: heads.fitted(heads.head(name), x, y, None if name == "pls" else 5.0)}
 
 
 def representation_comparison(rows: DataFrame, arms: dict[str, Callable[[DataFrame], DataFrame]], sizes: list[int], reps: int, head: str = "ridge") -> DataFrame:
     """One head over several representations of the same splits; an arm makes a table's ``x`` into its features."""
     out = None
     for arm, make in arms.items():
-        one = heads.scores(grid_cells(make(rows), sizes, reps), BY, {arm: head})
+        one = scores(make(rows), sizes, reps, one_head(head, arm)).drop("note", "accuracy", "n_query")
         out = one if out is None else out.unionByName(one)
     return out
 
 
 def label_budget(features: DataFrame, raw: DataFrame, sizes: list[int], reps: int, head: str = "ridge") -> DataFrame:
     """The head on features against PLS on raw channels, cell by cell, with the components PLS chose."""
-    a = heads.scores(grid_cells(features, sizes, reps), BY, {"head": head}).select(*BY, F.col("r2").alias("r2_head"))
 
-    def fn(keys, xs, ys, xq, yq, _):
-        s, q = heads.scaled(xs, xq, None)
-        model = heads.PLS().fit(s, ys)
-        return [keys | {"r2_pls": heads.measures(model.predict(q), yq)["r2"], "n_components_pls": model.components}]
+    def pls(_, x, y):
+        made = heads.fitted(heads.PLS(), x, y, None, scale_y=False)
+        made.note = made.head.components
+        return {"pls": made}
 
-    b = heads.cells(grid_cells(raw, sizes, reps), BY, fn, f"{SCHEMA}, r2_pls double, n_components_pls int")
+    a = scores(features, sizes, reps, one_head(head)).select(*BY, F.col("r2").alias("r2_head"))
+    b = scores(raw, sizes, reps, pls).select(*BY, F.col("r2").alias("r2_pls"), F.col("note").alias("n_components_pls"))
     return a.join(b, BY)
 
 
 def decoupling(rows: DataFrame, sizes: list[int], reps: int, components: int = 5) -> DataFrame:
     """Projection by head: PLS itself, ridge on PLS scores, ridge on principal scores of the support."""
 
-    def fn(keys, xs, ys, xq, yq, _):
-        s, q = heads.scaled(xs, xq, None)
-        pls = heads.PLS(min(components, len(ys) - 1)).fit(s, ys)
+    def fit(_, x, y):
+        pls = heads.fitted(heads.PLS(min(components, len(y) - 1)), x, y, None, scale_y=False)
+        s = pls.inputs(x)
         _, _, v = np.linalg.svd(s - s.mean(0), full_matrices=False)
         v = v[: min(components, len(v))].T
-        pairs = {"r2_pls": pls.predict(q), "r2_pls_scores_ridge": heads.Ridge(heads.RIDGE_GRID).fit(pls.transform(s), ys).predict(pls.transform(q)), "r2_pca_scores_ridge": heads.Ridge(heads.RIDGE_GRID).fit((s - s.mean(0)) @ v, ys).predict((q - s.mean(0)) @ v)}
-        return [keys | {"n_components": v.shape[1]} | {k: heads.measures(p, yq)["r2"] for k, p in pairs.items()}]
+        out = {"r2_pls": pls}
+        for arm, project in (("r2_pls_scores_ridge", pls.head.transform), ("r2_pca_scores_ridge", Projection(s.mean(0), v))):
+            made = heads.Ridge(heads.RIDGE_GRID).fit(project(s), y)
+            out[arm] = heads.Fitted(made, pls.centre, pls.spread, None, project=project)
+        for m in out.values():
+            m.n_features, m.note = x.shape[1], v.shape[1]
+        return out
+
+    made = scores(rows, sizes, reps, fit)
+    picks = [F.max(F.when(F.col("arm") == a, F.col("r2"))).alias(a) for a in ("r2_pls", "r2_pls_scores_ridge", "r2_pca_scores_ridge")]
+    return made.groupBy(*BY).agg(F.max("note").alias("n_components"), *picks)
 
-    return heads.cells(grid_cells(rows, sizes, reps), BY, fn, f"{SCHEMA}, n_components int, r2_pls double, r2_pls_scores_ridge double, r2_pca_scores_ridge double")
+
+class Projection:
+    """Rows less a centre onto columns."""
+
+    def __init__(self, centre: np.ndarray, columns: np.ndarray):
+        self.centre, self.columns = centre, columns
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return (x - self.centre) @ self.columns
 
 
 def cars_scores(rows: DataFrame, sizes: list[int], reps: int, runs: int = 50) -> DataFrame:
     """Channels chosen on the support alone, then ridge on them."""
 
-    def fn(keys, xs, ys, xq, yq, _):
-        mask = heads.cars(xs, ys, runs=runs, seed=66_000 + keys["support_size"] * 100 + keys["repetition"])
-        s, q = heads.scaled(xs[:, mask], xq[:, mask])
-        return [keys | {"n_features": int(mask.sum())} | heads.measures(heads.Ridge().fit(s, ys).predict(q), yq)]
+    def fit(keys, x, y):
+        mask = heads.cars(x, y, runs=runs, seed=66_000 + keys["support_size"] * 100 + keys["repetition"])
+        return {"cars": heads.fitted(heads.Ridge(), x, y, mask=mask)}
 
-    return heads.cells(grid_cells(rows, sizes, reps), BY, fn, f"{SCHEMA}, n_features int, r2 double, rmse double, rpd double")
+    return scores(rows, sizes, reps, fit).select(*BY, "n_features", "r2", "rmse", "rpd")
 
 
 def fusion(modalities: dict[str, DataFrame], sizes: list[int], reps: int, classify: bool = False) -> DataFrame:
@@ -94,25 +192,27 @@ def fusion(modalities: dict[str, DataFrame], sizes: list[int], reps: int, classi
     for name, df in modalities.items():
         own = df.select("task", "idx", "y", F.col("x").alias(name))
         joined = own if joined is None else joined.join(own.drop("y"), ["task", "idx"])
-    arms = {n: F.col(n) for n in names} | {"fused": F.concat(*names)}
     out = None
-    for arm, x in arms.items():
-        cells = grid_cells(joined.select("task", "idx", "y", x.alias("x")), sizes, reps, "fusion")
-
-        def fn(keys, xs, ys, xq, yq, _, arm=arm):
-            s, q = heads.scaled(xs, xq)
-            if classify:
-                return [keys | {"modality": arm, "n_features": s.shape[1], "score": float((heads.NearestMean().fit(s, ys).predict(q) == yq).mean())}]
-            return [keys | {"modality": arm, "n_features": s.shape[1], "score": heads.measures(heads.Ridge().fit(s, ys).predict(q), yq)["r2"]}]
-
-        one = heads.cells(cells, BY, fn, f"{SCHEMA}, modality string, n_features int, score double")
+    for arm, x in ({n: F.col(n) for n in names} | {"fused": F.concat(*names)}).items():
+        fit = lambda _, a, b, arm=arm: {arm: heads.fitted(heads.NearestMean() if classify else heads.Ridge(), a, b, scale_y=not classify)}
+        one = scores(joined.select("task", "idx", "y", x.alias("x")), sizes, reps, fit, "fusion")
+        one = one.select(*BY, F.col("arm").alias("modality"), "n_features", F.col("accuracy" if classify else "r2").alias("score"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def capped_cells(rows: DataFrame, sizes: list[int], reps: int, most: int, family: str = "eval") -> DataFrame:
+    """Cells whose queries are a sample of at most ``most`` rows: the support, and query rows, with ``role``."""
+    support = support_rows(rows, sizes, reps, family)
+    each = rows.select("task", "idx").crossJoin(grid(rows, sizes, reps)).join(F.broadcast(support.select(*BY, "idx")), [*BY, "idx"], "left_anti")
+    ids = each.withColumn("__n", F.row_number().over(Window.partitionBy(*BY).orderBy(coded("cap", F.col("idx")), "idx"))).where(F.col("__n") <= most)
+    query = rows.join(F.broadcast(ids.select(*BY, "idx")), ["task", "idx"])  # grid x most ids
+    return support.select(*BY, "idx", F.lit("support").alias("role"), "x", "y").unionByName(query.select(*BY, "idx", F.lit("query").alias("role"), "x", "y"))
+
+
 def pool_cells(rows: DataFrame, reps: int, pool: int = 200, test: int = 400) -> DataFrame:
     """Candidates and test rows of each repetition, capped, for sample selection."""
     each = rows.select("*", F.explode(F.array(*map(F.lit, range(reps)))).alias("repetition"))
-    split = splits.share_split(each, "idx", 0.6, 0, ["task", "repetition"])
-    capped = splits.capped(split.where("role = 'candidate'"), "idx", pool, ["task", "repetition"]).unionByName(splits.capped(split.where("role = 'test'"), "idx", test, ["task", "repetition"]))
-    return capped.select("task", "repetition", "idx", "role", "x", "y")
+    split = splits.share_split(each, "idx", 0.6, F.col("repetition"), ["task", "repetition"])
+    parts = [splits.capped(split.where(F.col("role") == role), "idx", most, ["task", "repetition"]) for role, most in (("candidate", pool), ("test", test))]
+    return parts[0].unionByName(parts[1]).select("task", "repetition", "idx", "role", "x", "y")

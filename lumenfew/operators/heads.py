@@ -2,20 +2,22 @@
 
 A head has ``fit(x, y)``, ``predict(x)`` and ``quantiles(x, levels)``. ``register`` adds
 one, so that a tabular foundation model can be plugged in where its weights are at hand.
-Cells are independent, of bounded size, and spread over the cluster by ``applyInPandas``.
+Fits see a cell's support only, which is small; ``experiments`` spreads them over the
+cluster and applies what they found to whole tables, batch by batch.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-QUANTILES = (0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.975, 0.99)
+QUANTILES = (0.025, 0.05, 0.1, 0.16, 0.25, 0.5, 0.75, 0.84, 0.9, 0.95, 0.975)
 LOO_GRID = np.logspace(-4, 1, 26)
 RIDGE_GRID = np.logspace(-3, 3, 13)
 
@@ -59,13 +61,16 @@ def inverted_cdf(values: np.ndarray, share: float) -> np.ndarray:
 
 
 def jackknife_plus(phi: np.ndarray, y: np.ndarray, queries: np.ndarray, level: float, penalty: float, signed: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Interval ends from leave-one-out fits. ``signed`` uses residuals with their sign; else their size, as published."""
+    """Interval ends from leave-one-out fits: the 1 - ``level`` and ``level`` points of what they predict, less and plus residuals.
+
+    ``signed`` uses residuals with their sign; else their size, as published.
+    """
     w, maps, residual = loo_residuals(phi, y, penalty)
     # the fit without row i predicts the full fit less what that row's residual had moved
     without = (queries @ w)[:, None] - (queries @ maps) * residual
     around = residual if signed else np.abs(residual)
     alpha = 1 - level
-    return inverted_cdf(without - around, alpha / 2), inverted_cdf(without + around, 1 - alpha / 2)
+    return inverted_cdf(without - around, alpha), inverted_cdf(without + around, 1 - alpha)
 
 
 class Ridge:
@@ -155,37 +160,39 @@ def best_components(x: np.ndarray, y: np.ndarray, most: int = 15, folds: int | N
     return int(np.argmin(errors)) + 1
 
 
-def cars(x: np.ndarray, y: np.ndarray, most: int = 10, runs: int = 50, seed: int = 0) -> np.ndarray:
-    """Competitive adaptive reweighted sampling: a mask of channels (at least two)."""
+def cars(x: np.ndarray, y: np.ndarray, most: int = 15, runs: int = 50, seed: int = 0) -> np.ndarray:
+    """Competitive adaptive reweighted sampling: a mask of channels (all where fewer than two would stay).
+
+    Each run fits PLS to nine tenths of the rows, draws the channels that stay by their
+    coefficients' sizes, without replacement and ever fewer, and scores them by
+    cross-validation (one row out up to 40 rows, five folds beyond).
+    """
     n, p = x.shape
-    if n < 4 or p <= 2:
-        return np.ones(p, bool)
+    every = np.ones(p, bool)
+    if n < 4 or runs < 2:
+        return every
     rng = np.random.default_rng(seed)
-    decay = math.log(p / 2) / (runs - 1)
-    components = best_components(x, y, most, 5)
-    alive, best = np.arange(p), (math.inf, np.ones(p, bool))
-    for i in range(runs):
-        rows = rng.choice(n, max(3, round(0.9 * n)), replace=False)
-        model = PLS(min(components, len(alive), len(rows) - 1)).fit(x[rows][:, alive], y[rows])
-        weight = np.abs(model.rotation @ model.q)
-        if weight.sum() <= 0:
-            break
-        keep = min(max(2, round(p * math.exp(-decay * i))), len(alive))
-        weight[np.argsort(-weight, kind="stable")[keep:]] = 0
-        drawn = rng.choice(len(alive), keep, p=weight / weight.sum())
-        alive = alive[np.unique(drawn)]
+    components = max(1, min(best_components(x, y, most), n - 1))
+    shares = np.exp(-math.log(max(p / 2, 1.0)) / (runs - 1) * np.arange(runs))
+    alive, best, least = np.arange(p), every, math.inf
+    for share in shares:
+        rows = rng.choice(n, max(round(0.9 * n), 3), replace=False)
+        model = PLS(max(1, min(components, len(rows) - 1, len(alive)))).fit(x[rows][:, alive], y[rows])
+        keep = max(2, round(share * p))
+        if len(alive) > keep:
+            weight = np.abs(model.rotation @ model.q / model.scale)
+            able = np.count_nonzero(weight) >= keep
+            alive = np.sort(rng.choice(alive, keep, replace=False, p=weight / weight.sum() if able else None))
         if len(alive) < 2:
-            break
-        own = x[:, alive]
-        error = 0.0
-        for part in folds_of(n, 5):
+            continue
+        wrong = 0.0
+        for part in folds_of(n):
             rest = np.setdiff1d(np.arange(n), part)
-            error += float(((PLS(min(components, len(alive), len(rest) - 1)).fit(own[rest], y[rest]).predict(own[part]) - y[part]) ** 2).sum())
-        if error < best[0]:
-            mask = np.zeros(p, bool)
-            mask[alive] = True
-            best = error, mask
-    return best[1]
+            held = PLS(max(1, min(components, n - 1, len(alive)))).fit(x[rest][:, alive], y[rest]).predict(x[part][:, alive])
+            wrong += float(((held - y[part]) ** 2).sum())
+        if wrong < least:
+            least, best = wrong, np.isin(np.arange(p), alive)
+    return best if best.sum() >= 2 else every
 
 
 def nnls(a: np.ndarray, b: np.ndarray, most: int = 300) -> np.ndarray:
@@ -252,10 +259,49 @@ def measures(pred: np.ndarray, y: np.ndarray) -> dict[str, float | None]:
     return {"r2": None if spread <= 1e-12 else 1 - error * len(y) / spread, "rmse": root, "rpd": math.inf if root <= 1e-12 else float(y.std(ddof=1)) / root if len(y) > 1 else None}
 
 
+@dataclass
+class Fitted:
+    """A head with what its inputs go through: chosen channels, scaling, a projection; and the target's centre and scale."""
+
+    head: Head
+    centre: np.ndarray | float
+    spread: np.ndarray | float
+    clip: float | None = 5.0
+    mask: np.ndarray | None = None
+    project: Callable[[np.ndarray], np.ndarray] | None = None
+    y_centre: float = 0.0
+    y_spread: float = 1.0
+    n_features: int = 0
+    note: int = 0  #: what else there is to say of the fit, such as its components
+
+    def inputs(self, x: np.ndarray) -> np.ndarray:
+        x = x if self.mask is None else x[:, self.mask]
+        z = (x - self.centre) / self.spread
+        z = z if self.clip is None else np.clip(z, -self.clip, self.clip)
+        return z if self.project is None else self.project(z)
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        return self.head.predict(self.inputs(x)) * self.y_spread + self.y_centre
+
+    def quantiles(self, x: np.ndarray, levels: tuple[float, ...] = QUANTILES) -> np.ndarray:
+        return self.head.quantiles(self.inputs(x), levels) * self.y_spread + self.y_centre
+
+
+def fitted(made: Head, x: np.ndarray, y: np.ndarray, clip: float | None = 5.0, shift: bool = True, mask: np.ndarray | None = None, scale_y: bool = True) -> Fitted:
+    """A head fitted to a support set, scaled by the support's channel means and population deviations."""
+    own = x if mask is None else x[:, mask]
+    out = Fitted(made, own.mean(0) if shift else 0.0, own.std(0) + 1e-8, clip, mask, n_features=own.shape[1])
+    if scale_y:
+        out.y_centre, out.y_spread = float(y.mean()), float(y.std()) + 1e-8
+    made.fit(out.inputs(x), (y - out.y_centre) / out.y_spread if scale_y else y)
+    return out
+
+
 def cells(rows: DataFrame, by: list[str], fn: Callable[[dict, np.ndarray, np.ndarray, np.ndarray, np.ndarray, pd.DataFrame], list[dict]], schema: str) -> DataFrame:
     """Run ``fn(keys, x_support, y_support, x_query, y_query, query_rows)`` on each cell.
 
-    ``rows`` has the keys, ``role``, ``idx``, ``x`` (array) and ``y``. Cells without query rows give nothing.
+    ``rows`` has the keys, ``role``, ``idx``, ``x`` (array) and ``y``; both roles must be capped
+    beforehand, for a cell is one task's. Cells without query rows give nothing.
     """
     names = [f.split()[0] for f in schema.split(", ")]
 
@@ -271,24 +317,7 @@ def cells(rows: DataFrame, by: list[str], fn: Callable[[dict, np.ndarray, np.nda
     return rows.groupBy(*by).applyInPandas(run, schema)
 
 
-RESULT = "task string, support_size int, repetition int, {arm} string, n_features int, r2 double, rmse double, rpd double"
-
-
-def scores(rows: DataFrame, by: list[str], arms: dict[str, str], standardise: bool = True) -> DataFrame:
-    """One result row for each cell and arm (arm name to head name)."""
-
-    def fn(keys, xs, ys, xq, yq, _):
-        out = []
-        m, sd = ys.mean(), ys.std() + 1e-8
-        for arm, name in arms.items():
-            a, b = scaled(xs, xq, 5.0 if name != "pls" else None) if standardise else (xs, xq)
-            pred = head(name).fit(a, (ys - m) / sd).predict(b) * sd + m
-            out.append(keys | {"arm": arm, "n_features": a.shape[1]} | measures(pred, yq))
-        return out
-
-    return cells(rows, by, fn, ", ".join(f"{k} {t}" for k, t in _types(rows, by)) + ", arm string, n_features int, r2 double, rmse double, rpd double")
-
-
-def _types(rows: DataFrame, by: list[str]) -> list[tuple[str, str]]:
+def types(rows: DataFrame, by: list[str]) -> str:
+    """The schema of some columns."""
     kinds = dict(rows.dtypes)
-    return [(c, kinds[c]) for c in by]
+    return ", ".join(f"{c} {kinds[c]}" for c in by)

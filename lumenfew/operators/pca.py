@@ -29,7 +29,7 @@ class Model:
 
     def error(self, x: Column) -> Column:
         """Squared distance of the rebuilt row over the row's squared length."""
-        return A.squared_distance(x, self.rebuilt(x)) / A.dot(x, x)
+        return A.bound(x, lambda v: A.squared_distance(v, self.rebuilt(v)) / A.dot(v, v))
 
 
 def fit(df: DataFrame, x: str, k: int) -> Model:

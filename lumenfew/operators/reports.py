@@ -116,3 +116,8 @@ def aligned(families: dict[str, DataFrame], value: str = "r2") -> DataFrame:
 
 def seconds(df: DataFrame, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.sum("seconds").alias("seconds"), F.count("*").alias("n"))
+
+
+def error_quantiles(df: DataFrame, by: list[str], error: str) -> DataFrame:
+    """Median and 90 % point of errors, linear between ranks."""
+    return df.groupBy(*by).agg(F.percentile(error, F.lit(0.5)).alias("median_error"), F.percentile(error, F.lit(0.9)).alias("p90_error"), F.count("*").alias("n"))

@@ -26,25 +26,33 @@ def component_basis(peaks: DataFrame, axis: DataFrame, width: float = PEAK_WIDTH
     return near.groupBy("compound", "wavenumber").agg(F.sum(F.col("intensity") * F.exp(-0.5 * F.pow((F.col("wavenumber") - F.col("p")) / width, 2))).alias("value"))
 
 
-def baseline_of(rng: np.random.Generator, n: int, degree: int = 3, scale: float = 0.1) -> np.ndarray:
+def baseline_of(rng: np.random.Generator, n: int, degree: int = 3, scale: float = 0.3) -> np.ndarray:
     """A random polynomial over [-1, 1]; the coefficient of the highest degree has half the scale."""
-    c = rng.normal(0, scale, degree + 1)
-    c[0] *= 0.5
-    return np.polyval(c, np.linspace(-1, 1, n))
+    spread = np.full(degree + 1, scale)
+    spread[0] /= 2
+    return np.polyval(rng.normal(0, spread), np.linspace(-1, 1, n))
 
 
-def perturbed(rng: np.random.Generator, x: np.ndarray, shift: float = 2.0, stretch: float = 0.01, blur: float = 0.3, scatter: float = 0.1, snr: tuple[float, float] = (25, 45)) -> np.ndarray:
-    """Shift and stretch, sometimes blur, scatter, baseline, then noise at a signal-to-noise ratio in decibels."""
+# Ranges of the perturbation chain.
+SHIFT, STRETCH, BLUR, BLUR_WIDTH = 3.0, 0.01, 0.3, (0.5, 2.0)
+SLOPE, TILT, BASELINE, SNR = (0.9, 1.1), 0.05, 0.15, (30, 60)
+
+
+def perturbed(rng: np.random.Generator, x: np.ndarray) -> np.ndarray:
+    """Shift and stretch about the middle, sometimes blur, tilted scatter, a baseline by the largest value, then noise at a signal-to-noise ratio in decibels."""
     n = len(x)
     at = np.arange(n)
-    out = np.interp(at * (1 + rng.uniform(-stretch, stretch)) + rng.uniform(-shift, shift), at, x)
-    if rng.random() < blur:
-        k = np.exp(-0.5 * (np.arange(-4, 5) / rng.uniform(0.5, 2)) ** 2)
-        out = np.convolve(np.pad(out, 4, mode="edge"), k / k.sum(), "valid")
-    out = out * (1 + rng.normal(0, scatter)) + rng.normal(0, scatter / 2)
-    out = out + baseline_of(rng, n)
-    power = np.sqrt(np.mean(out**2)) / 10 ** (rng.uniform(*snr) / 20)
-    return out + rng.normal(0, power, n)
+    moved = at + rng.uniform(-SHIFT, SHIFT) + rng.uniform(-STRETCH, STRETCH) * (at - n / 2)
+    out = np.interp(at, moved, x)
+    if rng.random() < BLUR:
+        width = rng.uniform(*BLUR_WIDTH)
+        half = (int(6 * width) | 1) // 2
+        kernel = np.exp(-0.5 * (np.arange(-half, half + 1) / width) ** 2)
+        out = np.convolve(out, kernel / kernel.sum(), "same")
+    out = out * (rng.uniform(*SLOPE) + rng.uniform(-TILT, TILT) * np.linspace(-1, 1, n))
+    out = out + baseline_of(rng, n, int(rng.integers(2, 4)), BASELINE) * (np.abs(out).max() + 1e-8)
+    level = np.sqrt(np.mean(out**2)) / 10 ** (rng.uniform(*SNR) / 20)
+    return out + rng.normal(0, level, n)
 
 
 def mixtures(spark: SparkSession, library: np.ndarray, n: int, seed: int = 42, components: tuple[int, int] = (2, 4), perturb: bool = True, partitions: int | None = None) -> DataFrame:
@@ -71,36 +79,46 @@ def mixtures(spark: SparkSession, library: np.ndarray, n: int, seed: int = 42, c
     return spark.range(0, n, 1, partitions).mapInPandas(run, "idx long, weights map<string,double>, spectrum array<float>")
 
 
-def compositions(df: DataFrame, x: str, basis: np.ndarray) -> DataFrame:
-    """``weights``: non-negative least squares on a small basis, and ``residual``: what it leaves of the squared length."""
+def compositions(df: DataFrame, x: str, basis: np.ndarray, axis: np.ndarray | None = None) -> DataFrame:
+    """``weights``: non-negative least squares on a small basis, and ``residual``: what it leaves of the squared length.
+
+    With ``axis``, a constant and a line along it are fitted too (they have no weight in the result).
+    """
+    design = basis.T if axis is None else np.column_stack([basis.T, np.ones(len(axis)), (axis - axis.mean()) / 1000])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            w = [nnls(basis.T, np.asarray(v, float)) for v in b[x]]
-            left = [float(((np.asarray(v) - basis.T @ k) ** 2).sum() / max((np.asarray(v) ** 2).sum(), 1e-300)) for v, k in zip(b[x], w, strict=True)]
-            yield b.assign(weights=[k.tolist() for k in w], residual=left)
+            rows = [np.asarray(v, float) for v in b[x]]
+            w = [nnls(design, v) for v in rows]
+            left = [float(((v - design @ k) ** 2).sum() / max((v**2).sum(), 1e-12)) for v, k in zip(rows, w, strict=True)]
+            yield b.assign(weights=[k[: len(basis)].tolist() for k in w], residual=left)
 
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     return df.mapInPandas(run, f"{own}, weights array<double>, residual double")
 
 
-def fuel(spark: SparkSession, basis: np.ndarray, prior: np.ndarray, n: int, seed: int = 66007, jitter: float = 0.2, noise: float = 0.01, partitions: int | None = None) -> DataFrame:
-    """``idx, spectrum``: compositions drawn around rows of a small ``prior``, two broad bumps, a scale and noise."""
-    shared = spark.sparkContext.broadcast((basis, prior))
+# Ranges of the fuel simulation.
+PRESENT, ABSENT, BUMP, BUMP_WIDTH, SCALE, NOISE = (0.7, 1.3), 0.01, (0.02, 0.10), (300, 900), (0.6, 1.4), 0.01
+
+
+def fuel(spark: SparkSession, axis: np.ndarray, basis: np.ndarray, prior: np.ndarray, n: int, seed: int = 66007, partitions: int | None = None) -> DataFrame:
+    """``idx, spectrum``: compositions near rows of a small ``prior``, two broad bumps, a scale and noise.
+
+    Components that a row has are multiplied, those it lacks get a little of its largest.
+    """
+    shared = spark.sparkContext.broadcast((axis, basis, prior))
+
+    def made(rng: np.random.Generator, axis: np.ndarray, basis: np.ndarray, prior: np.ndarray) -> np.ndarray:
+        c = prior[rng.integers(len(prior))]
+        c = np.where(c > 0, c * rng.uniform(*PRESENT, len(c)), np.abs(rng.normal(0, ABSENT, len(c))) * (c * (c > 0)).max())
+        base = c @ basis
+        bumps = sum(rng.uniform(*BUMP) * base.max() * np.exp(-0.5 * ((axis - rng.uniform(axis.min(), axis.max())) / rng.uniform(*BUMP_WIDTH)) ** 2) for _ in range(2))
+        return rng.uniform(*SCALE) * (base + bumps) + rng.normal(0, NOISE * max(base.max(), 1e-9), len(axis))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        b_, p_ = shared.value
-        u = np.linspace(0, 1, b_.shape[1])
         for b in batches:
-            out = []
-            for i in b.id:
-                rng = np.random.default_rng([seed, int(i)])
-                x = (p_[rng.integers(len(p_))] * np.exp(rng.normal(0, jitter, len(b_)))) @ b_
-                for _ in range(2):
-                    x = x + rng.uniform(0, 0.3) * x.max() * np.exp(-0.5 * ((u - rng.random()) / rng.uniform(0.1, 0.4)) ** 2)
-                x = x * rng.uniform(0.8, 1.2)
-                out.append((i, (x + rng.normal(0, noise * (x.std() + 1e-12), len(x))).astype(np.float32)))
-            yield pd.DataFrame(out, columns=["idx", "spectrum"])
+            rows = [made(np.random.default_rng([seed, int(i)]), *shared.value).astype(np.float32) for i in b.id]
+            yield pd.DataFrame({"idx": b.id.to_numpy(), "spectrum": rows})
 
     return spark.range(0, n, 1, partitions).mapInPandas(run, "idx long, spectrum array<float>")
 

@@ -73,7 +73,7 @@ def representation(name: str, channels: int, corpus: DataFrame | None = None, x:
 
         if corpus is None:
             raise FileNotFoundError("the corpus table is missing: build it first")
-        rows = corpus if not m[2] else corpus.orderBy(F.md5(F.to_json(F.struct("*")))).limit(int(m[2]))
+        rows = corpus if not m[2] else corpus.orderBy(F.md5(F.to_json(F.struct(*corpus.columns)))).limit(int(m[2]))
         model = pca.fit(rows, x, int(m[1]))
         return lambda c: A.centred_scores(A.doubles(c), model.centre, model.columns)
     if name == "wavelet-scattering":

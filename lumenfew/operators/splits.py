@@ -7,6 +7,8 @@ of at most ``SMALL`` rows, and return them as a table to join.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -57,17 +59,36 @@ def whole_group_split(df: DataFrame, group: str, k: int, rep: int) -> DataFrame:
     return joined.withColumn("role", F.when(F.col("__group").isNotNull(), "support").otherwise("query")).drop("__group")
 
 
-def share_split(df: DataFrame, id_: str, share: float, rep: int, by: list[str], family: str = "candidate") -> DataFrame:
+def first_by_hash(df: DataFrame, by: list[str], code_: Column, id_: str, wanted: Callable[[Column], Column], name: str) -> DataFrame:
+    """``name``: whether a row is among the first ``wanted(n)`` of its cell's ``n`` rows by hash.
+
+    Rows are ranked within the cell's hashes of one three-digit beginning (a 4096th of the
+    cell); how many come before is counted, so no window holds a whole cell.
+    """
+    coded = df.withColumn("__code", code_).withColumn("__p", F.substring("__code", 1, 3))
+    parts = coded.groupBy(*by, "__p").agg(F.count("*").alias("__c"))
+    cell = Window.partitionBy(*by)
+    # at most 4096 rows a cell
+    parts = parts.withColumn("__before", F.sum("__c").over(cell.orderBy("__p")) - F.col("__c")).withColumn("__wanted", wanted(F.sum("__c").over(cell))).drop("__c")
+    keys = [*by, "__p"]
+    parts = parts.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)], "__before", "__wanted")
+    on = F.lit(True)
+    for i, c in enumerate(keys):
+        on = on & F.col(c).eqNullSafe(F.col(f"__k{i}"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("__code", id_))
+    return coded.withColumn("__r", rank).join(parts, on).select(*df.columns, (F.col("__before") + F.col("__r") <= F.col("__wanted")).alias(name))
+
+
+def share_split(df: DataFrame, id_: str, share: float, rep: int | Column, by: list[str], family: str = "candidate") -> DataFrame:
     """Within each cell ``by``: the first round-half-even(share * n) rows are candidates, the rest test."""
-    order = Window.partitionBy(*by).orderBy(code(family, 0, rep, F.col(id_)), id_)
-    n = F.count("*").over(Window.partitionBy(*by))
-    return df.withColumn("role", F.when(F.row_number().over(order) <= F.bround(n * share), "candidate").otherwise("test"))
+    code_ = F.md5(F.concat_ws("-", F.lit(family), F.lit(0), F.lit(rep) if isinstance(rep, int) else rep, F.col(id_).cast("string")))
+    some = first_by_hash(df, by, code_, id_, lambda n: F.bround(n * share), "__first")
+    return some.withColumn("role", F.when(F.col("__first"), "candidate").otherwise("test")).drop("__first")
 
 
 def halves(df: DataFrame, id_: str, k: int, rep: int, by: list[str]) -> DataFrame:
     """Within each cell: ``is_calibration`` for the first half (rounded down)."""
-    order = Window.partitionBy(*by).orderBy(code("half", k, rep, F.col(id_)), id_)
-    return df.withColumn("is_calibration", F.row_number().over(order) <= F.floor(F.count("*").over(Window.partitionBy(*by)) / 2))
+    return first_by_hash(df, by, code("half", k, rep, F.col(id_)), id_, lambda n: F.floor(n / 2), "is_calibration")
 
 
 def capped(df: DataFrame, id_: str, most: int, by: list[str], rep: int = 0) -> DataFrame:
@@ -86,28 +107,49 @@ def _checked(n: int) -> int:
 
 
 def numpy_eval_split(n: int, k: int, rep: int, seed: int = 42, groups: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Support and query indices by numpy's default generator."""
+    """Support indices, in the order of their draw, and query indices by numpy's default generator.
+
+    With ``groups``, one member of each of ``k`` groups is support and all others of those groups are left out.
+    """
     rng = np.random.default_rng(seed * 1000 + k * 100 + rep)
-    every = np.arange(_checked(n))
+    _checked(n)
     if groups is None:
-        chosen = np.sort(rng.choice(n, size=k, replace=False)) if k <= n else every
-        return chosen, np.setdiff1d(every, chosen)
-    groups = np.asarray(groups)
-    names = rng.permutation(np.unique(groups))[:k]
-    firsts = []
-    for name in names:
-        members = np.flatnonzero(groups == name)
-        rng.shuffle(members)
-        firsts.append(members[0])
-    return np.array(firsts), np.flatnonzero(~np.isin(groups, names))
+        drawn = rng.choice(n, k, replace=False)
+        return drawn, np.delete(np.arange(n), drawn)
+    _, which = np.unique(np.asarray(groups), return_inverse=True)
+    drawn = rng.permutation(which.max() + 1)[:k]
+    support = []
+    for g in drawn:
+        own = np.flatnonzero(which == g)
+        rng.shuffle(own)
+        support.append(own[0])
+    return np.array(support, int), np.flatnonzero(~np.isin(which, drawn))
 
 
 def numpy_group_split(groups: list, k: int, rep: int, seed: int = 66) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(seed * 1000 + k * 100 + rep)
-    groups = np.asarray(groups)
+    """All rows of ``k`` drawn groups as support, the others as query."""
     _checked(len(groups))
-    names = rng.permutation(np.unique(groups))[:k]
-    inside = np.isin(groups, names)
+    names = np.unique(np.asarray(groups))
+    drawn = np.random.default_rng(seed * 1000 + k * 100 + rep).choice(names, min(k, len(names)), replace=False)
+    inside = np.isin(np.asarray(groups), drawn)
+    return np.flatnonzero(inside), np.flatnonzero(~inside)
+
+
+def numpy_fusion_split(n: int, k: int, rep: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``k`` of a permutation as support, the rest as query."""
+    order = np.random.default_rng(66_000 + k * 100 + rep).permutation(_checked(n))
+    return order[:k], order[k:]
+
+
+def numpy_candidate_split(n: int, rep: int, share: float = 0.6, groups: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates and test rows; with ``groups``, whole groups on either side."""
+    rng = np.random.default_rng(66_900 + rep)
+    if groups is None:
+        order = rng.permutation(_checked(n))
+        cut = round(share * n)
+        return order[:cut], order[cut:]
+    names = np.unique(np.asarray(groups))
+    inside = np.isin(np.asarray(groups), names[rng.permutation(len(names))[: round(share * len(names))]])
     return np.flatnonzero(inside), np.flatnonzero(~inside)
 
 

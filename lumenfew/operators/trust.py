@@ -12,24 +12,22 @@ from pyspark.sql import functions as F
 
 from lumenfew.functions import arrays as A
 from lumenfew.functions import metrics as M
-from lumenfew.operators import heads
+from lumenfew.operators import experiments, heads
 
 #: Nominal coverage and the places of the interval's ends among the 11 quantiles.
-LEVELS = ((50, 4, 6), (80, 3, 7), (90, 2, 8), (95, 1, 9), (98, 0, 10))
+LEVELS = ((50, 4, 6), (68, 3, 7), (80, 2, 8), (90, 1, 9), (95, 0, 10))
 FRACTIONS = (0.3, 0.5, 0.7)
 STEPS = (2, 5, 10, 15, 20)
 
 
-def posteriors(rows: DataFrame, by: list[str], name: str = "ridge") -> DataFrame:
+def posteriors(rows: DataFrame, sizes: list[int], reps: int, name: str = "ridge") -> DataFrame:
     """``idx, y, quantiles`` of each query row of each cell, in the target's units."""
+    models = experiments.fit_cells(rows, sizes, reps, experiments.one_head(name))
 
-    def fn(keys, xs, ys, xq, yq, q):
-        a, b = heads.scaled(xs, xq)
-        m, sd = ys.mean(), ys.std() + 1e-8
-        found = heads.head(name).fit(a, (ys - m) / sd).quantiles(b, heads.QUANTILES) * sd + m
-        return [keys | {"idx": int(i), "y": float(t), "quantiles": v.tolist()} for i, t, v in zip(q.idx, yq, found.T, strict=True)]
+    def each(_, made, x, part):
+        return pd.DataFrame({"idx": part.idx.to_numpy(), "y": part.y.to_numpy(float), "quantiles": list(made[name].quantiles(x).T)})
 
-    return heads.cells(rows, by, fn, ", ".join(f"{k} {t}" for k, t in heads._types(rows, by)) + ", idx long, y double, quantiles array<double>")
+    return experiments.predicted(rows, models, each, "idx long, y double, quantiles array<double>")
 
 
 def conformal_quantile(df: DataFrame, by: list[str], score: str, nominal: str) -> DataFrame:
@@ -50,15 +48,15 @@ def audit(found: DataFrame, by: list[str]) -> DataFrame:
     spark = found.sparkSession
     levels = F.broadcast(spark.createDataFrame([(n, a, b) for n, a, b in LEVELS], "nominal int, a int, b int"))
     at = lambda i: F.get("quantiles", i)
-    rows = found.withColumn("pred", at(F.lit(5))).withColumn("scale", at(F.lit(7)) - at(F.lit(3)) + 1e-12)
+    rows = found.withColumn("pred", at(F.lit(5))).withColumn("scale", at(F.lit(8)) - at(F.lit(2)) + 1e-12)
     scored = rows.where("is_calibration").crossJoin(levels).select(*by, "nominal", F.abs(F.col("y") - F.col("pred")).alias("e"), (F.abs(F.col("y") - F.col("pred")) / F.col("scale")).alias("e_local"))
     flat = conformal_quantile(scored, by, "e", "nominal").withColumnRenamed("radius", "flat")
     local = conformal_quantile(scored, by, "e_local", "nominal").withColumnRenamed("radius", "local")
     held = rows.where("not is_calibration").crossJoin(levels).join(flat, [*by, "nominal"]).join(local, [*by, "nominal"])
     ends = F.array(
         F.struct(F.lit("native-posterior").alias("method"), at(F.col("a")).alias("low"), at(F.col("b")).alias("high")),
-        F.struct(F.lit("split-conformal").alias("method"), (F.col("pred") - F.col("flat")).alias("low"), (F.col("pred") + F.col("flat")).alias("high")),
-        F.struct(F.lit("adaptive-conformal").alias("method"), (F.col("pred") - F.col("local") * F.col("scale")).alias("low"), (F.col("pred") + F.col("local") * F.col("scale")).alias("high")),
+        F.struct(F.lit("split-conformal-absolute").alias("method"), (F.col("pred") - F.col("flat")).alias("low"), (F.col("pred") + F.col("flat")).alias("high")),
+        F.struct(F.lit("split-conformal-locally-adaptive").alias("method"), (F.col("pred") - F.col("local") * F.col("scale")).alias("low"), (F.col("pred") + F.col("local") * F.col("scale")).alias("high")),
     )
     each = held.select(*by, "nominal", "y", "pred", F.explode(ends).alias("i")).select(*by, "nominal", "y", "pred", "i.method", "i.low", "i.high")
     y, pred = F.col("y"), F.col("pred")
@@ -66,49 +64,63 @@ def audit(found: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumn("catastrophic_failure", M.catastrophic(F.col("r2_evaluation")))
 
 
-def jackknife_audit(rows: DataFrame, by: list[str], signed: bool = True) -> DataFrame:
-    """Jackknife+ coverage and width at five levels; features are scaled only, targets too."""
+class JackknifeHead(heads.Ridge):
+    """Ridge that gives jackknife+ interval ends."""
 
-    def fn(keys, xs, ys, xq, yq, _):
-        a, b = heads.scaled(xs, xq, shift=False)
-        m, sd = ys.mean(), ys.std() + 1e-8
-        phi, q = heads.with_one(a), heads.with_one(b)
-        t = (ys - m) / sd
-        penalty = heads.best_penalty(phi, t)
-        pred = q @ heads.ridge_fit(phi, t, penalty)[0] * sd + m
-        r2 = heads.measures(pred, yq)["r2"]
+    def ends(self, x: np.ndarray, level: float, signed: bool) -> tuple[np.ndarray, np.ndarray]:
+        return heads.jackknife_plus(self.phi, self.y, heads.with_one(x), level, self.penalty, signed)
+
+
+def jackknife_audit(rows: DataFrame, sizes: list[int], reps: int, signed: bool = True) -> DataFrame:
+    """Jackknife+ coverage and width at five levels; features are scaled only, targets stay in their units."""
+    models = experiments.fit_cells(rows, sizes, reps, lambda _, x, y: {"ridge": heads.fitted(JackknifeHead(), x, y, shift=False, scale_y=False)})
+
+    def each(_, made, x, part):
+        m = made["ridge"]
+        z, pred, y = m.inputs(x), m.predict(x), part.y.to_numpy(float)
         out = []
-        for nominal, _, _ in LEVELS:
-            low, high = (e * sd + m for e in heads.jackknife_plus(phi, t, q, nominal / 100, penalty, signed))
-            out.append(keys | {"nominal": nominal, "empirical_coverage": float(((low <= yq) & (yq <= high)).mean()), "mean_interval_width": float((high - low).mean()), "r2_evaluation": r2, "ridge_penalty": penalty})
-        return out
+        for nominal, _a, _b in LEVELS:
+            low, high = m.head.ends(z, nominal / 100, signed)
+            out.append(pd.DataFrame({"nominal": nominal, "y": y, "pred": pred, "low": low, "high": high, "ridge_penalty": m.head.penalty}))
+        return pd.concat(out, ignore_index=True)
+
+    found = experiments.predicted(rows, models, each, "nominal int, y double, pred double, low double, high double, ridge_penalty double")
+    y, pred, low, high = (F.col(c) for c in ("y", "pred", "low", "high"))
+    out = found.groupBy(*experiments.BY, "nominal", "ridge_penalty").agg(M.coverage(low, high, y).alias("empirical_coverage"), M.width(low, high).alias("mean_interval_width"), M.r2(pred, y).alias("r2_evaluation"), F.count("*").alias("n"))
+    return out.where(F.col("n") > experiments.LEAST_QUERY).drop("n")
 
-    return heads.cells(rows, by, fn, ", ".join(f"{k} {t}" for k, t in heads._types(rows, by)) + ", nominal int, empirical_coverage double, mean_interval_width double, r2_evaluation double, ridge_penalty double")
 
+def mean_coverage(df: DataFrame) -> DataFrame:
+    """Mean empirical coverage and width of each method and nominal level, over tasks and repetitions."""
+    return df.groupBy("method", "nominal").agg(F.avg("empirical_coverage").alias("mean_coverage"), F.avg("mean_interval_width").alias("mean_width"), F.count("*").alias("n"))
 
-def gate(rows: DataFrame, by: list[str], name: str = "ridge", references: int = 4, seed: int = 55) -> DataFrame:
+
+def gate(rows: DataFrame, by: list[str], name: str = "ridge", references: int = 4, seed: int = 55_000) -> DataFrame:
     """Per query row: how far predictions of mixtures with support rows stray from the mixed predictions.
 
-    Queries are standardised as queries (the second result of the scaling); references are
-    at most ``references`` support rows. A large score means distrust.
+    ``rows`` are capped cells. Queries are standardised as queries (the second result of the
+    scaling); references are at most ``references`` support rows at random, and the straight
+    line runs between what the head predicts for them and for the query. A large score means
+    distrust.
     """
 
     def fn(keys, xs, ys, xq, yq, q):
+        rng = np.random.default_rng(seed + keys.get("support_size", len(ys)) * 100 + keys.get("repetition", 0))
         a, b = heads.scaled(xs, xq)
         m, sd = ys.mean(), ys.std() + 1e-8
         model = heads.head(name).fit(a, (ys - m) / sd)
-        pred = model.predict(b) * sd + m
-        refs = np.argsort(ys, kind="stable")[np.unique(np.linspace(0, len(ys) - 1, min(references, len(ys))).round().astype(int))]
+        low, median, high = model.quantiles(b, (0.1, 0.5, 0.9)) * sd + m
+        refs = rng.choice(len(ys), min(references, len(ys)), replace=False)
+        known = model.predict(a)[refs] * sd + m
         off = np.zeros(len(b))
         for c in FRACTIONS:
             mixed = (c * a[refs][None] + (1 - c) * b[:, None]).reshape(-1, a.shape[1])
             got = (model.predict(mixed) * sd + m).reshape(len(b), len(refs))
-            off += np.abs(got - (c * ys[refs][None] + (1 - c) * pred[:, None])).mean(1)
-        low, high = model.quantiles(b, (0.05, 0.95)) * sd
-        control = np.random.default_rng([seed, len(ys), len(yq)]).random(len(b))
-        return [keys | {"idx": int(i), "y": float(t), "pred": float(p), "gate": float(g), "width": float(w), "control": float(r)} for i, t, p, g, w, r in zip(q.idx, yq, pred, off / len(FRACTIONS) / sd, high - low, control, strict=True)]
+            off += np.abs(got - (c * known[None] + (1 - c) * median[:, None])).mean(1)
+        control = rng.random(len(b))
+        return [keys | {"idx": int(i), "y": float(t), "pred": float(p), "gate": float(g), "width": float(w), "control": float(r)} for i, t, p, g, w, r in zip(q.idx, yq, median, off / len(FRACTIONS) / sd, high - low, control, strict=True)]
 
-    return heads.cells(rows, by, fn, ", ".join(f"{k} {t}" for k, t in heads._types(rows, by)) + ", idx long, y double, pred double, gate double, width double, control double")
+    return heads.cells(rows, by, fn, heads.types(rows, by) + ", idx long, y double, pred double, gate double, width double, control double")
 
 
 def risk_coverage(df: DataFrame, by: list[str], score: str, pred: str = "pred", y: str = "y", tie: str = "idx") -> DataFrame:
@@ -154,11 +166,13 @@ def farthest(pool: DataFrame, chosen: DataFrame, id_: str, x: str) -> DataFrame:
 
 
 def selection(rows: DataFrame, by: list[str], name: str = "ridge", steps: tuple[int, ...] = STEPS) -> DataFrame:
-    """Grow a support set from two shared rows by three strategies; score a fixed test set at each size.
+    """Grow a support set from two rows that the strategies share by three strategies; score a fixed test set at each size.
+
+    Each repetition has its own draws, and each strategy its own stream of them.
 
     ``rows`` has ``role`` candidate or test; pools are capped beforehand, so a cell is small.
     """
-    schema = ", ".join(f"{k} {t}" for k, t in heads._types(rows, by)) + ", strategy string, support_size int, r2 double, rmse double"
+    schema = heads.types(rows, by) + ", strategy string, support_size int, r2 double, rmse double"
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(keys: tuple, frame: pd.DataFrame) -> pd.DataFrame:
@@ -168,10 +182,11 @@ def selection(rows: DataFrame, by: list[str], name: str = "ridge", steps: tuple[
             return pd.DataFrame({n: [] for n in names})
         x, y = np.stack(pool.x.to_list()).astype(float), pool.y.to_numpy(float)
         xt, yt = np.stack(test.x.to_list()).astype(float), test.y.to_numpy(float)
-        seed = np.random.default_rng(66_900).choice(len(y), 2, replace=False).tolist()
+        rep = int(dict(zip(by, keys, strict=True)).get("repetition", 0))
+        seed = np.random.default_rng(66_900 + rep).choice(len(y), 2, replace=False).tolist()
         out = []
         for si, strategy in enumerate(("random", "k-center", "interval-width")):
-            rng = np.random.default_rng(67_000 + 7 * si)
+            rng = np.random.default_rng(67_000 + rep + 7 * si)
             own = list(seed)
             for size in steps:
                 while len(own) < size:

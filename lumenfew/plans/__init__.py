@@ -10,4 +10,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {name: sql for part in (embeddings, tables) for name, sql in part.SQL.items()}
+    return {name: sql for part in (embeddings, tables, models) for name, sql in part.SQL.items()}

@@ -19,7 +19,8 @@ from lumenfew.operators import pca, simulate, spectra, splits, trust
 from lumenfew.operators.wavelet import scattering, with_scattering
 from lumenfew.plans.embeddings import rows
 
-SIZES, REPS = [5, 10, 20], 2
+SIZES, REPS = [5, 10, 20], 10
+BUDGET = [5, 10, 20, 50, 100]
 
 
 def task_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -35,8 +36,8 @@ def features(spark, sf, k: int = 10) -> DataFrame:
     return df.withColumn("x", pca.fit(df, "x", k).scores(F.col("x")))
 
 
-def cells(spark, sf, k: int = 10) -> DataFrame:
-    return X.grid_cells(features(spark, sf, k).select("task", "idx", "x", "y"), SIZES, REPS)
+def plain(df: DataFrame) -> DataFrame:
+    return df.select("task", "idx", "x", "y")
 
 
 def pca_reconstruction_error(spark, sf):
@@ -44,6 +45,13 @@ def pca_reconstruction_error(spark, sf):
     return df.select("vec_id", pca.fit(df, "x", 20).error(F.col("x")).alias("error"))
 
 
+def fixed_component_error(spark, sf):
+    """The same with components that SQL can state: the first 20 axes around a centre of i / 1000."""
+    df = rows(spark, sf)
+    model = pca.Model([i / 1000 for i in range(64)], np.eye(64)[:20].tolist(), [])
+    return df.select("vec_id", F.round(model.error(F.col("x")), 6).alias("error"))
+
+
 def principal_angles(spark, sf):
     df = rows(spark, sf)
     cosines = pca.principal_angles(pca.fit(df.where("label < 5"), "x", 20), pca.fit(df.where("label >= 5"), "x", 20))
@@ -55,7 +63,9 @@ def wavelet_scattering(spark, sf):
 
 
 def random_projection(spark, sf):
-    return rows(spark, sf).select("vec_id", spectra.representation("random-projection-100", 64)(F.col("x")).alias("features"))
+    """Every output of every row, one below another."""
+    made = rows(spark, sf).select("vec_id", F.posexplode(spectra.representation("random-projection-100", 64)(F.col("x"))).alias("pos", "v"))
+    return made.select("vec_id", "pos", F.round("v", 5).alias("v"))
 
 
 def representation_comparison(spark, sf):
@@ -66,7 +76,7 @@ def representation_comparison(spark, sf):
 
 
 def label_budget(spark, sf):
-    return X.label_budget(features(spark, sf).select("task", "idx", "x", "y"), task_rows(spark, sf).select("task", "idx", "x", "y"), SIZES, REPS)
+    return X.label_budget(plain(features(spark, sf)), plain(task_rows(spark, sf)), BUDGET, REPS)
 
 
 def decoupling(spark, sf):
@@ -74,30 +84,31 @@ def decoupling(spark, sf):
 
 
 def cars_selected(spark, sf):
-    return X.cars_scores(task_rows(spark, sf).select("task", "idx", "x", "y"), SIZES, 1, runs=20)
+    return X.cars_scores(plain(task_rows(spark, sf)), SIZES, REPS)
 
 
 def grouped_cells(spark, sf):
     """Splits that keep groups apart, over the grid."""
     df = features(spark, sf).select("task", "idx", "label", "x", "y")
-    from lumenfew.operators import heads
-
-    return heads.scores(X.grid_cells(df, [3, 5], REPS, "group", "label"), X.BY, {"ridge": "ridge"})
+    return X.scores(df, [3, 5], REPS, X.one_head("ridge"), "group", "label").drop("note", "accuracy")
 
 
 def posterior_audit(spark, sf):
-    found = trust.posteriors(cells(spark, sf), X.BY)
+    found = trust.posteriors(plain(features(spark, sf)), SIZES, REPS)
     return trust.audit(splits.halves(found, "idx", 0, 0, X.BY), X.BY)
 
 
+def mean_coverage(spark, sf):
+    """Mean coverage of each method at each nominal level."""
+    return trust.mean_coverage(posterior_audit(spark, sf))
+
+
 def ridge_jackknife(spark, sf):
-    return trust.jackknife_audit(cells(spark, sf), X.BY)
+    return trust.jackknife_audit(plain(features(spark, sf)), SIZES, REPS)
 
 
 def physics_gate(spark, sf):
-    capped = cells(spark, sf)
-    some = splits.capped(capped.where("role = 'query'"), "idx", 100, X.BY)
-    return trust.gate_cells(trust.gate(capped.where("role = 'support'").unionByName(some), X.BY), X.BY)
+    return trust.gate_cells(trust.gate(X.capped_cells(plain(features(spark, sf)), SIZES, REPS, 100), X.BY), X.BY)
 
 
 def sample_selection(spark, sf):
@@ -121,11 +132,17 @@ def simulated_mixtures(spark, sf):
     return simulate.mixtures(spark, library, 500).select("idx", F.size("weights").alias("components"), F.aggregate(F.map_values("weights"), F.lit(0.0), lambda a, v: a + v).alias("total"), F.size("spectrum").alias("channels"))
 
 
+def simulated_mixtures_total(spark, sf):
+    """What holds of every mixture, whatever it draws: its channels and the sum of its weights."""
+    return simulated_mixtures(spark, sf).select("idx", "channels", F.round("total", 9).alias("total"))
+
+
 def fuel_compositions(spark, sf):
     """Simulated fuels, and what non-negative least squares makes of them."""
-    basis = np.stack([np.exp(-0.5 * ((np.arange(64) - c) / 4) ** 2) for c in (10, 25, 40, 52)])
-    made = simulate.fuel(spark, basis, np.array([[1.0, 0.5, 0.2, 0.1], [0.2, 0.4, 1.0, 0.3]]), 300)
-    return simulate.compositions(made, "spectrum", basis).select("idx", "weights", "residual")
+    axis = np.linspace(700, 1500, 64)
+    basis = np.stack([np.exp(-0.5 * ((axis - c) / 50) ** 2) for c in (825, 1015, 1200, 1350)])
+    made = simulate.fuel(spark, axis, basis, np.array([[1.0, 0.5, 0.0, 0.1], [0.2, 0.0, 1.0, 0.3]]), 300)
+    return simulate.compositions(made, "spectrum", basis, axis).select("idx", "weights", "residual")
 
 
 def corpus_blocks(spark, sf):
@@ -146,4 +163,12 @@ def corpus_flip(spark, sf):
     return X.representation_comparison(df, {"real": lambda d: d.withColumn("x", alone.scores(F.col("x"))), "real-and-simulated": lambda d: d.withColumn("x", mixed.scores(F.col("x")))}, SIZES, REPS)
 
 
-QUERIES = {f.__name__: f for f in (pca_reconstruction_error, principal_angles, wavelet_scattering, random_projection, representation_comparison, label_budget, decoupling, cars_selected, grouped_cells, posterior_audit, ridge_jackknife, physics_gate, sample_selection, fusion_regression, fusion_classification, simulated_mixtures, fuel_compositions, corpus_blocks, corpus_flip)}
+QUERIES = {f.__name__: f for f in (pca_reconstruction_error, fixed_component_error, principal_angles, wavelet_scattering, random_projection, representation_comparison, label_budget, decoupling, cars_selected, grouped_cells, posterior_audit, mean_coverage, ridge_jackknife, physics_gate, sample_selection, fusion_regression, fusion_classification, simulated_mixtures, simulated_mixtures_total, fuel_compositions, corpus_blocks, corpus_flip)}
+
+_DOT = "list_sum(list_transform(range(1, 65), lambda i: CAST(embedding[i] AS DOUBLE) * {}[i]))"
+SQL = {
+    "fixed_component_error": "SELECT vec_id, round(list_sum(list_transform(range(21, 65), lambda i: pow(CAST(embedding[i] AS DOUBLE) - (i - 1) / 1000.0, 2))) / list_sum(list_transform(embedding, lambda v: pow(CAST(v AS DOUBLE), 2))), 6) AS error FROM embeddings",
+    "random_projection": "WITH m AS (SELECT pos, c FROM (VALUES " + ", ".join(f"({i}, {c})" for i, c in enumerate(spectra.random_projection(64))) + f") t(pos, c)) SELECT vec_id, CAST(pos AS INT) AS pos, round({_DOT.format('c')}, 5) AS v FROM embeddings, m",
+    "corpus_blocks": "SELECT 'low' AS source, CAST(0 AS INT) AS block, count(*) AS n, CAST(512 AS INT) AS channels FROM embeddings WHERE label < 5 UNION ALL SELECT 'high', 1, count(*), 512 FROM embeddings WHERE label >= 5 UNION ALL SELECT 'simulated', 2, 200, 512",
+    "simulated_mixtures_total": "SELECT range AS idx, CAST(64 AS INT) AS channels, 1.0::DOUBLE AS total FROM range(500)",
+}

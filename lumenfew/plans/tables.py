@@ -129,7 +129,7 @@ def detection_limit_by_level(spark, sf):
 
 
 @query(
-    """WITH s AS (SELECT event_type, nominal, abs(value) AS score FROM events, (VALUES (50), (80), (90), (95), (98)) l(nominal)),
+    """WITH s AS (SELECT event_type, nominal, abs(value) AS score FROM events, (VALUES (50), (68), (80), (90), (95)) l(nominal)),
 r AS (SELECT *, row_number() OVER (PARTITION BY event_type, nominal ORDER BY score) AS rn, count(*) OVER (PARTITION BY event_type, nominal) AS n FROM s)
 SELECT event_type, CAST(nominal AS INT) AS nominal, round(score, 6) AS radius FROM r WHERE rn = least(n, CAST(ceil((n + 1) * nominal / 100.0 - 1e-9) AS BIGINT))"""
 )
@@ -267,3 +267,29 @@ def gate_against_audit(spark, sf):
     audit = own.select("task", "support_size", "repetition", F.when(F.col("arm") == "N", "native-posterior").otherwise("split-conformal").alias("method"), F.lit(90).alias("nominal"), F.col("r2").alias("empirical_coverage"), F.col("seconds").alias("mean_interval_width"))
     gate = own.where("arm = 'A'").select("task", "support_size", "repetition", F.col("seconds").alias("gate"))
     return reports.gate_against_audit(gate, audit).select("task", F.col("support_size").alias("k"), F.col("repetition").alias("rep"), "gate", F.col("empirical_coverage").alias("coverage"))
+
+
+# -- tasks and further reports -----------------------------------------------------------
+
+
+@query(
+    "SELECT task, dataset, property, is_benchmark, uses_snv FROM (VALUES "
+    + ", ".join(f"('{t}', '{d}', '{p}', {str(t not in (readers.CONTROL, readers.RAW)).lower()}, {str(t != readers.RAW).lower()})" for t, (d, p) in readers.TASKS.items())
+    + ") t(task, dataset, property, is_benchmark, uses_snv) WHERE task <> 'edible-oil-peroxide-value'"
+)
+def task_lookup(spark, sf):
+    """The task table without the negative control."""
+    return readers.task_pool(readers.task_table(spark), without=(readers.CONTROL,))
+
+
+@query("SELECT l_returnflag, round(quantile_cont(abs(l_discount - l_tax), 0.5), 6) AS median_error, round(quantile_cont(abs(l_discount - l_tax), 0.9), 6) AS p90_error, count(*) AS n FROM lineitem GROUP BY l_returnflag")
+def error_quantiles(spark, sf):
+    found = reports.error_quantiles(table(spark, sf, "lineitem").withColumn("e", F.abs(F.col("l_discount") - F.col("l_tax"))), ["l_returnflag"], "e")
+    return found.select("l_returnflag", F.round("median_error", 6).alias("median_error"), F.round("p90_error", 6).alias("p90_error"), "n")
+
+
+@query("SELECT l_returnflag AS method, l_linenumber AS nominal, round(avg(l_discount), 6) AS mean_coverage, round(avg(l_tax), 6) AS mean_width, count(*) AS n FROM lineitem GROUP BY ALL")
+def coverage_by_method(spark, sf):
+    df = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("method"), F.col("l_linenumber").alias("nominal"), F.col("l_discount").alias("empirical_coverage"), F.col("l_tax").alias("mean_interval_width"))
+    found = trust.mean_coverage(df)
+    return found.select("method", "nominal", F.round("mean_coverage", 6).alias("mean_coverage"), F.round("mean_width", 6).alias("mean_width"), "n")

@@ -6,22 +6,25 @@ the file, the place comes from the byte offset order of one file, kept by ``ordi
 
 from __future__ import annotations
 
-import math
-import re
+import contextlib
+import io
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from lumenfew.functions import arrays as A
 from lumenfew.functions import text as T
 
 
 def ragged(spark: SparkSession, path: str) -> DataFrame:
-    """``ordinal, fields``: lines cut at commas, without quoting rules; a file is one partition, so its order holds."""
+    """``ordinal, fields``: lines cut at commas, without quoting rules.
+
+    A file is one row on the way, so that its order holds: instruments' files only, of 2 GB at most.
+    """
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("ordinal", "line"))
     return lines.where(F.length(F.trim("line")) > 0).select("ordinal", F.split("line", ",").alias("fields"))
 
@@ -108,44 +111,40 @@ def volume_fractions(df: DataFrame, parts: list[str], whole: str) -> DataFrame:
 
 
 def parse_jcamp(content: str) -> dict | None:
-    """Title, x and y of a JCAMP-DX text; None where points are missing or too far from the stated number."""
-    fields, body, inside = {}, [], False
+    """Title, x and y of a JCAMP-DX text; None where fields or points are missing or too far from the stated number.
+
+    Lines of a table have their abscissa first; a table marked ``(X++(Y..Y))`` has all
+    ordinates of the line after it, others one. The abscissa runs evenly between the ends.
+    """
+    fields, rows, inside = {}, [], False
     for line in content.splitlines():
-        line = line.split("$$")[0].strip()
         if line.startswith("##"):
             key, _, value = line[2:].partition("=")
-            key = key.strip().upper().replace(" ", "")
+            key = key.strip().upper()
             fields[key] = value.strip()
-            inside = key in ("XYDATA", "XYPOINTS", "PEAKTABLE")
-        elif inside and line:
-            body.append(line)
-
-    def number(key: str, default: float) -> float:
+            inside = key in ("XYDATA", "XYPOINTS") and not rows
+        elif inside and line.startswith("$$"):
+            inside = False
+        elif inside:
+            rows.append(line.split())
+    if not {"XYDATA", "XYPOINTS"} & fields.keys():
+        return None
+    try:
+        first, last, expected = float(fields["FIRSTX"]), float(fields["LASTX"]), int(float(fields["NPOINTS"]))
+        fx, fy = float(fields.get("XFACTOR", 1)), float(fields.get("YFACTOR", 1))
+    except (KeyError, ValueError):
+        return None
+    many, y = "X++" in fields.get("XYDATA", ""), []
+    for row in rows:
         try:
-            return float(fields.get(key, default))
+            numbers = [float(v) for v in row]
         except ValueError:
-            return default
-
-    fx, fy = number("XFACTOR", 1.0), number("YFACTOR", 1.0)
-    numbers = [[float(v) for v in re.findall(r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?", line)] for line in body]
-    if "XYDATA" in fields:
-        y = [v * fy for row in numbers for v in row[1:]]
-        expected = int(number("NPOINTS", len(y)))
-        if not y or abs(len(y) - expected) > max(2, 0.02 * expected):
-            return None
-        first, last = number("FIRSTX", math.nan), number("LASTX", math.nan)
-        if math.isnan(first) or math.isnan(last):
-            return None
-        x = np.linspace(first, last, len(y)).tolist()
-    else:
-        flat = [v for row in numbers for v in row]
-        if len(flat) < 2 or len(flat) % 2:
-            return None
-        x, y = [v * fx for v in flat[::2]], [v * fy for v in flat[1::2]]
-        expected = int(number("NPOINTS", len(y)))
-        if abs(len(y) - expected) > max(2, 0.02 * expected):
-            return None
-    return {"title": fields.get("TITLE"), "x": x, "y": y}
+            continue
+        if len(numbers) > 1:
+            y += numbers[1:] if many or len(numbers) > 2 else numbers[1:2]
+    if abs(len(y) - expected) > max(2, 0.02 * expected):
+        return None
+    return {"title": fields.get("TITLE", ""), "x": np.linspace(first * fx, last * fx, len(y)).tolist(), "y": [v * fy for v in y]}
 
 
 def jcamp(spark: SparkSession, path: str) -> DataFrame:
@@ -185,51 +184,36 @@ def peaks(spark: SparkSession, path: str) -> DataFrame:
 # -- numpy archives ---------------------------------------------------------------------
 
 
-class ArchiveSource(DataSource):
-    """``spark.read.format("npz")``: rows of a 2-D array of each archive, with optional row-aligned arrays as JSON.
+def archive(spark: SparkSession, path: str, array: str | None = None, columns: int | None = None, axis: str | None = None) -> DataFrame:
+    """``path, ordinal, spectrum, wavelengths, fields``: the rows of a 2-D array of each archive.
 
-    Options: ``path`` (comma-separated), ``array`` (name of the 2-D array), ``columns``
-    (number of columns of a flat, column-major array).
+    ``array`` names it (else the first of two dimensions); ``columns`` is the width of a flat,
+    column-major one; ``axis`` names the array of its channels' places. Arrays with an entry a
+    row come as JSON in ``fields``. Archives are read through Spark, one a task; arrays of
+    Python objects are left out.
     """
 
-    @classmethod
-    def name(cls) -> str:
-        return "npz"
-
-    def schema(self) -> str:
-        return "path string, ordinal long, spectrum array<double>, fields string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return ArchiveReader(dict(self.options))
-
-
-class ArchiveReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.options = options
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in self.options["path"].split(",")]
-
-    def read(self, partition: InputPartition):
-        import json
-
-        with np.load(partition.value, allow_pickle=False) as held:
-            own = {k: held[k] for k in held.files}
-        name = self.options.get("array") or next(k for k, v in own.items() if v.ndim == 2)
-        matrix = own.pop(name)
-        if matrix.ndim == 1:
-            matrix = matrix.reshape(-1, int(self.options["columns"]), order="F")
+    def rows(name: str, content: bytes) -> Iterator[tuple]:
+        with np.load(io.BytesIO(content), allow_pickle=False) as held:
+            own = {}
+            for k in held.files:
+                with contextlib.suppress(ValueError):
+                    own[k] = held[k]
+        matrix = own.pop(array or next(k for k, v in own.items() if v.ndim == 2))
+        if columns is not None and (matrix.ndim == 1 or matrix.shape[1] != columns):
+            matrix = matrix.reshape(-1, columns, order="F")
+        places = own[axis].astype(float).tolist() if axis else None
         beside = {k: v for k, v in own.items() if v.ndim == 1 and len(v) == len(matrix)}
         for i, row in enumerate(matrix):
-            yield partition.value, i, row.astype(float).tolist(), json.dumps({k: v[i].item() for k, v in beside.items()})
+            yield name, i, row.astype(float).tolist(), places, json.dumps({k: v[i].item() for k, v in beside.items()})
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for name, content in zip(b.path, b.content, strict=True):
+                yield pd.DataFrame(rows(name, content), columns=["path", "ordinal", "spectrum", "wavelengths", "fields"])
 
-def archive(spark: SparkSession, path: str, array: str | None = None, columns: int | None = None) -> DataFrame:
-    spark.dataSource.register(ArchiveSource)
-    reader = spark.read.format("npz").option("path", path)
-    for key, value in (("array", array), ("columns", columns)):
-        reader = reader.option(key, str(value)) if value is not None else reader
-    return reader.load()
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(run, "path string, ordinal long, spectrum array<double>, wavelengths array<double>, fields string")
 
 
 def step_axis(first: float, step: float, n: int) -> Column:
@@ -261,10 +245,129 @@ def calibrated(curve: DataFrame, x0: float, per_x: float, top: float, bottom: fl
 
 # -- tasks ------------------------------------------------------------------------------
 
-LOADERS: dict[str, Callable[..., DataFrame]] = {"diesel": diesel, "edible_oil": edible_oil, "npz": archive, "jcamp": jcamp}
 POINTS = 512
 
 
+def ordered_csv(spark: SparkSession, path: str) -> DataFrame:
+    """``ordinal, fields``: each line of a small CSV with a header as a map of its columns."""
+    rows = ragged(spark, path)
+    head = F.broadcast(rows.where("ordinal = 0").select(F.transform("fields", T.clean_id).alias("names")))
+    cells = F.slice(F.concat(F.col("fields"), F.array_repeat(F.lit(""), F.size("names"))), F.lit(1), F.size("names"))
+    return rows.where("ordinal > 0").crossJoin(head).select((F.col("ordinal") - 1).alias("ordinal"), F.map_from_arrays("names", F.transform(cells, T.clean_id)).alias("fields"))
+
+
+def _loaded(df: DataFrame, id_: Column, targets: dict[str, Column], wavelengths: Column | None = None, group: Column | None = None, label: Column | None = None) -> DataFrame:
+    """The one form of all loaders."""
+    none = F.lit(None)
+    named = F.create_map(*[x for k, v in targets.items() for x in (F.lit(k), v.cast("double"))]) if targets else F.create_map().cast("map<string,double>")
+    return df.select(
+        F.col("ordinal").cast("long").alias("ordinal"), id_.cast("string").alias("sample_id"), (none if group is None else group).cast("string").alias("group_id"), (none if label is None else label).cast("string").alias("label"),
+        (none if wavelengths is None else wavelengths).cast("array<double>").alias("wavelengths"), A.doubles("spectrum").alias("spectrum"), named.alias("targets"),
+    )
+
+
+def _field(name: str) -> Column:
+    return F.get_json_object("fields", f"$.{name}")
+
+
+# Files below the data root, names of their fields, and axes.
+
+
+def load_diesel(spark: SparkSession, root: str) -> DataFrame:
+    found = diesel(spark, f"{root}/diesel/spectra.csv", f"{root}/diesel/properties.csv")
+    return found.select("ordinal", "sample_id", F.lit(None).cast("string").alias("group_id"), F.lit(None).cast("string").alias("label"), "wavelengths", "spectrum", "targets")
+
+
+def load_gasoline(spark: SparkSession, root: str) -> DataFrame:
+    """Octane of gasolines; the matrix is flat and column-major."""
+    df = archive(spark, f"{root}/processed/gasoline_arrays.npz", "arr_1", 401)
+    return _loaded(df, F.concat(F.lit("gas"), (F.col("ordinal") + 1).cast("string")), {"octane": _field("arr_0")}, step_axis(900, 2, 401))
+
+
+def load_mayonnaise(spark: SparkSession, root: str) -> DataFrame:
+    """Spectra with a class and no target."""
+    df = archive(spark, f"{root}/processed/mayonnaise_arrays.npz", "arr_0")
+    axis = F.transform(F.sequence(F.lit(0), F.size("spectrum") - 1), lambda i: (F.lit(1100) + 4 * i).cast("double"))
+    return _loaded(df, F.concat(F.lit("mayo"), (F.col("ordinal") + 1).cast("string")), {}, axis, label=_field("arr_1"))
+
+
+def load_corn(spark: SparkSession, root: str, instrument: str = "m5") -> DataFrame:
+    """Four targets on one of three instruments, from a table that the MATLAB file is converted to: ``instrument``, the targets, and columns named by wavelength (or by number)."""
+    df, axis = wide(spark.read.option("header", True).csv(f"{root}/corn/corn.csv").where(F.col("instrument") == instrument))
+    places = axis if axis[0] >= 100 else [1100 + 2 * i for i in range(len(axis))]
+    return _loaded(df, F.col("ordinal"), {t: T.number(F.col(t)) for t in ("moisture", "oil", "protein", "starch")}, F.array(*[F.lit(float(w)) for w in places]))
+
+
+def load_evoo(spark: SparkSession, root: str) -> DataFrame:
+    """Adulteration of olive oils, a row a spectrum, samples as groups, from a CSV that the sheet is converted to."""
+    df, axis = wide(spark.read.option("header", True).csv(f"{root}/EVOO_NIR_HSI/data/Raw_A.csv"))
+    return _loaded(df, F.col("sample_id"), {"adulteration_level": T.number(F.col("adulteration_level"))}, F.array(*[F.lit(w) for w in axis]), F.col("sample_id"), F.col("class_1"))
+
+
+def load_pentane(spark: SparkSession, root: str) -> DataFrame:
+    """Volume fractions; bottles are groups."""
+    df = archive(spark, f"{root}/in-house-pentane-ccl4/pentane_ccl4_FTIR.npz", "X", axis="wavelength_nm")
+    return _loaded(df, _field("name"), {"phi_pentane": _field("y")}, F.col("wavelengths"), _field("sample_id"))
+
+
+def load_edible_oil(spark: SparkSession, root: str) -> DataFrame:
+    df = edible_oil(spark, f"{root}/edible_oil/nir.csv")
+    return _loaded(df, F.col("group_id"), {"peroxide_value": F.element_at("targets", "peroxide")}, F.col("wavelengths"), F.col("group_id"), F.col("label"))
+
+
+def load_sugar_raman(spark: SparkSession, root: str, snr: str = "High SNR") -> DataFrame:
+    """Four sugars' volume fractions; wells are groups. The pickled matrix is converted to an archive; it meets its metadata by position."""
+    base = f"{root}/sugar_raman/{snr}"
+    meta = ordered_csv(spark, f"{base}/metadata.csv").select(F.col("ordinal").alias("o"), F.col("fields").alias("meta"))
+    df = archive(spark, f"{base}/data.npz").join(meta, F.col("ordinal") == F.col("o"))
+    cell = lambda name: T.number(F.element_at("meta", name))
+    return _loaded(df, F.element_at("meta", "samp"), {s: F.try_divide(cell(f"{s} [ul]"), cell("Total Volume [ul]")) for s in ("Sucrose", "Fructose", "Maltose", "Glucose")}, group=F.element_at("meta", "samp"))
+
+
+LOADERS: dict[str, Callable[..., DataFrame]] = {"diesel": load_diesel, "corn": load_corn, "gasoline": load_gasoline, "mayonnaise": load_mayonnaise, "evoo": load_evoo, "edible_oil": load_edible_oil, "pentane_ccl4": load_pentane, "sugar_raman": load_sugar_raman}
+
+# Tasks, their dataset and property.
+TASKS = {
+    "diesel-bp50": ("diesel", "BP50"),
+    "diesel-cetane-number": ("diesel", "CN"),
+    "diesel-density": ("diesel", "D4052"),
+    "diesel-flash-point": ("diesel", "FLASH"),
+    "diesel-freezing-point": ("diesel", "FREEZE"),
+    "diesel-total-aromatics": ("diesel", "TOTAL"),
+    "diesel-viscosity": ("diesel", "VISC"),
+    "corn-moisture": ("corn", "moisture"),
+    "corn-oil": ("corn", "oil"),
+    "corn-protein": ("corn", "protein"),
+    "corn-starch": ("corn", "starch"),
+    "gasoline-octane": ("gasoline", "octane"),
+    "olive-oil-adulteration": ("evoo", "adulteration_level"),
+    "edible-oil-peroxide-value": ("edible_oil", "peroxide_value"),
+    "pentane-ccl4-volume-fraction": ("pentane_ccl4", "phi_pentane"),
+}
+#: Tasks outside the main benchmark: the negative control, and the one whose spectra stay raw.
+CONTROL, RAW = "edible-oil-peroxide-value", "pentane-ccl4-volume-fraction"
+
+
+def task_table(spark: SparkSession) -> DataFrame:
+    """``task, dataset, property, is_benchmark, uses_snv``: a small table to look tasks up in."""
+    rows = [(t, d, p, t not in (CONTROL, RAW), t != RAW) for t, (d, p) in TASKS.items()]
+    return spark.createDataFrame(rows, "task string, dataset string, property string, is_benchmark boolean, uses_snv boolean")
+
+
+def task_pool(tasks: DataFrame, benchmark: bool = False, without: tuple[str, ...] = ()) -> DataFrame:
+    """The benchmark's tasks, or all but the named ones."""
+    kept = tasks.where("is_benchmark") if benchmark else tasks
+    return kept.where(~F.col("task").isin(*without)) if without else kept
+
+
+def named_task(spark: SparkSession, root: str, task: str) -> DataFrame:
+    """A task's rows by its name: its dataset's loader, its property, its normalisation."""
+    if task not in TASKS:
+        raise KeyError(f"no task is called {task} (have {', '.join(TASKS)})")
+    dataset, target = TASKS[task]
+    return load_task(LOADERS[dataset](spark, root), task, target, task != RAW)
+
+
 def load_task(data: DataFrame, task: str, target: str, uses_snv: bool = True, points: int = POINTS) -> DataFrame:
     """``task, idx, group_id, x, y``: rows with a target, on ``points`` channels, normalised unless the task is raw.
 
