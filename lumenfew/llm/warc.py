@@ -11,18 +11,23 @@ text writer, with the format's two line ends between records; ``read`` parses WA
 gzip members included, through Spark's binary reader.
 
 Defined cases: a null body counts as empty and yields an empty conversion; a null URL is
-left out of the headers; null dates take ``DATE``; repeated rows yield equal identifiers.
+left out of the headers; null dates take ``DATE``; repeated rows and ties yield equal
+identifiers; an empty table gives no rows; very long pages are read whole, in time linear in
+their length; broken records give no row, and a response without an identifier gets one made
+from its block; other columns pass through ``derivatives``, but those named like a result
+are replaced. ``read`` holds a file in one task: archives of 1 GB are past its bounds, cut
+them at their members first.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import html
 import json
 import re
 import uuid
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +37,8 @@ from lumenfew.llm.common import session, table
 
 DATE = "1970-01-01T00:00:00Z"
 SPACE_ID = uuid.UUID("7b0f3c0a-0000-5000-8000-000000000000")
-_DROP = re.compile(r"<!--.*?-->|<(script|style|noscript|template|head)\b.*?</\1\s*>", re.S | re.I)
+_OPEN = re.compile(r"<!--|<(script|style|noscript|template|head)\b", re.I)
+_CLOSE = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("script", "style", "noscript", "template", "head")} | {"": re.compile("-->")}
 _BREAK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>", re.I)
 _TAG = re.compile(r"<[^>]*>")
 _GAP = re.compile(r"[^\S\n]+")
@@ -49,14 +55,32 @@ def record_id(*parts: object) -> str:
     return f"<urn:uuid:{uuid.uuid5(SPACE_ID, '|'.join(map(str, parts)))}>"
 
 
+def without_hidden(page: str) -> str:
+    """The page with a space for each comment, script and the like; one that never closes stays. Linear: a missing end is looked for once."""
+    out, at, found, missing = [], 0, 0, set()
+    while m := _OPEN.search(page, found):
+        name = (m[1] or "").lower()
+        end = None if name in missing else _CLOSE[name].search(page, m.end())
+        if end is None:
+            missing.add(name)
+            found = m.end()
+        else:
+            out += [page[at : m.start()], " "]
+            at = found = end.end()
+    return "".join([*out, page[at:]])
+
+
 def plain_text(page: str) -> str:
     """The visible text of an HTML page: one line a block."""
-    text = html.unescape(_TAG.sub("", _BREAK.sub("\n", _DROP.sub(" ", page))))
+    page = without_hidden(page)
+    last = page.rfind(">") + 1  # no tag closes beyond
+    text = html.unescape(_TAG.sub("", _BREAK.sub("\n", page[:last])) + page[last:])
     return _LINES.sub("\n", _GAP.sub(" ", text)).strip()
 
 
 def links(page: str) -> list[str]:
-    return [html.unescape(a or b or c) for a, b, c in _LINK.findall(_DROP.sub(" ", page))]
+    page = without_hidden(page)
+    return [html.unescape(a or b or c) for a, b, c in _LINK.findall(page[: page.rfind(">") + 1])]
 
 
 def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
@@ -65,17 +89,41 @@ def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return ("WARC/1.1\r\n" + "\r\n".join(lines) + "\r\n\r\n").encode() + block
 
 
+def unzipped(content: bytes) -> bytes:
+    """The bytes of gzip members one after another; what follows a broken member is left out."""
+    out = []
+    while content[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(content) + member.flush())
+        except zlib.error:
+            break
+        content = member.unused_data
+    return b"".join(out)
+
+
 def parse(content: bytes) -> list[tuple[dict[str, str], bytes]]:
-    """The records of a WARC file, plain or of gzip members."""
+    """The records of a WARC file, plain or of gzip members.
+
+    A record without a whole head, a length or all of its block gives nothing; header lines
+    without a colon are passed over; reading goes on at the next record that begins a line.
+    """
     if content[:2] == b"\x1f\x8b":
-        content = gzip.decompress(content)
+        content = unzipped(content)
     out, at = [], 0
     while (at := content.find(b"WARC/", at)) >= 0:
-        end = content.index(b"\r\n\r\n", at)
-        headers = dict(line.split(": ", 1) for line in content[at:end].decode().split("\r\n")[1:])
-        size = int(headers["Content-Length"])
-        out.append((headers, content[end + 4 : end + 4 + size]))
-        at = end + 4 + size
+        end = content.find(b"\r\n\r\n", at)
+        if end < 0:
+            break
+        lines = content[at:end].decode("utf-8", "replace").split("\r\n")[1:]
+        headers = {k.strip(): v.strip() for k, colon, v in (line.partition(":") for line in lines) if colon}
+        size = headers.get("Content-Length", "")
+        stop = end + 4 + int(size) if size.isascii() and size.isdigit() else -1
+        if 0 <= stop <= len(content):
+            out.append((headers, content[end + 4 : stop]))
+            at = stop
+        else:
+            at = end + 4
     return out
 
 
@@ -93,7 +141,7 @@ def derive(headers: dict[str, str], block: bytes) -> tuple[dict, bytes, bytes]:
     """A response's facts, its conversion record and its metadata record."""
     http, _, body = block.partition(b"\r\n\r\n")
     page = body.decode("utf-8", "replace")
-    source, date = headers["WARC-Record-ID"], headers.get("WARC-Date", DATE)
+    source, date = headers.get("WARC-Record-ID") or record_id("unnamed", digest(block)), headers.get("WARC-Date", DATE)
     target = [("WARC-Target-URI", headers["WARC-Target-URI"])] if "WARC-Target-URI" in headers else []
     text = plain_text(page)
     content = text.encode()

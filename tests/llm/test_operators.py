@@ -579,3 +579,95 @@ def test_toxicity_counts_all_training_text(spark, monkeypatch):
     counts, n = seen["seen"]
     assert n == len(trained) and counts.max() == n
     assert sum(t.startswith("vile") for t in trained) in counts
+
+
+def derived_by_brute_force(url, page, key):
+    """A page's facts by Python's own HTML parser and plain formulas."""
+    import base64
+    import html as entities
+    import uuid
+    from html.parser import HTMLParser
+
+    blocks = set("address article aside blockquote br dd div dl dt footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
+    hidden = set("script style noscript template head".split())
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=False)
+            self.out, self.links, self.deep = [], [], []
+
+        def handle_starttag(self, tag, attrs):
+            if self.deep:
+                return
+            if tag in hidden:
+                self.deep.append(tag)
+                return
+            self.out.append("\n" if tag in blocks else "")
+            self.links += [v or "" for k, v in attrs if tag == "a" and k == "href"][:1]
+
+        def handle_endtag(self, tag):
+            if self.deep:
+                if tag == self.deep[-1]:
+                    self.deep.pop()
+                    self.out.append(" ")
+                return
+            self.out.append("\n" if tag in blocks else "")
+
+        def handle_data(self, data):
+            self.out.append("" if self.deep else data)
+
+        def handle_entityref(self, name):
+            self.out.append("" if self.deep else entities.unescape(f"&{name};"))
+
+        def handle_charref(self, name):
+            self.out.append("" if self.deep else entities.unescape(f"&#{name};"))
+
+        def handle_comment(self, data):
+            self.out.append("" if self.deep else " ")
+
+    reader = Reader()
+    reader.feed(page)
+    reader.close()
+    lines = [" ".join(x.split()) for x in "".join(reader.out).split("\n")]
+    text = "\n".join(x for x in lines if x)
+    sha = lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
+    name = lambda *parts: f"<urn:uuid:{uuid.uuid5(uuid.UUID('7b0f3c0a-0000-5000-8000-000000000000'), '|'.join(map(str, parts)))}>"
+    source = name("response", key, url, "1970-01-01T00:00:00Z", sha(page.encode()))
+    return source, name("conversion", source), name("metadata", source), sha(page.encode()), text, sha(text.encode()), len(reader.links)
+
+
+def test_warc_equals_brute_force(spark, sf):
+    got = {r.page_id: r for r in warc.op6_warc(spark, sf).collect()}
+    pages = pq.read_table(f"{sf}/pages.parquet").to_pylist()
+    assert len(got) == len(pages)
+    for p in pages:
+        r = got[p["page_id"]]
+        want = derived_by_brute_force(p["url"], p["html"] or "", p["page_id"])
+        assert (r.response_id, r.conversion_id, r.metadata_id, r.payload_digest, r.text, r.text_digest, r.n_links) == want
+        facts = json.loads(r.metadata_json)
+        assert facts["payload_digest"] == want[3] and facts["text_digest"] == want[5] and facts["refers_to"] == want[0] and facts["warc_headers"]["WARC-Target-URI"] == p["url"]
+
+
+def test_warc_reads_broken_files_and_odd_pages(spark, tmp_path):
+    import gzip
+    import time
+
+    whole = warc.response("http://a", "<p>one</p>", warc.DATE, 1)[1]
+    two = warc.response("http://b", "<p>two</p>", warc.DATE, 2)[1]
+    assert [h["WARC-Target-URI"] for h, _ in warc.parse(whole + b"\r\n\r\n" + two)] == ["http://a", "http://b"]
+    assert [h["WARC-Target-URI"] for h, _ in warc.parse(whole + b"\r\n\r\n" + two[:-3])] == ["http://a"]  # cut short
+    assert warc.parse(whole[:40]) == [] and warc.parse(b"") == [] and warc.parse(b"\x1f\x8bnothing") == []
+    odd = b"WARC/1.0\r\nno colon here\r\nWARC-Type: response\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
+    assert warc.parse(odd + whole)[0] == ({"WARC-Type": "response", "Content-Length": "2"}, b"hi") and len(warc.parse(odd + whole)) == 2
+    assert [h["WARC-Target-URI"] for h, _ in warc.parse(b"WARC/1.0\r\nContent-Length: x\r\n\r\n" + whole)] == ["http://a"]
+    assert len(warc.parse(gzip.compress(whole) + gzip.compress(two))) == 2 and len(warc.parse(gzip.compress(whole) + gzip.compress(two)[:20])) == 1
+    began = time.time()
+    for page in ("<script>" * 60_000, "<" * 300_000, "<!--" * 100_000, "<a href=" * 50_000, "x" * 2_000_000):
+        warc.plain_text(page), warc.links(page)
+    assert time.time() - began < 20
+    rows = [(1, None, None, "k"), (1, None, None, "k"), (2, "http://x", "<p>a</p>", "m"), (None, "http://y", "<b>", None)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = warc.derivatives(warc.responses(frame)).collect()
+    assert len(got) == 4 and got[0].response_id == got[1].response_id and sorted(r.text for r in got) == ["", "", "", "a"]
+    bare = spark.createDataFrame([(bytearray(odd),), (None,), (bytearray(b"junk"),)], "record binary")
+    assert [r.text for r in warc.derivatives(bare).collect()] == [""]
