@@ -2,16 +2,22 @@
 
 The sequence is the text's words. A run of ``K`` words is an anchor when the least hash
 of its inner words lies at an edge (its first or last word): the choice depends on the run
-alone, not on what surrounds it, so equal passages give equal anchors wherever they stand.
-The fingerprint is the ``SKETCH`` least distinct 32-bit anchor hashes, sorted, as eight
-hex digits each; its likeness to another is the share of equal hashes among the least
-``SKETCH`` of both (a bottom-k estimate of the Jaccard likeness of the anchor sets, exact
-for short texts).
-
-Defined cases: a null text counts as empty; fewer words than ``K`` make one anchor of all
-words; no word gives the empty fingerprint, which is like another empty one (1) and unlike
-the rest (0); the next document is by descending id, nulls last, ties by text, and the
-last one's is the first; a single document is its own next.
+alone, not on what surrounds it, so equal passages give equal anchors wherever they stand,
+and of any ``K - 1`` runs in a row one at least is an anchor. The fingerprint holds every
+anchor of the whole text in order: a hex digit for the words since the anchor before, and
+eight for the anchor's 32-bit hash.
+
+Anchors are matched by relative position: beside its anchors a fingerprint is taken to have
+a link for each two neighbouring anchors and their distance. The likeness of two
+fingerprints is the Jaccard likeness of their sets of anchors and links, so a passage that
+has moved as a whole still matches, and one whose anchors stand elsewhere matches by half.
+
+Defined cases: a null text counts as empty; words without an anchor among them (fewer than
+``K``, or ``K`` whose least is within) make one anchor of all words; no word gives the
+empty fingerprint, which is like another empty one (1) and unlike the rest (0); very long
+texts keep all their anchors; an empty table gives an empty result; the next document is
+by descending id, nulls last, ties by text, and the last one's is the first; a single
+document is its own next; further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,37 +28,65 @@ from pyspark.sql import functions as F
 from lumenfew.llm.common import partitions, table, text_or_empty
 
 K = 3
-SKETCH = 64
 SPACES = r"[\x20\x09-\x0D]+"
+#: Documents that a range of ids holds, about, and how many ranges there are at most.
+ROWS, RANGES = 5_000, 4_096
+
+
+def _bound(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` evaluated once."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
 
 
 def anchors(text: Column, k: int = K) -> Column:
-    """The 64-bit hashes of the closed syncmers of ``k`` words."""
+    """The closed syncmers of ``k`` words in order: structs of ``at``, the first word's number from 1, and ``code``, a 32-bit hash."""
     words = F.split(F.trim(F.regexp_replace(text, SPACES, " ")), " ", -1)
     h = F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
+    anchor = lambda at, run: F.struct(at.alias("at"), F.xxhash64(run).bitwiseAND(F.lit(0xFFFFFFFF)).alias("code"))
+    none = F.array().cast("array<struct<at:int,code:bigint>>")
 
     def chosen(h: Column) -> Column:
         n = F.size(h)
-        runs = F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.slice(h, i, F.lit(k)))
-        kept = F.filter(runs, lambda r: F.least(F.element_at(r, 1), F.element_at(r, k)) == F.array_min(r))
-        return F.when(n >= k, F.transform(kept, lambda r: F.xxhash64(r))).when(n > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
+        starts = F.when(n >= k, F.sequence(F.lit(1), n - (k - 1))).otherwise(F.array().cast("array<int>"))
+        edge = lambda i: F.least(F.get(h, i - 1), F.get(h, i + (k - 2)))
+        kept = F.filter(starts, lambda i: edge(i) <= F.least(*[F.get(h, i + (j - 1)) for j in range(k)]))
+        of_kept = lambda kept: F.when(F.size(kept) > 0, F.transform(kept, lambda i: anchor(i, F.slice(h, i, F.lit(k))))).when(n > 0, F.array(anchor(F.lit(1), h))).otherwise(none)
+        return _bound(kept, of_kept)
+
+    return _bound(h, chosen)
+
+
+def fingerprint(text: Column, k: int = K) -> Column:
+    """Every anchor of the text in order, as nine hex digits: its distance from the one before (below 16, so ``k`` may be 16 at most), and its hash."""
+
+    def written(found: Column) -> Column:
+        distance = lambda a, i: a["at"] - F.coalesce(F.get(found, i - 1)["at"], F.lit(0))
+        return F.array_join(F.transform(found, lambda a, i: F.concat(F.hex(distance(a, i)), F.lpad(F.hex(a["code"]), 8, "0"))), "")
+
+    return F.lower(_bound(anchors(text, k), written))
+
+
+def parts(fingerprint: Column) -> Column:
+    """The distinct anchors and links of a fingerprint; a link is an anchor, a distance and the next anchor."""
+
+    def both(pieces: Column) -> Column:
+        code = lambda p: F.substring(p, 2, 8)
+        links = F.transform(pieces, lambda p, i: F.coalesce(F.concat(code(F.get(pieces, i - 1)), p), code(p)))
+        return F.array_union(F.transform(pieces, code), links)
 
-    return F.element_at(F.transform(F.array(h), chosen), 1)
+    return _bound(F.filter(F.split(F.regexp_replace(fingerprint, "(.{9})", "$1 "), " "), lambda p: p != ""), both)
 
 
-def fingerprint(text: Column, k: int = K, sketch: int = SKETCH) -> Column:
-    """The least distinct 32-bit anchor hashes, as hex digits."""
-    small = F.transform(anchors(text, k), lambda a: a.bitwiseAND(F.lit(0xFFFFFFFF)))
-    least = F.slice(F.array_sort(F.array_distinct(small)), 1, sketch)
-    return F.lower(F.array_join(F.transform(least, lambda a: F.lpad(F.hex(a), 8, "0")), ""))
+def overlap(a: Column, b: Column) -> Column:
+    """0 to 1: the Jaccard likeness of two sets of ``parts``; 1 for two empty ones."""
+    common = F.size(F.array_intersect(a, b))
+    every = F.size(a) + F.size(b) - common
+    return F.when(every == 0, F.lit(1.0)).otherwise(common.cast("double") / F.greatest(every, F.lit(1)).cast("double"))
 
 
-def likeness(a: Column, b: Column, sketch: int = SKETCH) -> Column:
-    """0 to 1: the share of common hashes among the least ``sketch`` of two fingerprints."""
-    parts = lambda x: F.filter(F.split(F.regexp_replace(x, "(.{8})", "$1 "), " "), lambda p: p != "")
-    both = F.slice(F.array_sort(F.array_union(parts(a), parts(b))), 1, sketch)
-    common = F.size(F.array_intersect(both, F.array_intersect(parts(a), parts(b))))
-    return F.when(a == b, F.lit(1.0)).otherwise(common.cast("double") / F.greatest(F.size(both), F.lit(1)).cast("double"))
+def likeness(a: Column, b: Column) -> Column:
+    """0 to 1: how like two fingerprints are."""
+    return overlap(parts(a), parts(b))
 
 
 def _range_of(column: str, cuts: list) -> Column:
@@ -70,9 +104,10 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     """Each row with ``next_<c>`` of the row that follows by descending ``doc_id`` (after the last: the first).
 
     Ids are cut into ranges at their approximate quantiles; each range looks ahead within
-    itself, and a copy of the leading row of the range that follows stands at its end.
+    itself, and a copy of the leading row of the range that follows stands at its end. The
+    number of ranges follows that of the rows.
     """
-    n = max(2, partitions(docs.sparkSession))
+    n = max(2, partitions(docs.sparkSession), min(docs.count() // ROWS, RANGES))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n)).first()[0] or []
     ranged = docs.withColumn("__range", _range_of("doc_id", sorted(set(cuts))))
     order = [F.col("doc_id").desc_nulls_last(), *[F.col(c) for c in columns]]
@@ -88,15 +123,16 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     ghosts = ghosts.crossJoin(F.broadcast(wrap)).withColumn("__range", F.when(low == -2, F.col("__lowest")).otherwise(F.col("__after")))
     rows = ranged.withColumn("__ghost", F.lit(0)).select(*docs.columns, "__range", "__ghost").unionAll(ghosts.withColumn("__ghost", F.lit(1)).select(*docs.columns, "__range", "__ghost"))
     ahead = Window.partitionBy("__range").orderBy(F.col("__ghost"), *order)
-    return rows.select("*", *[F.lead(c).over(ahead).alias(f"next_{c}") for c in columns]).where("__ghost = 0").drop("__range", "__ghost")
+    return rows.repartition(n, "__range").select("*", *[F.lead(c).over(ahead).alias(f"next_{c}") for c in columns]).where("__ghost = 0").drop("__range", "__ghost")
 
 
 def op9_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of each text, of its edited text, and their likeness."""
     docs = table(spark, sf_dir, "documents").select("doc_id", text_or_empty().alias("text"))
-    rows = with_next(docs.withColumn("fingerprint", fingerprint(F.col("text"))), ["text", "fingerprint"])
+    rows = with_next(docs, ["text"])
     n = F.char_length("text")
     cut = F.floor(n / 3).cast("int")
     rows = rows.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.expr("substring(text, 1, char_length(text) - cast(floor(char_length(text) / 3) as int))"), F.substring("next_text", F.lit(1), cut)))
-    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_fingerprint")
-    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
+    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *[fingerprint(F.col(c)).alias(n) for c, n in (("text", "fingerprint"), ("edited", "edited_fingerprint"), ("next_text", "next_fingerprint"))])
+    rows = rows.select("*", parts(F.col("fingerprint")).alias("own"), parts(F.col("edited_fingerprint")).alias("of_edited"), parts(F.col("next_fingerprint")).alias("of_next"))
+    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", overlap(F.col("own"), F.col("of_edited")).alias("near_edited"), overlap(F.col("own"), F.col("of_next")).alias("near_next"))

@@ -441,17 +441,32 @@ def sketch(text):
     h = [x - (1 << 64) if (x := xxhash.xxh64_intdigest(w.encode(), 42)) >> 63 else x for w in words(text)]
     if not h:
         return ""
-    runs = [h[i : i + 3] for i in range(len(h) - 2)] if len(h) >= 3 else [h]
-    kept = [spark_hash(r) & 0xFFFFFFFF for r in runs if len(h) < 3 or min(r[0], r[-1]) == min(r)]
-    return "".join(f"{x:08x}" for x in sorted(set(kept))[:64])
+    kept = [(i + 1, h[i : i + 3]) for i in range(len(h) - 2) if min(h[i], h[i + 2]) == min(h[i : i + 3])] or [(1, h)]
+    before = [0] + [at for at, _ in kept]
+    return "".join(f"{at - b:x}{spark_hash(r) & 0xFFFFFFFF:08x}" for (at, r), b in zip(kept, before, strict=False))
 
 
 def like(a, b):
-    if a == b:
-        return 1.0
-    x, y = ({s[i : i + 8] for i in range(0, len(s), 8)} for s in (a, b))
-    both = sorted(x | y)[:64]
-    return len([z for z in both if z in x and z in y]) / max(len(both), 1)
+    def whole(s):
+        p = [(s[i], s[i + 1 : i + 9]) for i in range(0, len(s), 9)]
+        return {c for _, c in p} | {(x[1], *y) for x, y in zip(p, p[1:], strict=False)}
+
+    x, y = whole(a), whole(b)
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def test_syncmers_keep_positions(spark):
+    texts = ["a b c d e f g h i j", "", "x", "x y", *[f"p{i} q{i} r{i}" for i in range(20)], " ".join(f"w{i * i % 9973}" for i in range(9000))]
+    moved = f"one two three {texts[-1]}"
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, moved])], "i int, t string").withColumn("f", syncmers.fingerprint(syncmers.F.col("t")))
+    got = [r.f for r in frame.orderBy("i").collect()]
+    assert got == [sketch(t) for t in [*texts, moved]]
+    assert all(got[i] for i in range(2, len(got)))  # a text with words is never like one without
+    assert all(g[i] in "12" for g in got for i in range(0, len(g), 9))  # no stretch of a text is without anchors
+    pair = frame.where(f"i >= {len(texts) - 1}").groupBy().pivot("i").agg(syncmers.F.first("f"))
+    a, b = pair.columns
+    near = pair.select(syncmers.likeness(syncmers.F.col(a), syncmers.F.col(b)).alias("n")).first().n
+    assert near == like(got[-2], got[-1]) and near > 0.999  # a passage that has moved still matches, positions being relative
 
 
 @pytest.mark.parametrize("which", ["sf", "odd"])
