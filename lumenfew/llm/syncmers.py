@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from lumenfew.llm.common import partitions, table, text_or_empty
 
 K = 3
+MASK = 0xFFFFFFFF
 SPACES = r"[\x20\x09-\x0D]+"
 #: Documents that a range of ids holds, about, and how many ranges there are at most.
 ROWS, RANGES = 5_000, 4_096
@@ -38,43 +39,48 @@ def _bound(value: Column, fn) -> Column:
     return F.element_at(F.transform(F.array(value), fn), 1)
 
 
-def anchors(text: Column, k: int = K) -> Column:
-    """The closed syncmers of ``k`` words in order: structs of ``at``, the first word's number from 1, and ``code``, a 32-bit hash."""
-    words = F.split(F.trim(F.regexp_replace(text, SPACES, " ")), " ", -1)
-    h = F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
-    anchor = lambda at, run: F.struct(at.alias("at"), F.xxhash64(run).bitwiseAND(F.lit(0xFFFFFFFF)).alias("code"))
-    none = F.array().cast("array<struct<at:int,code:bigint>>")
+def pieces(text: Column, k: int = K) -> Column:
+    """The closed syncmers of ``k`` words in order, one long each: words since the one before (below 16, so ``k`` may be 16 at most), then a 32-bit hash."""
+    h = F.transform(F.array_remove(F.split(text, SPACES, -1), ""), lambda w: F.xxhash64(w))
+    piece = lambda distance, run: distance.cast("long") * (1 << 32) + F.xxhash64(run).bitwiseAND(F.lit(MASK))
+    least = lambda found: found[0] if len(found) == 1 else F.least(*found)
 
     def chosen(h: Column) -> Column:
         n = F.size(h)
-        starts = F.when(n >= k, F.sequence(F.lit(1), n - (k - 1))).otherwise(F.array().cast("array<int>"))
-        edge = lambda i: F.least(F.get(h, i - 1), F.get(h, i + (k - 2)))
-        kept = F.filter(starts, lambda i: edge(i) <= F.least(*[F.get(h, i + (j - 1)) for j in range(k)]))
-        of_kept = lambda kept: F.when(F.size(kept) > 0, F.transform(kept, lambda i: anchor(i, F.slice(h, i, F.lit(k))))).when(n > 0, F.array(anchor(F.lit(1), h))).otherwise(none)
-        return _bound(kept, of_kept)
+        m = n - (k - 1)
+        runs = F.arrays_zip(F.sequence(F.lit(1), m), F.arrays_zip(*[F.slice(h, j, m) for j in range(1, k + 1)]))
+        at = lambda z: z.getField("0")
+        word = lambda z, j: z.getField("1").getField(str(j))
+        edge = lambda z: least([word(z, j) for j in sorted({0, k - 1})])
+        kept = F.filter(runs, lambda z: edge(z) <= least([word(z, j) for j in range(1, k - 1)])) if k > 2 else runs
+        written = lambda kept: F.transform(kept, lambda z, i: piece(at(z) - F.coalesce(at(F.get(kept, i - 1)), F.lit(0)), z.getField("1")))
+        found = F.when(n >= k, _bound(kept, written)).otherwise(F.array().cast("array<bigint>"))
+        whole = F.when(n > 0, F.array(piece(F.lit(1), h))).otherwise(F.array().cast("array<bigint>"))
+        return _bound(found, lambda found: F.when(F.size(found) > 0, found).otherwise(whole))
 
     return _bound(h, chosen)
 
 
-def fingerprint(text: Column, k: int = K) -> Column:
-    """Every anchor of the text in order, as nine hex digits: its distance from the one before (below 16, so ``k`` may be 16 at most), and its hash."""
+def written(pieces: Column) -> Column:
+    """A fingerprint: nine hex digits a piece."""
+    return F.lower(F.array_join(F.transform(pieces, lambda p: F.hex(p)), ""))
 
-    def written(found: Column) -> Column:
-        distance = lambda a, i: a["at"] - F.coalesce(F.get(found, i - 1)["at"], F.lit(0))
-        return F.array_join(F.transform(found, lambda a, i: F.concat(F.hex(distance(a, i)), F.lpad(F.hex(a["code"]), 8, "0"))), "")
 
-    return F.lower(_bound(anchors(text, k), written))
+def fingerprint(text: Column, k: int = K) -> Column:
+    """Every anchor of the text in order, as nine hex digits: its distance from the one before and its hash."""
+    return written(pieces(text, k))
 
 
-def parts(fingerprint: Column) -> Column:
-    """The distinct anchors and links of a fingerprint; a link is an anchor, a distance and the next anchor."""
+def parts(pieces: Column) -> Column:
+    """The distinct anchors and links of a text's pieces; a link is the hash of an anchor, a distance and the next anchor, below zero to stand apart."""
 
     def both(pieces: Column) -> Column:
-        code = lambda p: F.substring(p, 2, 8)
-        links = F.transform(pieces, lambda p, i: F.coalesce(F.concat(code(F.get(pieces, i - 1)), p), code(p)))
+        code = lambda p: p.bitwiseAND(F.lit(MASK))
+        rest = F.greatest(F.size(pieces) - 1, F.lit(0))
+        links = F.zip_with(F.slice(pieces, 1, rest), F.slice(pieces, 2, rest), lambda a, b: F.xxhash64(code(a), b).bitwiseOR(F.lit(-(1 << 63))))
         return F.array_union(F.transform(pieces, code), links)
 
-    return _bound(F.filter(F.split(F.regexp_replace(fingerprint, "(.{9})", "$1 "), " "), lambda p: p != ""), both)
+    return _bound(pieces, both)
 
 
 def overlap(a: Column, b: Column) -> Column:
@@ -86,7 +92,8 @@ def overlap(a: Column, b: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1: how like two fingerprints are."""
-    return overlap(parts(a), parts(b))
+    read = lambda f: F.transform(F.array_remove(F.split(F.regexp_replace(f, "(.{9})", "$1 "), " "), ""), lambda p: F.conv(p, 16, 10).cast("long"))
+    return overlap(parts(read(a)), parts(read(b)))
 
 
 def _range_of(column: str, cuts: list) -> Column:
@@ -100,13 +107,15 @@ def _range_of(column: str, cuts: list) -> Column:
     return F.when(F.col(column).isNull(), F.lit(-1)).otherwise(found)
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], made: dict[str, Column] | None = None) -> DataFrame:
     """Each row with ``next_<c>`` of the row that follows by descending ``doc_id`` (after the last: the first).
 
     Ids are cut into ranges at their approximate quantiles; each range looks ahead within
     itself, and a copy of the leading row of the range that follows stands at its end. The
-    number of ranges follows that of the rows.
+    number of ranges follows that of the rows. ``made`` adds columns, and their ``next_``,
+    that are worked out once a row behind the shuffle and its sort.
     """
+    made = made or {}
     n = max(2, partitions(docs.sparkSession), min(docs.count() // ROWS, RANGES))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n)).first()[0] or []
     ranged = docs.withColumn("__range", _range_of("doc_id", sorted(set(cuts))))
@@ -123,16 +132,18 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     ghosts = ghosts.crossJoin(F.broadcast(wrap)).withColumn("__range", F.when(low == -2, F.col("__lowest")).otherwise(F.col("__after")))
     rows = ranged.withColumn("__ghost", F.lit(0)).select(*docs.columns, "__range", "__ghost").unionAll(ghosts.withColumn("__ghost", F.lit(1)).select(*docs.columns, "__range", "__ghost"))
     ahead = Window.partitionBy("__range").orderBy(F.col("__ghost"), *order)
-    return rows.repartition(n, "__range").select("*", *[F.lead(c).over(ahead).alias(f"next_{c}") for c in columns]).where("__ghost = 0").drop("__range", "__ghost")
+    rows = rows.repartition(n, "__range").sortWithinPartitions("__range", "__ghost", *order).withColumns(made)
+    return rows.select("*", *[F.lead(c).over(ahead).alias(f"next_{c}") for c in [*columns, *made]]).where("__ghost = 0").drop("__range", "__ghost")
 
 
 def op9_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of each text, of its edited text, and their likeness."""
     docs = table(spark, sf_dir, "documents").select("doc_id", text_or_empty().alias("text"))
-    rows = with_next(docs, ["text"])
+    rows = with_next(docs, ["text"], {"pieces": pieces(F.col("text"))})
     n = F.char_length("text")
     cut = F.floor(n / 3).cast("int")
     rows = rows.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.expr("substring(text, 1, char_length(text) - cast(floor(char_length(text) / 3) as int))"), F.substring("next_text", F.lit(1), cut)))
-    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *[fingerprint(F.col(c)).alias(n) for c, n in (("text", "fingerprint"), ("edited", "edited_fingerprint"), ("next_text", "next_fingerprint"))])
-    rows = rows.select("*", parts(F.col("fingerprint")).alias("own"), parts(F.col("edited_fingerprint")).alias("of_edited"), parts(F.col("next_fingerprint")).alias("of_next"))
-    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", overlap(F.col("own"), F.col("of_edited")).alias("near_edited"), overlap(F.col("own"), F.col("of_next")).alias("near_next"))
+    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "pieces", "next_pieces", pieces(F.col("edited")).alias("edited_pieces"))
+    rows = rows.select("*", *[parts(F.col(c)).alias(of) for c, of in (("pieces", "own"), ("edited_pieces", "of_edited"), ("next_pieces", "of_next"))])
+    prints = [written(F.col(c)).alias(name) for c, name in (("pieces", "fingerprint"), ("edited_pieces", "edited_fingerprint"))]
+    return rows.select("doc_id", "n_chars", "edited_sha256", *prints, overlap(F.col("own"), F.col("of_edited")).alias("near_edited"), overlap(F.col("own"), F.col("of_next")).alias("near_next"))
