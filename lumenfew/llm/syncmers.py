@@ -30,8 +30,9 @@ from lumenfew.llm.common import partitions, table, text_or_empty
 K = 3
 MASK = 0xFFFFFFFF
 SPACES = r"[\x20\x09-\x0D]+"
-#: Documents that a range of ids holds, about, and how many ranges there are at most.
-ROWS, RANGES = 5_000, 4_096
+#: Documents that a range of ids holds, about; how many ranges there are at most (fuller ranges
+#: spill); and the ids a range that its cuts are estimated from. Cuts never change a result.
+ROWS, RANGES, IDS = 5_000, 65_536, 100
 
 
 def _bound(value: Column, fn) -> Column:
@@ -96,13 +97,18 @@ def likeness(a: Column, b: Column) -> Column:
     return overlap(parts(read(a)), parts(read(b)))
 
 
+def _constants(values: list, kind: str) -> Column:
+    """An array of numbers as one folded constant, however many they are."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(kind)
+
+
 def _range_of(column: str, cuts: list) -> Column:
     """The number of ``cuts`` below the value, by binary search; -1 for null."""
     n = len(cuts)
     if not n:
         return F.when(F.col(column).isNull(), F.lit(-1)).otherwise(F.lit(0))
     steps = [1 << i for i in reversed(range(n.bit_length()))]
-    table_ = F.array(*[F.lit(c) for c in cuts])
+    table_ = _constants(cuts, f"array<{'bigint' if isinstance(cuts[0], int) else 'double'}>")
     found = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda low, step: F.when((low + step <= n) & (F.get(table_, low + step - 1) < F.col(column)), low + step).otherwise(low))
     return F.when(F.col(column).isNull(), F.lit(-1)).otherwise(found)
 
@@ -110,14 +116,17 @@ def _range_of(column: str, cuts: list) -> Column:
 def with_next(docs: DataFrame, columns: list[str], made: dict[str, Column] | None = None) -> DataFrame:
     """Each row with ``next_<c>`` of the row that follows by descending ``doc_id`` (after the last: the first).
 
-    Ids are cut into ranges at their approximate quantiles; each range looks ahead within
+    Ids are cut into ranges at estimated quantiles; each range looks ahead within
     itself, and a copy of the leading row of the range that follows stands at its end. The
     number of ranges follows that of the rows. ``made`` adds columns, and their ``next_``,
     that are worked out once a row behind the shuffle and its sort.
     """
     made = made or {}
-    n = max(2, partitions(docs.sparkSession), min(docs.count() // ROWS, RANGES))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n)).first()[0] or []
+    n_rows = docs.count()
+    n = max(2, partitions(docs.sparkSession), min(n_rows // ROWS, RANGES))
+    ids = docs.select("doc_id")
+    ids = ids.sample(IDS * n / n_rows, 1) if n_rows > IDS * n else ids
+    cuts = ids.agg(F.percentile_approx("doc_id", _constants([i / n for i in range(1, n)], "array<double>"), F.lit(10 * n))).first()[0] or []
     ranged = docs.withColumn("__range", _range_of("doc_id", sorted(set(cuts))))
     order = [F.col("doc_id").desc_nulls_last(), *[F.col(c) for c in columns]]
     lead = ranged.groupBy("__range").agg(F.max("doc_id").alias("__top"))
