@@ -483,6 +483,16 @@ def test_syncmers(spark, sf, odd, which):
     assert got == want
 
 
+def test_next_rows_over_many_sampled_ranges(spark, monkeypatch):
+    monkeypatch.setattr(syncmers, "ROWS", 20)
+    monkeypatch.setattr(syncmers, "IDS", 2)
+    ids = [7 * i - 900 for i in range(600)] + [5] * 40 + [None] * 3  # ties and null ids, and cuts that are far from even
+    frame = spark.createDataFrame([(d, f"t{d}-{i % 3}") for i, d in enumerate(ids)], "doc_id long, text string")
+    rows = sorted(((r.doc_id, r.text) for r in frame.collect()), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    got = Counter((r.doc_id, r.text, r.next_text, r.n, r.next_n) for r in syncmers.with_next(frame, ["text"], {"n": syncmers.F.length("text")}).collect())
+    assert got == Counter((d, t, after, len(t), len(after)) for (d, t), (_, after) in zip(rows, rows[1:] + rows[:1], strict=True))
+
+
 def measured(text):
     w = words(text)
     lines = [x for x in (text or "").split("\n") if words(x)]
