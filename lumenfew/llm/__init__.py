@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenfew.llm import mixing, packing, pitman_yor, quality, simhash, suffix, syncmers, tokencount, toxicity, warc
+from lumenfew.llm import lexical, mixing, negatives, packing, pitman_yor, quality, simhash, suffix, syncmers, tokencount, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,8 +23,10 @@ def queries() -> dict[str, Query]:
         "op8_simhash": simhash.op8_simhash,
         "op9_syncmers": syncmers.op9_syncmers,
         "op10_quality_rules": quality.op10_quality_rules,
+        "op11_hard_negatives": negatives.op11_hard_negatives,
+        "op13_lexical_search": lexical.op13_lexical_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.OP1_SQL}
+    return {"op1_mixing": mixing.OP1_SQL, "op11_hard_negatives": negatives.OP11_SQL, "op13_lexical_search": lexical.OP13_SQL}
