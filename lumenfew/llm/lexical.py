@@ -143,14 +143,15 @@ class Chunk:
         self.top = np.full(len(weight), -1, np.int64)
         self.top[self.term[roots]] = roots
 
-    def root(self, node, child, low, high):
-        """The greatest posting of [low, high), from a ``node`` above it by one kind of ``child``; -1 in empty ranges."""
+    def root(self, node, low, high):
+        """The greatest posting of [low, high), from a ``node`` above it or in it; -1 in empty ranges."""
         node = np.where(low < high, node, -1)
         for _ in range(STEPS):
             out = np.nonzero((node >= 0) & ((node < low) | (node >= high)))
             if not len(out[0]):
                 return node
-            node[out] = child[node[out]]
+            at = node[out]
+            node[out] = np.where(at < low[out], self.right[at], self.left[at])
         for at in zip(*np.nonzero((node >= 0) & ((node < low) | (node >= high))), strict=True):
             node[at] = low[at] + np.argmax(self.impact[low[at] : high[at]])
         return node
@@ -185,8 +186,8 @@ class Chunk:
                 begin, end, low, high, node = (x[~small] for x in (begin, end, low, high, node))
                 middle = (begin + end) // 2
                 cut = np.searchsorted(self.key, terms[None] * self.width + middle[:, None])
-                one = self.root(node, self.left, low, cut)
-                two = self.root(node, self.right, cut, high)
+                one = self.root(node, low, cut)
+                two = self.root(node, cut, high)
                 made = tuple(np.concatenate(x) for x in ((begin, middle), (middle, end), (low, cut), (cut, high), (one, two)))
                 more = np.where(made[4] >= 0, self.impact[made[4]], 0).sum(axis=1)
                 front, bound = tuple(np.concatenate(x) for x in zip(front, made, strict=True)), np.concatenate([bound, more])
