@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenfew.llm import lexical, mixing, negatives, packing, pitman_yor, quality, simhash, suffix, syncmers, tokencount, toxicity, warc
+from lumenfew.llm import lexical, mixing, multiindex, negatives, packing, pitman_yor, quality, simhash, suffix, syncmers, tokencount, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,9 +24,10 @@ def queries() -> dict[str, Query]:
         "op9_syncmers": syncmers.op9_syncmers,
         "op10_quality_rules": quality.op10_quality_rules,
         "op11_hard_negatives": negatives.op11_hard_negatives,
+        "op12_nearest_neighbours": multiindex.op12_nearest_neighbours,
         "op13_lexical_search": lexical.op13_lexical_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.OP1_SQL, "op11_hard_negatives": negatives.OP11_SQL, "op13_lexical_search": lexical.OP13_SQL}
+    return {"op1_mixing": mixing.OP1_SQL, "op11_hard_negatives": negatives.OP11_SQL, "op12_nearest_neighbours": multiindex.OP12_SQL, "op13_lexical_search": lexical.OP13_SQL}
