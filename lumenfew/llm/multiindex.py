@@ -54,7 +54,7 @@ NEAR = 1000
 CALIBRATE = 2048
 MARGIN = 1.75
 #: Rows of a list, about.
-PART = 4096
+PART = 512
 #: Bytes of queries that are broadcast at once, and of centroid products that a task keeps.
 BLOCK_BYTES = 16 << 20
 KEPT_BYTES = 64 << 20
