@@ -11,7 +11,7 @@ text writer, with the format's two line ends between records; ``read`` parses WA
 gzip members included, through Spark's binary reader.
 
 Defined cases: a null body counts as empty and yields an empty conversion; a null URL is
-left out of the headers; null dates take ``DATE``; repeated rows and ties yield equal
+left out of the headers; line ends in a URL are percent-encoded; null dates take ``DATE``; repeated rows and ties yield equal
 identifiers; an empty table gives no rows; very long pages are read whole, in time linear in
 their length; broken records give no row, and a response without an identifier gets one made
 from its block; other columns pass through ``derivatives``, but those named like a result
@@ -43,8 +43,14 @@ _BREAK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|foo
 _TAG = re.compile(r"<[^>]*>")
 _GAP = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r" ?\n[ \n]*")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.S | re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_TITLE = re.compile(r"<title\b[^>]*>", re.I)
+_TITLE_END = re.compile(r"</title", re.I)
+_ANCHOR = re.compile(r"<a\b[^>]*>", re.I)
+_HREF = re.compile(r"\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_QUOTED = re.compile(r"\bhref\s*=\s*[\"']", re.I)
+#: A record's first line, and where a line begins with it.
+_VERSION = re.compile(rb"WARC/\d+\.\d+\r\n")
+_LINE = re.compile(rb"(?<=\n)WARC/\d+\.\d+\r\n")
 
 
 def digest(content: bytes) -> str:
@@ -79,13 +85,33 @@ def plain_text(page: str) -> str:
 
 
 def links(page: str) -> list[str]:
+    """The targets of anchors. Linear: an anchor is looked through once, a quoted value may pass its end."""
     page = without_hidden(page)
-    return [html.unescape(a or b or c) for a, b, c in _LINK.findall(page[: page.rfind(">") + 1])]
+    page = page[: page.rfind(">") + 1]  # no tag closes beyond
+    out, at = [], 0
+    while anchor := _ANCHOR.search(page, at):
+        at = anchor.end()
+        href = _HREF.search(page, anchor.start(), at)
+        # a value that a quote opens inside the tag ends at the next quote, wherever that is
+        begun = _QUOTED.search(page, anchor.start(), at)
+        if begun and (href is None or begun.start() <= href.start()):
+            href = _HREF.match(page, begun.start())
+        if href:
+            out.append(html.unescape(href[1] or href[2] or href[3] or ""))
+            at = max(at, href.end())
+    return out
+
+
+def title_of(page: str) -> str | None:
+    """What stands between the first title tag and the next end of one. Linear: both are looked for once."""
+    begin = _TITLE.search(page, 0, page.rfind(">") + 1)
+    end = begin and _TITLE_END.search(page, begin.end())
+    return html.unescape(page[begin.end() : end.start()]).strip() if end else None
 
 
 def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
-    """A WARC record without the line ends that follow it."""
-    lines = [f"{k}: {v}" for k, v in [*headers, ("Content-Length", str(len(block)))]]
+    """A WARC record without the line ends that follow it. Line ends in a header's value are percent-encoded, or it would end the header."""
+    lines = [f"{k}: {v}".replace("\r", "%0D").replace("\n", "%0A") for k, v in [*headers, ("Content-Length", str(len(block)))]]
     return ("WARC/1.1\r\n" + "\r\n".join(lines) + "\r\n\r\n").encode() + block
 
 
@@ -106,12 +132,14 @@ def parse(content: bytes) -> list[tuple[dict[str, str], bytes]]:
     """The records of a WARC file, plain or of gzip members.
 
     A record without a whole head, a length or all of its block gives nothing; header lines
-    without a colon are passed over; reading goes on at the next record that begins a line.
+    without a colon are passed over; reading goes on at the next line that is a record's first.
     """
     if content[:2] == b"\x1f\x8b":
         content = unzipped(content)
     out, at = [], 0
-    while (at := content.find(b"WARC/", at)) >= 0:
+    done = True  # here a record may begin without a line end before it
+    while begin := (done and _VERSION.match(content, at)) or _LINE.search(content, at):
+        at = begin.start()
         end = content.find(b"\r\n\r\n", at)
         if end < 0:
             break
@@ -121,9 +149,9 @@ def parse(content: bytes) -> list[tuple[dict[str, str], bytes]]:
         stop = end + 4 + int(size) if size.isascii() and size.isdigit() else -1
         if 0 <= stop <= len(content):
             out.append((headers, content[end + 4 : stop]))
-            at = stop
+            at, done = stop, True
         else:
-            at = end + 4
+            at, done = begin.end(), False
     return out
 
 
@@ -146,10 +174,10 @@ def derive(headers: dict[str, str], block: bytes) -> tuple[dict, bytes, bytes]:
     text = plain_text(page)
     content = text.encode()
     conversion, metadata = record_id("conversion", source), record_id("metadata", source)
-    title = _TITLE.search(page)
+    title = title_of(page)
     found = links(page)
     status, *lines = http.decode("latin-1").split("\r\n")
-    facts = {"refers_to": source, "conversion": conversion, "warc_headers": headers, "http_status": status, "http_headers": dict(x.split(": ", 1) for x in lines if ": " in x), "payload_digest": digest(body), "text_digest": digest(content), "title": html.unescape(title[1]).strip() if title else None, "links": found}
+    facts = {"refers_to": source, "conversion": conversion, "warc_headers": headers, "http_status": status, "http_headers": dict(x.split(": ", 1) for x in lines if ": " in x), "payload_digest": digest(body), "text_digest": digest(content), "title": title, "links": found}
     note = json.dumps(facts, ensure_ascii=False).encode()
     common = lambda kind, name, mime, block: record([("WARC-Type", kind), ("WARC-Record-ID", name), ("WARC-Refers-To", source), ("WARC-Date", date), *target, ("WARC-Block-Digest", digest(block)), ("Content-Type", mime)], block)
     own = {"response_id": source, "conversion_id": conversion, "metadata_id": metadata, "payload_digest": facts["payload_digest"], "source_payload_digest": headers.get("WARC-Payload-Digest"), "text": text, "text_digest": facts["text_digest"], "title": facts["title"], "n_links": len(found)}

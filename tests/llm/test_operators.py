@@ -687,8 +687,8 @@ def test_warc_reads_broken_files_and_odd_pages(spark, tmp_path):
     assert [h["WARC-Target-URI"] for h, _ in warc.parse(b"WARC/1.0\r\nContent-Length: x\r\n\r\n" + whole)] == ["http://a"]
     assert len(warc.parse(gzip.compress(whole) + gzip.compress(two))) == 2 and len(warc.parse(gzip.compress(whole) + gzip.compress(two)[:20])) == 1
     began = time.time()
-    for page in ("<script>" * 60_000, "<" * 300_000, "<!--" * 100_000, "<a href=" * 50_000, "x" * 2_000_000):
-        warc.plain_text(page), warc.links(page)
+    for page in ("<script>" * 60_000, "<" * 300_000, "<!--" * 100_000, "<a href=" * 50_000, "x" * 2_000_000, "<title>" * 100_000, "<title " * 100_000 + ">", "<a " * 200_000 + ">", "<a href='" * 50_000 + ">", "<a href" + " " * 300_000 + ">", "<a href=\"x" * 50_000 + ">"):
+        warc.plain_text(page), warc.links(page), warc.title_of(page)
     assert time.time() - began < 20
     rows = [(1, None, None, "k"), (1, None, None, "k"), (2, "http://x", "<p>a</p>", "m"), (None, "http://y", "<b>", None)]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
@@ -696,3 +696,24 @@ def test_warc_reads_broken_files_and_odd_pages(spark, tmp_path):
     assert len(got) == 4 and got[0].response_id == got[1].response_id and sorted(r.text for r in got) == ["", "", "", "a"]
     bare = spark.createDataFrame([(bytearray(odd),), (None,), (bytearray(b"junk"),)], "record binary")
     assert [r.text for r in warc.derivatives(bare).collect()] == [""]
+
+
+def test_warc_headers_stay_whole_and_records_begin_lines(spark):
+    urls = ["http://a\r\n\r\nb", "http://a\nWARC-Type: request", "\r", "http://plain", None]
+    frame = spark.createDataFrame([(i, u, f"<p>page {i}</p>") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in warc.derivatives(warc.responses(frame)).collect()}
+    assert sorted(got) == [str(i) for i in range(len(urls))]
+    for i, url in enumerate(urls):
+        (headers, block), = warc.parse(bytes(got[str(i)].metadata))
+        assert got[str(i)].text == f"page {i}" and json.loads(block)["warc_headers"].get("WARC-Target-URI") == (url and url.replace("\r", "%0D").replace("\n", "%0A"))
+    whole = warc.response("http://a", "<p>one</p>", warc.DATE, 1)[1]
+    body = b"see WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 2\r\n\r\nhi"
+    broken = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 99999\r\n\r\n" + body + b"\r\n\r\n"
+    assert [h["WARC-Target-URI"] for h, _ in warc.parse(broken + whole)] == ["http://a"]
+    assert warc.parse(b"WARC/x\r\nContent-Length: 0\r\n\r\n") == [] and warc.parse(b" WARC/1.0\r\nContent-Length: 0\r\n\r\n") == []
+
+
+def test_warc_links_and_titles():
+    page = """<a class=x HREF = "/one?a=1&amp;b=2">1</a><a>no</a><a name='b' href='/t>wo'>2</a><A href=/three>3</A><abbr href=no><a <a href="/four">4</a><a data-x="y" href="">5</a>"""
+    assert warc.links(page) == ["/one?a=1&b=2", "/t>wo", "/three", "/four", ""]
+    assert warc.title_of("<head><TITLE lang=en> a &lt; b </title>") == "a < b" and warc.title_of("<title>open") is None and warc.title_of("</title>") is None
