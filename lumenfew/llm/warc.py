@@ -139,11 +139,12 @@ def parse(content: bytes) -> list[tuple[dict[str, str], bytes]]:
     out, at = [], 0
     done = True  # here a record may begin without a line end before it
     while begin := (done and _VERSION.match(content, at)) or _LINE.search(content, at):
-        at = begin.start()
-        end = content.find(b"\r\n\r\n", at)
+        end = content.find(b"\r\n\r\n", begin.end() - 2)
         if end < 0:
             break
-        lines = content[at:end].decode("utf-8", "replace").split("\r\n")[1:]
+        for begin in _LINE.finditer(content, begin.end(), end):
+            pass  # a head was cut short: the last one before the empty line is whole
+        lines = content[begin.start() : end].decode("utf-8", "replace").split("\r\n")[1:]
         headers = {k.strip(): v.strip() for k, colon, v in (line.partition(":") for line in lines) if colon}
         size = headers.get("Content-Length", "")
         stop = end + 4 + int(size) if size.isascii() and size.isdigit() else -1
@@ -151,7 +152,7 @@ def parse(content: bytes) -> list[tuple[dict[str, str], bytes]]:
             out.append((headers, content[end + 4 : stop]))
             at, done = stop, True
         else:
-            at, done = begin.end(), False
+            at, done = end + 4, False
     return out
 
 

@@ -710,6 +710,8 @@ def test_warc_headers_stay_whole_and_records_begin_lines(spark):
     body = b"see WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 2\r\n\r\nhi"
     broken = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 99999\r\n\r\n" + body + b"\r\n\r\n"
     assert [h["WARC-Target-URI"] for h, _ in warc.parse(broken + whole)] == ["http://a"]
+    assert [h["WARC-Target-URI"] for h, _ in warc.parse(b"WARC/1.1\r\nWARC-Type: resp" + b"\r\n" + whole)] == ["http://a"]
+    assert warc.parse(b"WARC/1.0\r\n\r\n" + whole + b"WARC/1.0\r\n" * 100_000 + b"\r\n")[0][0]["WARC-Target-URI"] == "http://a"
     assert warc.parse(b"WARC/x\r\nContent-Length: 0\r\n\r\n") == [] and warc.parse(b" WARC/1.0\r\nContent-Length: 0\r\n\r\n") == []
 
 
