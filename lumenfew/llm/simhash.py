@@ -194,11 +194,12 @@ def _similar(docs: DataFrame, prints: DataFrame) -> DataFrame:
     from lumenfew.llm import minhash
 
     sets = staged(prints.where("n_set > 0").groupBy("sig").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie", "simhash")).alias("one"), F.first("n_set").alias("n_set"), F.first("bands").alias("bands")), "sets")
-    pairs = staged(minhash.candidates(sets.select("sig", "n_set", "bands")), "pairs")
-    ends = pairs.select(F.col("a").alias("sig")).unionAll(pairs.select(F.col("b").alias("sig"))).distinct()
+    pairs, crowd = minhash.candidates(sets.select("sig", "n_set", "bands"))
+    ends = pairs.select(F.col("a").alias("sig")).unionAll(pairs.select(F.col("b").alias("sig"))).unionAll(crowd).distinct()
     asked = staged(sets.join(ends, "sig").select("sig", F.col("one.doc_id").alias("__id"), F.col("one.tie").alias("__tie")), "asked")
     texts = docs.select("doc_id", "text").withColumn("__hash", F.xxhash64("text")).join(asked, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__tie")))
-    near = minhash.links(texts.select("sig", "text").dropDuplicates(["sig"]), pairs)
+    shingles = minhash.shingles_of(texts.select("sig", "text").dropDuplicates(["sig"]))
+    near = minhash.verified(pairs, shingles).unionAll(minhash.crowd_links(staged(shingles.join(crowd, "sig"), "crowd")))
     names = sets.select("sig", F.col("one.simhash").alias("print"))
     # equal sets may have several fingerprints
     equal = prints.select("sig", "simhash").join(names, "sig").where("simhash <> print").select(F.col("print").alias("a"), F.col("simhash").alias("b")).distinct()
