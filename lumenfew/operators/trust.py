@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lumenfew.functions import arrays as A
 from lumenfew.functions import metrics as M
 from lumenfew.operators import experiments, heads
+from lumenfew.operators.ordered import joined, quantiles, running
 
 #: Nominal coverage and the places of the interval's ends among the 11 quantiles.
 LEVELS = ((50, 4, 6), (68, 3, 7), (80, 2, 8), (90, 1, 9), (95, 0, 10))
@@ -33,14 +34,12 @@ def posteriors(rows: DataFrame, sizes: list[int], reps: int, name: str = "ridge"
 def conformal_quantile(df: DataFrame, by: list[str], score: str, nominal: str) -> DataFrame:
     """``radius``: the ceil((n + 1) * nominal / 100)-th least score of each cell and level, n at most.
 
-    Equal scores are counted before the window, which then runs over distinct scores.
+    Equal scores are counted first; the counts run on in order of the score.
     """
-    counted = df.groupBy(*by, nominal, score).agg(F.count("*").alias("__c"))
-    order = Window.partitionBy(*by, nominal).orderBy(score)
-    upto = F.sum("__c").over(order)
-    n = F.sum("__c").over(Window.partitionBy(*by, nominal))
+    counted = running(df.groupBy(*by, nominal, score).agg(F.count("*").alias("__c")), [*by, nominal], [F.col(score)], ["__c"])
+    n = F.col("total___c")
     rank = F.least(F.ceil((n + 1) * F.col(nominal) / 100 - 1e-9), n)
-    return counted.withColumn("__u", upto).withColumn("__r", rank).where("__u >= __r").groupBy(*by, nominal).agg(F.min(score).alias("radius"))
+    return counted.where(F.col("before___c") + F.col("__c") >= rank).groupBy(*by, nominal).agg(F.min(score).alias("radius"))
 
 
 def audit(found: DataFrame, by: list[str]) -> DataFrame:
@@ -126,18 +125,19 @@ def gate(rows: DataFrame, by: list[str], name: str = "ridge", references: int =
 def risk_coverage(df: DataFrame, by: list[str], score: str, pred: str = "pred", y: str = "y", tie: str = "idx") -> DataFrame:
     """Area under 1 - R2 of the best-scored rows, for kept shares from a half to all in eleven steps.
 
-    Prefix sums in one window a cell; each share reads the row at its end.
+    Errors and spreads run on in order of the score; each share reads the row at its end.
     """
-    order = Window.partitionBy(*by).orderBy(score, tie)
-    n = F.count("*").over(Window.partitionBy(*by))
     # sums around the cell's middle lose fewer digits
-    rows = df.select(*by, F.col(score), F.col(tie), F.col(pred).alias("__p"), F.col(y).alias("__y")).withColumn("__d", F.col("__y") - F.avg("__y").over(Window.partitionBy(*by)))
-    run = rows.select(*by, F.row_number().over(order).alias("m"), n.alias("n"), F.sum(F.pow(F.col("__p") - F.col("__y"), 2)).over(order).alias("sse"), F.sum("__d").over(order).alias("s1"), F.sum(F.pow("__d", 2)).over(order).alias("s2"))
+    own = df.select(*by, F.col(score), F.col(tie), F.pow(F.col(pred) - F.col(y), 2).alias("__e"), F.col(y).alias("__y"), F.lit(1).alias("__one"))
+    centred = joined(own, own.groupBy(*by).agg(F.avg("__y").alias("__m")), by).withColumn("__d", F.col("__y") - F.col("__m")).withColumn("__dd", F.pow("__d", 2))
+    run = running(centred, by, [F.col(score), F.col(tie)], ["__one", "__e", "__d", "__dd"])
+    upto = lambda c: F.col(f"before_{c}") + F.col(c)
+    run = run.select(*by, upto("__one").alias("m"), F.col("total___one").alias("n"), upto("__e").alias("sse"), upto("__d").alias("s1"), upto("__dd").alias("s2"))
     shares = F.broadcast(df.sparkSession.range(11).select((0.5 + F.col("id") * 0.05).alias("f")))
     ends = run.crossJoin(shares).where(F.col("m") == F.greatest(F.lit(2), F.bround(F.round(F.col("n") * F.col("f"), 9)).cast("long")))
     spread = F.col("s2") - F.col("s1") * F.col("s1") / F.col("m")
     risk = ends.withColumn("risk", F.when(spread > M.TINY, F.col("sse") / spread))
-    before = lambda c: F.lag(c).over(Window.partitionBy(*by).orderBy("f"))
+    before = lambda c: F.lag(c).over(Window.partitionBy(*by).orderBy("f"))  # noqa: E731  eleven rows a cell
     pieces = risk.withColumn("piece", (F.col("f") - before("f")) * (F.col("risk") + before("risk")) / 2)
     return pieces.groupBy(*by).agg(F.sum("piece").alias("auc"))
 
@@ -155,8 +155,10 @@ def detection_limits(df: DataFrame, by: list[str], pred: str, level: str, least:
     m, s, lod, loq = M.blank_limits(F.col(pred), F.col(level))
     limits = df.groupBy(*by).agg(m.alias("blank_mean"), s.alias("blank_sd"), lod.alias("lod"), loq.alias("loq"), F.count_if(F.col(level) == 0).alias("blanks")).where(F.col("blanks") >= least)
     above = lambda c: F.avg((F.col(pred) > F.col(c)).cast("double"))
-    joined = df.join(F.broadcast(limits), by) if by else df.crossJoin(F.broadcast(limits))
-    return joined.groupBy(*by, level).agg(F.count("*").alias("n_test_spectra"), above("lod").alias("detection_rate_at_lod"), above("loq").alias("detection_rate_at_loq"), F.percentile(pred, F.lit(0.5)).alias("median_prediction"), F.first("blank_mean").alias("blank_mean"), F.first("blank_sd").alias("blank_sd"))
+    rows = joined(df, limits, by)
+    q = quantiles(rows, [*by, level], pred, [0.5], "__q")
+    shares = rows.groupBy(*by, level).agg(F.count("*").alias("n_test_spectra"), above("lod").alias("detection_rate_at_lod"), above("loq").alias("detection_rate_at_loq"), F.first("blank_mean").alias("blank_mean"), F.first("blank_sd").alias("blank_sd"))
+    return joined(shares, q.select(*by, level, F.get("__q", 0).alias("median_prediction")), [*by, level])
 
 
 def farthest(pool: DataFrame, chosen: DataFrame, id_: str, x: str) -> DataFrame:

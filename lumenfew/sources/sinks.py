@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -41,6 +45,24 @@ def pending(grid: DataFrame, spark: SparkSession, path: str, keys: list[str]) ->
     return grid.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
+def shared(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a temporary one where it is unset and all runs in this process."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="lumenfew-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: made once, whatever is lost later."""
+    path = f"{shared(df.sparkSession)}/lumenfew/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def digest(df: DataFrame) -> str:
     """16 hex digits of the rows in any order."""
     return df.agg(order_free_digest(*df.columns).alias("d")).first().d[:16]
