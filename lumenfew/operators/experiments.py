@@ -61,14 +61,14 @@ def support_rows(rows: DataFrame, sizes: list[int], reps: int, family: str = "ev
 
 
 def fit_cells(rows: DataFrame, sizes: list[int], reps: int, fit: Fit, family: str = "eval", group: str | None = None):
-    """Fit every cell; a broadcast list of (keys, ids or groups that take no part, heads by name)."""
+    """Fit every cell; a broadcast list of (keys, ids or groups that take no part, heads by name, the support's mean target)."""
 
     def run(keys: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("idx")
-        named = dict(zip(BY, keys, strict=True))
-        made = fit(named, np.stack(frame.x.to_list()).astype(float), frame.y.to_numpy(float))
+        named, y = dict(zip(BY, keys, strict=True)), frame.y.to_numpy(float)
+        made = fit(named, np.stack(frame.x.to_list()).astype(float), y)
         out = frame[group or "idx"].unique().tolist()
-        return pd.DataFrame({"task": [keys[0]], "blob": [pickle.dumps((named, out, made))]})
+        return pd.DataFrame({"task": [keys[0]], "blob": [pickle.dumps((named, out, made, float(y.mean())))]})
 
     found = support_rows(rows, sizes, reps, family, group).groupBy(*BY).applyInPandas(run, "task string, blob binary").collect()
     if (size := sum(len(r.blob) for r in found)) > MOST:
@@ -79,6 +79,16 @@ def fit_cells(rows: DataFrame, sizes: list[int], reps: int, fit: Fit, family: st
     return rows.sparkSession.sparkContext.broadcast(by_task)
 
 
+def _parts(rows: pd.DataFrame, cells: dict[str, list], group: str | None) -> Iterator[tuple]:
+    """Each task's rows of a batch with each of its cells: keys, heads, centre, query rows and their ``x``."""
+    for task, part in rows.groupby("task", sort=False):
+        x = np.stack(part.x.to_list()).astype(float)
+        for keys, out, made, centre in cells.get(task, []):
+            query = ~part[group or "idx"].isin(out).to_numpy()
+            if query.any():
+                yield keys, made, centre, x[query], part[query]
+
+
 def predicted(rows: DataFrame, models, each: Callable[[dict, dict, np.ndarray, pd.DataFrame], pd.DataFrame], schema: str, group: str | None = None) -> DataFrame:
     """``each(keys, heads, x, rows)`` on the rows of every batch that a cell has as queries; the keys stand before its columns."""
     wanted = rows.select("task", "idx", "x", "y", *([group] if group else []))
@@ -86,19 +96,56 @@ def predicted(rows: DataFrame, models, each: Callable[[dict, dict, np.ndarray, p
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cells = {t: [pickle.loads(b) for b in own] for t, own in models.value.items()}
         for b in batches:
-            for task, part in b.groupby("task", sort=False):
-                x = np.stack(part.x.to_list()).astype(float)
-                for keys, out, made in cells.get(task, []):
-                    query = ~part[group or "idx"].isin(out).to_numpy()
-                    if query.any():
-                        found = each(keys, made, x[query], part[query])
-                        for i, k in enumerate(BY):
-                            found.insert(i, k, keys[k])
-                        yield found
+            for keys, made, _, x, part in _parts(b, cells, group):
+                found = each(keys, made, x, part)
+                for i, k in enumerate(BY):
+                    found.insert(i, k, keys[k])
+                yield found
 
     return wanted.mapInPandas(run, f"{SCHEMA}, {schema}")
 
 
+#: Sums of query rows that the measures of a cell follow from; targets are taken less the cell's fixed centre.
+SUMS = ("n", "sse", "sy", "syy", "hits", "width")
+
+
+def summed(pred: np.ndarray, y: np.ndarray, centre: float, hits: np.ndarray, width: np.ndarray | float = 0.0) -> np.ndarray:
+    d = y - centre
+    return np.array([len(y), ((pred - y) ** 2).sum(), d.sum(), (d * d).sum(), np.sum(hits), np.sum(width)])
+
+
+def combined(rows: DataFrame, models, each: Callable[[dict, dict, float, np.ndarray, pd.DataFrame], dict[tuple, np.ndarray]], keys: str = "", group: str | None = None) -> DataFrame:
+    """``SUMS`` of each cell and of each further key that ``each(cell, heads, centre, x, rows)`` names (a schema in ``keys``).
+
+    A task adds up what its batches give and sends one row a cell and key, whatever its rows.
+    """
+    wanted = rows.select("task", "idx", "x", "y", *([group] if group else []))
+    names = [*BY, *(f.split()[0] for f in keys.split(", ") if f)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cells = {t: [pickle.loads(b) for b in own] for t, own in models.value.items()}
+        total: dict[tuple, np.ndarray] = {}
+        for b in batches:
+            for own, made, centre, x, part in _parts(b, cells, group):
+                for key, sums in each(own, made, centre, x, part).items():
+                    key = (*(own[k] for k in BY), *key)
+                    total[key] = total[key] + sums if key in total else sums
+        if total:
+            yield pd.DataFrame([(*k, *v) for k, v in total.items()], columns=[*names, *SUMS])
+
+    schema = ", ".join([SCHEMA, *([keys] if keys else []), *(f"{c} double" for c in SUMS)])
+    return wanted.mapInPandas(run, schema).groupBy(*names).agg(*[F.sum(c).alias(c) for c in SUMS])
+
+
+def spread_of() -> Column:
+    """The squared deviations of the targets."""
+    return F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
+
+
+def r2_of_sums() -> Column:
+    return F.when(spread_of() > M.TINY, 1 - F.col("sse") / spread_of())
+
+
 def predictions(rows: DataFrame, sizes: list[int], reps: int, fit: Fit, family: str = "eval", group: str | None = None) -> DataFrame:
     """``task, support_size, repetition, idx, arm, n_features, note, y, pred`` of every query row, cell and head."""
 
@@ -112,9 +159,19 @@ def predictions(rows: DataFrame, sizes: list[int], reps: int, fit: Fit, family:
 
 def scores(rows: DataFrame, sizes: list[int], reps: int, fit: Fit, family: str = "eval", group: str | None = None) -> DataFrame:
     """One result row a cell and head: ``arm, n_features, note, r2, rmse, rpd``."""
-    y, pred = F.col("y"), F.col("pred")
-    made = predictions(rows, sizes, reps, fit, family, group)
-    out = made.groupBy(*BY, "arm", "n_features", "note").agg(M.r2(pred, y).alias("r2"), M.rmse(pred, y).alias("rmse"), M.rpd(pred, y).alias("rpd"), M.accuracy(pred, y).alias("accuracy"), F.count("*").alias("n_query"))
+
+    def each(_, made, centre, x, part):
+        y = part.y.to_numpy(float)
+        out = {}
+        for arm, m in made.items():
+            pred = m.predict(x)
+            out[arm, m.n_features, m.note] = summed(pred, y, centre, pred == y)
+        return out
+
+    made = combined(rows, fit_cells(rows, sizes, reps, fit, family, group), each, "arm string, n_features int, note int", group)
+    rmse = F.sqrt(F.col("sse") / F.col("n"))
+    rpd = F.when(rmse <= M.TINY, F.lit(float("inf"))).when(F.col("n") > 1, F.sqrt(F.greatest(spread_of(), F.lit(0.0)) / F.nullif(F.col("n") - 1, F.lit(0.0))) / F.nullif(rmse, F.lit(0.0)))
+    out = made.select(*BY, "arm", "n_features", "note", r2_of_sums().alias("r2"), rmse.alias("rmse"), rpd.alias("rpd"), (F.col("hits") / F.col("n")).alias("accuracy"), F.col("n").cast("long").alias("n_query"))
     return out.where(F.col("n_query") > LEAST_QUERY)
 
 
@@ -201,18 +258,19 @@ def fusion(modalities: dict[str, DataFrame], sizes: list[int], reps: int, classi
     return out
 
 
-def capped_cells(rows: DataFrame, sizes: list[int], reps: int, most: int, family: str = "eval") -> DataFrame:
-    """Cells whose queries are a sample of at most ``most`` rows: the support, and query rows, with ``role``."""
+def capped_ids(rows: DataFrame, sizes: list[int], reps: int, most: int, family: str = "eval") -> DataFrame:
+    """``task, support_size, repetition, idx``: each cell's sample of at most ``most`` query rows."""
     support = support_rows(rows, sizes, reps, family)
     each = rows.select("task", "idx").crossJoin(grid(rows, sizes, reps)).join(F.broadcast(support.select(*BY, "idx")), [*BY, "idx"], "left_anti")
-    ids = each.withColumn("__n", F.row_number().over(Window.partitionBy(*BY).orderBy(coded("cap", F.col("idx")), "idx"))).where(F.col("__n") <= most)
-    query = rows.join(F.broadcast(ids.select(*BY, "idx")), ["task", "idx"])  # grid x most ids
-    return support.select(*BY, "idx", F.lit("support").alias("role"), "x", "y").unionByName(query.select(*BY, "idx", F.lit("query").alias("role"), "x", "y"))
+    # a limit that counts ranks in parts before the shuffle
+    ranked = each.withColumn("__n", F.row_number().over(Window.partitionBy(*BY).orderBy(coded("cap", F.col("idx")), "idx")))
+    return ranked.where(F.col("__n") <= most).select(*BY, "idx")
 
 
 def pool_cells(rows: DataFrame, reps: int, pool: int = 200, test: int = 400) -> DataFrame:
-    """Candidates and test rows of each repetition, capped, for sample selection."""
-    each = rows.select("*", F.explode(F.array(*map(F.lit, range(reps)))).alias("repetition"))
-    split = splits.share_split(each, "idx", 0.6, F.col("repetition"), ["task", "repetition"])
+    """Candidates and test rows of each repetition, capped, for sample selection: ids are split and capped, rows join at the end."""
+    ids = rows.select("task", "idx", F.explode(F.array(*map(F.lit, range(reps)))).alias("repetition"))
+    split = splits.share_split(ids, "idx", 0.6, F.col("repetition"), ["task", "repetition"])
     parts = [splits.capped(split.where(F.col("role") == role), "idx", most, ["task", "repetition"]) for role, most in (("candidate", pool), ("test", test))]
-    return parts[0].unionByName(parts[1]).select("task", "repetition", "idx", "role", "x", "y")
+    few = parts[0].unionByName(parts[1])  # repetitions x caps rows
+    return rows.select("task", "idx", "x", "y").join(few, ["task", "idx"]).select("task", "repetition", "idx", "role", "x", "y")

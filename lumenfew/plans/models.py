@@ -108,7 +108,7 @@ def ridge_jackknife(spark, sf):
 
 
 def physics_gate(spark, sf):
-    return trust.gate_cells(trust.gate(X.capped_cells(plain(features(spark, sf)), SIZES, REPS, 100), X.BY), X.BY)
+    return trust.gate_cells(trust.gate(plain(features(spark, sf)), SIZES, REPS, 100), X.BY)
 
 
 def sample_selection(spark, sf):

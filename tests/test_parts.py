@@ -210,13 +210,12 @@ def test_audit_equals_numpy(small):
 
 def test_gate_equals_numpy(small):
     df, x, y = small
-    cells = X.capped_cells(df, [6], 1, 20)
-    rows = cells.collect()
-    s = sorted((r for r in rows if r.role == "support"), key=lambda r: r.idx)
-    q = sorted((r for r in rows if r.role == "query"), key=lambda r: r.idx)
-    assert len(s) == 6 and len(q) == 20 and not {r.idx for r in s} & {r.idx for r in q}
-    got = sorted(trust.gate(cells, X.BY).collect(), key=lambda r: r.idx)
-    tr, te = [r.idx for r in s], [r.idx for r in q]
+    tr = sorted(r.idx for r in X.support_rows(df, [6], 1).collect())
+    te = sorted(r.idx for r in X.capped_ids(df, [6], 1, 20).collect())
+    assert len(tr) == 6 and len(te) == 20 and not set(tr) & set(te)
+    made = trust.gate(df, [6], 1, 20)
+    got = sorted(made.collect(), key=lambda r: r.idx)
+    assert [r.idx for r in got] == te and [r.control for r in got] == [r.control for r in sorted(trust.gate(df.repartition(3), [6], 1, 20).collect(), key=lambda r: r.idx)]
     a, b = heads.scaled(x[tr], x[te])
     m, sd = y[tr].mean(), y[tr].std() + 1e-8
     model = heads.Ridge().fit(a, (y[tr] - m) / sd)
@@ -243,6 +242,53 @@ def test_selection_draws_differ_by_repetition(small):
     assert best.min() > start["min"].max()
 
 
+def selected_by_numpy(x, y, xt, yt, rep, steps=trust.STEPS):
+    """The three strategies with plain loops over a small pool."""
+    seed = np.random.default_rng(66_900 + rep).choice(len(y), 2, replace=False).tolist()
+    out = {}
+    for strategy in ("random", "k-center", "interval-width"):
+        rng, own = np.random.default_rng(67_000 + rep), list(seed)
+        for size in steps:
+            if strategy == "random" and size > len(own):
+                own += rng.choice(np.setdiff1d(np.arange(len(y)), own), size - len(own), replace=False).tolist()
+            while strategy == "k-center" and len(own) < size:
+                rest = np.setdiff1d(np.arange(len(y)), own)
+                own.append(int(rest[np.argmax(((x[rest][:, None] - x[own][None]) ** 2).sum(2).min(1))]))
+            if strategy == "interval-width" and size > len(own):
+                rest = np.setdiff1d(np.arange(len(y)), own)
+                a, b = heads.scaled(x[own], x[rest])
+                low, high = heads.Ridge().fit(a, y[own]).quantiles(b, (0.1, 0.9))
+                own += rest[np.argsort(-(high - low), kind="stable")[: size - len(own)]].tolist()
+            a, b = heads.scaled(x[own], xt)
+            m, sd = y[own].mean(), y[own].std() + 1e-8
+            out[strategy, size] = measured(heads.Ridge().fit(a, (y[own] - m) / sd).predict(b) * sd + m, yt)[:2]
+    return out
+
+
+def test_selection_equals_numpy_on_a_small_pool(small):
+    df, x, y = small
+    rows = X.pool_cells(df, 2, 40, 30)
+    held = rows.collect()
+    got = {(r.repetition, r.strategy, r.support_size): (r.r2, r.rmse) for r in trust.selection(rows, ["task", "repetition"]).collect()}
+    assert len(got) == 2 * 3 * 5
+    for rep in range(2):
+        pool = sorted(r.idx for r in held if r.repetition == rep and r.role == "candidate")
+        test = sorted(r.idx for r in held if r.repetition == rep and r.role == "test")
+        for (strategy, size), want in selected_by_numpy(x[pool], y[pool], x[test], y[test], rep).items():
+            assert np.allclose(got[rep, strategy, size], want), (strategy, size)
+
+
+def test_sums_are_one_row_a_task_and_cell(small):
+    df, _, _ = small
+    models = X.fit_cells(df, [5, 10], 3, X.one_head("ridge"))
+    each = lambda _, made, c, x, part: {("ridge",): X.summed(made["ridge"].predict(x), part.y.to_numpy(float), c, 0)}
+    plan = X.combined(df, models, each, "arm string")
+    rows = {(r.support_size, r.repetition): r for r in plan.collect()}
+    assert len(rows) == 6 and all(r.n == 90 - k for (k, _), r in rows.items())
+    flat = df.unionByName(df).unionByName(df).coalesce(1)  # three batches' worth, one task: still a row a cell
+    assert {r.n for r in X.combined(flat, models, each, "arm string").collect()} == {3 * 85, 3 * 80}
+
+
 def test_decoupling_and_cars_run_on_whole_tables(small):
     df, _, _ = small
     got = X.decoupling(df, [12], 1).collect()
