@@ -45,6 +45,13 @@ def pca_reconstruction_error(spark, sf):
     return df.select("vec_id", pca.fit(df, "x", 20).error(F.col("x")).alias("error"))
 
 
+def wide_component_error(spark, sf):
+    """Error of rows of 2,080 channels (all products of two of the 64) rebuilt from ten components."""
+    products = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.transform(F.slice("x", i, F.lit(64)), lambda v: v * F.element_at("x", i))))
+    df = rows(spark, sf).select("vec_id", products.alias("x"))
+    return pca.fit(df, "x", 10).transformed(df, "x", "scores", "error").select("vec_id", F.size("scores").alias("components"), "error")
+
+
 def fixed_component_error(spark, sf):
     """The same with components that SQL can state: the first 20 axes around a centre of i / 1000."""
     df = rows(spark, sf)
@@ -163,7 +170,7 @@ def corpus_flip(spark, sf):
     return X.representation_comparison(df, {"real": lambda d: d.withColumn("x", alone.scores(F.col("x"))), "real-and-simulated": lambda d: d.withColumn("x", mixed.scores(F.col("x")))}, SIZES, REPS)
 
 
-QUERIES = {f.__name__: f for f in (pca_reconstruction_error, fixed_component_error, principal_angles, wavelet_scattering, random_projection, representation_comparison, label_budget, decoupling, cars_selected, grouped_cells, posterior_audit, mean_coverage, ridge_jackknife, physics_gate, sample_selection, fusion_regression, fusion_classification, simulated_mixtures, simulated_mixtures_total, fuel_compositions, corpus_blocks, corpus_flip)}
+QUERIES = {f.__name__: f for f in (pca_reconstruction_error, wide_component_error, fixed_component_error, principal_angles, wavelet_scattering, random_projection, representation_comparison, label_budget, decoupling, cars_selected, grouped_cells, posterior_audit, mean_coverage, ridge_jackknife, physics_gate, sample_selection, fusion_regression, fusion_classification, simulated_mixtures, simulated_mixtures_total, fuel_compositions, corpus_blocks, corpus_flip)}
 
 _DOT = "list_sum(list_transform(range(1, 65), lambda i: CAST(embedding[i] AS DOUBLE) * {}[i]))"
 SQL = {

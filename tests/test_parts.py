@@ -314,6 +314,37 @@ def test_components_equal_a_decomposition(spark, small):
     assert np.allclose(pca.principal_angles(model, model), 1)
 
 
+def decaying(n, wide, rank, seed):
+    """Rows around a centre with ``rank`` directions that matter and a little of all others."""
+    rng = np.random.default_rng(seed)
+    return rng.normal(size=(n, rank)) * 2.0 ** -np.arange(rank) @ rng.normal(size=(rank, wide)) + 1e-3 * rng.normal(size=(n, wide)) + rng.normal(size=wide)
+
+
+@pytest.mark.parametrize(("n", "wide", "k"), [(400, 64, 8), (120, 11_618, 5)])
+def test_wide_components_span_the_exact_space(spark, n, wide, k, monkeypatch):
+    monkeypatch.setattr(pca, "FAN", 2)
+    x = decaying(n, wide, k + 2, wide)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i long, x array<double>").repartition(5)
+    model = pca.fit_wide(df, "x", k)
+    _, s, v = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    cosines = np.linalg.svd(np.array(model.columns) @ v[:k].T, compute_uv=False)
+    assert np.sqrt(max(0, 1 - cosines.min() ** 2)) < 1e-6 and np.allclose(model.columns @ np.array(model.columns).T, np.eye(k))
+    assert np.allclose(model.variances, s[:k] ** 2 / (s**2).sum()) and np.allclose(model.centre, x.mean(0))
+    got = {r.i: (r.s, r.e) for r in model.transformed(df, "x", "s", "e").collect()}
+    for i in range(0, n, 37):
+        scores = np.array(model.columns) @ (x[i] - x.mean(0))
+        rest = x[i] - x.mean(0) - scores @ np.array(model.columns)
+        assert np.allclose(got[i][0], scores) and np.isclose(got[i][1], (rest**2).sum() / (x[i] ** 2).sum())
+    if wide > pca.NARROW:
+        assert np.allclose(pca.fit(df, "x", k).variances, model.variances)
+
+
+def test_components_of_odd_tables(spark):
+    one = spark.createDataFrame([(1, [1.0, 2.0, 3.0])], "i long, x array<double>")
+    model = pca.fit_wide(one.unionByName(one), "x", 2)
+    assert model.centre == [1.0, 2.0, 3.0] and np.allclose(model.variances, 0)
+
+
 def test_scattering_equals_direct_sums(spark):
     x = RNG.normal(size=(3, 50))
 
