@@ -18,15 +18,14 @@ from pyspark.sql import functions as F
 
 from lumenfew.functions import arrays as A
 from lumenfew.functions import text as T
+from lumenfew.operators.ordered import running
+from lumenfew.sources import formats
 
 
 def ragged(spark: SparkSession, path: str) -> DataFrame:
-    """``ordinal, fields``: lines cut at commas, without quoting rules.
-
-    A file is one row on the way, so that its order holds: instruments' files only, of 2 GB at most.
-    """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("ordinal", "line"))
-    return lines.where(F.length(F.trim("line")) > 0).select("ordinal", F.split("line", ",").alias("fields"))
+    """``ordinal, fields``: lines cut at commas, without quoting rules, numbered as they stand in their file."""
+    lines = formats.numbered_lines(spark, path)
+    return lines.where(F.length(F.trim("value")) > 0).select("ordinal", F.split("value", ",").alias("fields"))
 
 
 def diesel(spark: SparkSession, spectra: str, properties: str) -> DataFrame:
@@ -99,8 +98,8 @@ def fuel_raman(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, list[f
 
 
 def with_ordinal(df: DataFrame, order: list[Column]) -> DataFrame:
-    """``ordinal`` of rows in a stated order, for positional joins of small tables."""
-    return df.withColumn("ordinal", F.row_number().over(Window.orderBy(*order)) - 1)
+    """``ordinal`` of rows in a stated order that tells them apart, for positional joins."""
+    return running(df.withColumn("__one", F.lit(1)), [], order, ["__one"]).withColumn("ordinal", F.col("before___one").cast("long")).drop("__one", "before___one", "total___one")
 
 
 def volume_fractions(df: DataFrame, parts: list[str], whole: str) -> DataFrame:
@@ -291,17 +290,43 @@ def load_mayonnaise(spark: SparkSession, root: str) -> DataFrame:
     return _loaded(df, F.concat(F.lit("mayo"), (F.col("ordinal") + 1).cast("string")), {}, axis, label=_field("arr_1"))
 
 
+CORN_TARGETS = ("moisture", "oil", "protein", "starch")
+
+
+def there(spark: SparkSession, path: str) -> bool:
+    """Whether Spark finds a file."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def load_corn(spark: SparkSession, root: str, instrument: str = "m5") -> DataFrame:
-    """Four targets on one of three instruments, from a table that the MATLAB file is converted to: ``instrument``, the targets, and columns named by wavelength (or by number)."""
-    df, axis = wide(spark.read.option("header", True).csv(f"{root}/corn/corn.csv").where(F.col("instrument") == instrument))
-    places = axis if axis[0] >= 100 else [1100 + 2 * i for i in range(len(axis))]
-    return _loaded(df, F.col("ordinal"), {t: T.number(F.col(t)) for t in ("moisture", "oil", "protein", "starch")}, F.array(*[F.lit(float(w)) for w in places]))
+    """Four targets on one of three instruments, from the MATLAB file (structs with ``data`` and ``axisscale``).
+
+    Where only ``corn/corn.csv`` is there, from that table: ``instrument``, the targets, and columns named by wavelength (or by number).
+    """
+    if not there(spark, f"{root}/Corn_Cargill/corn.mat"):
+        df, axis = wide(spark.read.option("header", True).csv(f"{root}/corn/corn.csv").where(F.col("instrument") == instrument))
+        places = axis if axis[0] >= 100 else [1100 + 2 * i for i in range(len(axis))]
+        return _loaded(df, F.col("ordinal"), {t: T.number(F.col(t)) for t in CORN_TARGETS}, F.array(*[F.lit(float(w)) for w in places]))
+    rows = formats.matlab(spark, f"{root}/Corn_Cargill/corn.mat")
+    made = rows.where(F.col("name") == "propvals").select("ordinal", F.col("spectrum").alias("values"))
+    df = rows.where(F.col("name") == f"{instrument}spec").join(made, "ordinal", "left")
+    numbered = F.transform(F.sequence(F.lit(0), F.size("spectrum") - 1), lambda i: (F.lit(1100) + 2 * i).cast("double"))
+    axis = F.when(F.get("wavelengths", 0) < 100, numbered).otherwise(F.col("wavelengths"))
+    return _loaded(df, F.concat(F.lit("corn"), (F.col("ordinal") + 1).cast("string")), {t: F.get("values", i) for i, t in enumerate(CORN_TARGETS)}, axis)
 
 
 def load_evoo(spark: SparkSession, root: str) -> DataFrame:
-    """Adulteration of olive oils, a row a spectrum, samples as groups, from a CSV that the sheet is converted to."""
-    df, axis = wide(spark.read.option("header", True).csv(f"{root}/EVOO_NIR_HSI/data/Raw_A.csv"))
-    return _loaded(df, F.col("sample_id"), {"adulteration_level": T.number(F.col("adulteration_level"))}, F.array(*[F.lit(w) for w in axis]), F.col("sample_id"), F.col("class_1"))
+    """Adulteration of olive oils, a row a spectrum, samples as groups, from the sheet; or from the CSV beside it where the sheet is not there."""
+    base = f"{root}/EVOO_NIR_HSI/data/Raw_A"
+    if not there(spark, f"{base}.xlsx"):
+        df, axis = wide(spark.read.option("header", True).csv(f"{base}.csv"))
+        return _loaded(df, F.col("sample_id"), {"adulteration_level": T.number(F.col("adulteration_level"))}, F.array(*[F.lit(w) for w in axis]), F.col("sample_id"), F.col("class_1"))
+    rows = formats.sheet_table(spark, f"{base}.xlsx")
+    cell = lambda name: F.element_at("fields", name)
+    channels = F.filter("names", lambda n: F.regexp_replace(n, r"\.", "").rlike("^[0-9]+$"))
+    df = rows.select("ordinal", "fields", channels.alias("channels")).withColumn("spectrum", F.transform("channels", lambda n: F.element_at("fields", n).try_cast("double")))
+    return _loaded(df, cell("sample_id"), {"adulteration_level": T.number(cell("adulteration_level"))}, F.transform("channels", lambda n: n.cast("double")), cell("sample_id"), cell("class_1"))
 
 
 def load_pentane(spark: SparkSession, root: str) -> DataFrame:
@@ -326,6 +351,47 @@ def load_sugar_raman(spark: SparkSession, root: str, snr: str = "High SNR") -> D
 
 LOADERS: dict[str, Callable[..., DataFrame]] = {"diesel": load_diesel, "corn": load_corn, "gasoline": load_gasoline, "mayonnaise": load_mayonnaise, "evoo": load_evoo, "edible_oil": load_edible_oil, "pentane_ccl4": load_pentane, "sugar_raman": load_sugar_raman}
 
+# The measured blocks of the corpus in their order, the library's size, the number of simulated rows.
+CORPUS_BLOCKS: dict[str, tuple[str, dict]] = {
+    "swri-diesel": ("diesel", {}),
+    "kalivas-gasoline": ("gasoline", {}),
+    "cargill-corn-m5": ("corn", {"instrument": "m5"}),
+    "cargill-corn-mp5": ("corn", {"instrument": "mp5"}),
+    "cargill-corn-mp6": ("corn", {"instrument": "mp6"}),
+    "evoo-nir-hsi": ("evoo", {}),
+    "mayonnaise": ("mayonnaise", {}),
+    "nist-ir": ("infrared", {}),
+}
+LIBRARY_SIZE, SIMULATED = 111, 3000
+
+
+def infrared(spark: SparkSession, root: str) -> DataFrame:
+    """The infrared collection, JCAMP-DX files in order of their names."""
+    found = jcamp(spark, f"{root}/NIST_IR/*.jdx")
+    return with_ordinal(found, [F.col("path")]).select("ordinal", "title", F.col("y").alias("spectrum"))
+
+
+def corpus_library(spark: SparkSession, root: str, expected: int = LIBRARY_SIZE) -> DataFrame:
+    """``name, y``: the pure spectra that mixtures are made of, on ``POINTS`` channels; an error unless there are ``expected``."""
+    measured = infrared(spark, root).select("title", F.col("spectrum").alias("y"))
+    classes = [LOADERS[d](spark, root).where("label is not null").select(F.concat(F.lit(f"{short}_"), "label").alias("label"), A.resample(A.doubles("spectrum"), POINTS).alias("spectrum")) for d, short in (("evoo", "evoo"), ("mayonnaise", "mayo"))]
+    library = pure_library(measured, classes[0].unionByName(classes[1])).select("name", A.resample(F.col("y"), POINTS).alias("y"))
+    if (n := library.count()) != expected:
+        raise ValueError(f"the library has {n} members instead of {expected}: is every dataset there?")
+    return library
+
+
+def assembled_corpus(spark: SparkSession, root: str, expected: int = LIBRARY_SIZE, simulated: int = SIMULATED, seed: int = 42) -> DataFrame:
+    """``source, block, ordinal, spectrum``: the eight measured blocks in their order, then mixtures of the library."""
+    from lumenfew.operators import simulate
+
+    blocks = {name: (infrared(spark, root) if dataset == "infrared" else LOADERS[dataset](spark, root, **options)) for name, (dataset, options) in CORPUS_BLOCKS.items()}
+    # of a checked size
+    library = np.array([r.y for r in corpus_library(spark, root, expected).orderBy("name").collect()])
+    mixed = simulate.mixtures(spark, library, simulated, seed=seed).select(F.col("idx").alias("ordinal"), "spectrum")
+    return simulate.corpus(blocks, mixed)
+
+
 # Tasks, their dataset and property.
 TASKS = {
     "diesel-bp50": ("diesel", "BP50"),
