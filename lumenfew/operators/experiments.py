@@ -232,6 +232,22 @@ class Projection:
         return (x - self.centre) @ self.columns
 
 
+def corpus_flip(features: DataFrame, raw: DataFrame, sizes: list[int], reps: int, group: str, head: str = "ridge") -> DataFrame:
+    """Three heads cell by cell, groups kept apart: a registered head and cross-validated ridge on components, PLS on raw channels.
+
+    ``features`` hold scores on components of a corpus (with simulated rows or without); both tables have ``group``.
+    """
+
+    def two(_, x, y):
+        return {"r2_head": heads.fitted(heads.head(head), x, y), "r2_ridge": heads.fitted(heads.head("ridge-cv"), x, y)}
+
+    def pls(_, x, y):
+        return {"r2_pls": heads.fitted(heads.PLS(), x, y, None)}
+
+    made = scores(features, sizes, reps, two, "group", group).select(*BY, "arm", "r2").unionByName(scores(raw, sizes, reps, pls, "group", group).select(*BY, "arm", "r2"))
+    return made.groupBy(*BY).agg(*[F.max(F.when(F.col("arm") == a, F.col("r2"))).alias(a) for a in ("r2_head", "r2_ridge", "r2_pls")])
+
+
 def cars_scores(rows: DataFrame, sizes: list[int], reps: int, runs: int = 50) -> DataFrame:
     """Channels chosen on the support alone, then ridge on them."""
 

@@ -208,22 +208,22 @@ def k_center_first_pick(spark, sf):
     return trust.farthest(df, splits.support(df, "vec_id", 2, 0, "seed"), "vec_id", "x").withColumn("distance", F.round("distance", 6))
 
 
-PEAKS = (("heptane", 845, 40), ("heptane", 1305, 70), ("heptane", 1445, 100), ("toluene", 785, 60), ("toluene", 1003, 100), ("toluene", 1210, 35), ("ethanol", 883, 100), ("ethanol", 1052, 45))
-PEAK_ROWS = ", ".join(f"('{c}', {w}, {i})" for c, w, i in PEAKS)
-
-
-@query(f"SELECT compound, CAST(w AS BIGINT) AS wavenumber, round(sum(intensity * exp(-0.5 * ((w - p) / 7.0) ** 2)), 6) AS value FROM (VALUES {PEAK_ROWS}) k(compound, p, intensity), range(700, 1500, 4) t(w) GROUP BY ALL")
+@query(
+    """WITH k AS (SELECT 'nation-' || s_nationkey AS compound, 700 + (s_suppkey * 37) % 800 AS p, 10 + s_suppkey % 90 AS intensity FROM supplier)
+SELECT compound, CAST(w AS BIGINT) AS wavenumber, round(sum(intensity * exp(-0.5 * ((w - p) / 7.0) ** 2)), 6) AS value FROM k, range(700, 1500, 4) t(w) GROUP BY ALL"""
+)
 def gaussian_component_basis(spark, sf):
-    peaks = spark.createDataFrame(PEAKS, "compound string, wavenumber int, intensity int")
+    """Suppliers stand for peaks, their nations for compounds."""
+    number = F.col("s_suppkey")
+    peaks = spark.read.parquet(f"{sf}/supplier.parquet").select(F.concat(F.lit("nation-"), "s_nationkey").alias("compound"), (700 + (number * 37) % 800).cast("int").alias("wavenumber"), (10 + number % 90).cast("int").alias("intensity"))
     return simulate.component_basis(peaks, spark.range(700, 1500, 4).withColumnRenamed("id", "wavenumber")).withColumn("value", F.round("value", 6))
 
 
-@query("SELECT CAST(i AS BIGINT) AS i, round(((0.5 * (i / 50.0 - 1) - 1.5) * (i / 50.0 - 1) + 0.25) * (i / 50.0 - 1) + 2, 6) AS y, round(power(10.0, -4 + (i % 26) * 5 / 25.0), 8) AS penalty FROM range(0, 101) t(i)")
+@query("SELECT vec_id, round(((0.5 * u - 1.5) * u + 0.25) * u + 2, 6) AS y, round(power(10.0, -4 + (vec_id % 26) * 5 / 25.0), 8) AS penalty FROM (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS u FROM embeddings)")
 def polynomial_baseline(spark, sf):
-    """A cubic over [-1, 1] by Horner's scheme, and the penalty grid."""
-    u = F.col("i") / 50 - 1
-    grid = F.get(A.log_grid(-4, 1, 26), (F.col("i") % 26).cast("int"))
-    return spark.range(0, 101).select(F.col("id").alias("i")).select("i", F.round(A.polynomial(F.array(*map(F.lit, (0.5, -1.5, 0.25, 2.0))), u), 6).alias("y"), F.round(grid, 8).alias("penalty"))
+    """A cubic by Horner's scheme at each row's first channel, and a place in the penalty grid."""
+    grid = F.get(A.log_grid(-4, 1, 26), (F.col("vec_id") % 26).cast("int"))
+    return rows(spark, sf).select("vec_id", F.round(A.polynomial(F.array(*map(F.lit, (0.5, -1.5, 0.25, 2.0))), F.get("x", 0).cast("double")), 6).alias("y"), F.round(grid, 8).alias("penalty"))
 
 
 @query(

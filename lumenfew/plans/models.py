@@ -134,40 +134,59 @@ def fusion_classification(spark, sf):
     return X.fusion(parts, [20, 40], REPS, classify=True)
 
 
+def class_library(spark, sf) -> np.ndarray:
+    """The mean row of each label, one below another: a small library that follows the table."""
+    means = spectra.class_means(rows(spark, sf).where("label is not null"), "x", ["label"]).orderBy("label").limit(100)
+    return np.array([r.spectrum for r in means.collect()])
+
+
 def simulated_mixtures(spark, sf):
-    library = np.stack([np.exp(-0.5 * ((np.arange(64) - c) / 5) ** 2) for c in (8, 20, 32, 44, 56)])
-    return simulate.mixtures(spark, library, 500).select("idx", F.size("weights").alias("components"), F.aggregate(F.map_values("weights"), F.lit(0.0), lambda a, v: a + v).alias("total"), F.size("spectrum").alias("channels"))
+    """As many mixtures of the labels' mean rows as the table has rows, unperturbed, and how far each is from its weighted parts."""
+    library = class_library(spark, sf)
+    low = library.min(axis=1, keepdims=True)
+    scaled = F.array(*[F.array(*map(F.lit, v)) for v in ((library - low) / (library.max(axis=1, keepdims=True) - low + 1e-8)).tolist()])
+    made = simulate.mixtures(spark, library, rows(spark, sf).count(), perturb=False)
+    parts = F.transform(F.map_entries("weights"), lambda e: F.transform(F.get(scaled, e["key"].cast("int")), lambda v: v * e["value"]))
+    whole = F.aggregate(parts, F.array_repeat(F.lit(0.0), 64), lambda a, p: F.zip_with(a, p, lambda x, y: x + y))
+    off = F.array_max(F.zip_with("spectrum", whole, lambda x, y: F.abs(x - y)))
+    total = F.aggregate(F.map_values("weights"), F.lit(0.0), lambda a, v: a + v)
+    return made.select("idx", F.size("weights").alias("components"), total.alias("total"), F.size("spectrum").alias("channels"), off.alias("off"))
 
 
 def simulated_mixtures_total(spark, sf):
-    """What holds of every mixture, whatever it draws: its channels and the sum of its weights."""
-    return simulated_mixtures(spark, sf).select("idx", "channels", F.round("total", 9).alias("total"))
+    """What holds of every mixture, whatever it draws: its channels, the sum of its weights, and that it is what they make of the library."""
+    return simulated_mixtures(spark, sf).select("idx", "channels", F.round("total", 9).alias("total"), (F.col("off") < 1e-5).alias("is_mixture"))
 
 
 def fuel_compositions(spark, sf):
-    """Simulated fuels, and what non-negative least squares makes of them."""
+    """As many simulated fuels as the table has rows, from the labels' mean rows, and what non-negative least squares makes of them."""
     axis = np.linspace(700, 1500, 64)
-    basis = np.stack([np.exp(-0.5 * ((axis - c) / 50) ** 2) for c in (825, 1015, 1200, 1350)])
-    made = simulate.fuel(spark, axis, basis, np.array([[1.0, 0.5, 0.0, 0.1], [0.2, 0.0, 1.0, 0.3]]), 300)
+    basis = class_library(spark, sf)[:4]
+    basis = basis - basis.min(axis=1, keepdims=True)
+    made = simulate.fuel(spark, axis, basis, np.array([[1.0, 0.5, 0.0, 0.1], [0.2, 0.0, 1.0, 0.3]])[:, : len(basis)], rows(spark, sf).count())
     return simulate.compositions(made, "spectrum", basis, axis).select("idx", "weights", "residual")
 
 
 def corpus_blocks(spark, sf):
-    """The corpus of two measured blocks and simulated rows, by block."""
+    """The corpus of two measured blocks and simulated rows, by block: sums of its first, a middle and its last channel (of the measured ones)."""
     df = rows(spark, sf).select(F.col("vec_id").alias("ordinal"), "label", F.col("x").alias("spectrum"))
-    library = np.stack([np.exp(-0.5 * ((np.arange(64) - c) / 5) ** 2) for c in (8, 32, 56)])
-    simulated = simulate.mixtures(spark, library, 200).select(F.col("idx").alias("ordinal"), "spectrum")
+    simulated = simulate.mixtures(spark, class_library(spark, sf), 200).select(F.col("idx").alias("ordinal"), "spectrum")
     every = simulate.corpus({"low": df.where("label < 5"), "high": df.where("label >= 5")}, simulated)
-    return every.groupBy("source", "block").agg(F.count("*").alias("n"), F.min(F.size("spectrum")).alias("channels"))
+    total = lambda i: F.round(F.sum(F.when(F.col("source") != "simulated", F.get("spectrum", F.lit(i)).cast("double"))), 3)
+    return every.groupBy("source", "block").agg(F.count("*").alias("n"), F.min(F.size("spectrum")).alias("channels"), total(0).alias("first"), total(73).alias("middle"), total(511).alias("last"))
 
 
 def corpus_flip(spark, sf):
-    """Components of measured rows alone against measured and simulated rows."""
-    df = task_rows(spark, sf).select("task", "idx", "x", "y")
-    library = np.stack([np.exp(-0.5 * ((np.arange(64) - c) / 5) ** 2) for c in (8, 32, 56)])
-    both = df.select("x").unionByName(simulate.mixtures(spark, library, 300).select(A.snv(A.doubles("spectrum")).alias("x")))
-    alone, mixed = pca.fit(df, "x", 10), pca.fit(both, "x", 10)
-    return X.representation_comparison(df, {"real": lambda d: d.withColumn("x", alone.scores(F.col("x"))), "real-and-simulated": lambda d: d.withColumn("x", mixed.scores(F.col("x")))}, SIZES, REPS)
+    """Three heads on components of measured rows alone, and of measured and simulated rows; labels are groups."""
+    df = task_rows(spark, sf).select("task", "idx", "label", "x", "y")
+    mixed = simulate.mixtures(spark, class_library(spark, sf), 300).select(A.snv(A.doubles("spectrum")).alias("x"))
+    corpora = {"real": df.select("x"), "real-and-simulated": df.select("x").unionByName(mixed)}
+    out = None
+    for name, corpus in corpora.items():
+        scores = df.withColumn("x", pca.fit(corpus, "x", 10).scores(F.col("x")))
+        one = X.corpus_flip(scores, df, [3, 5], REPS, "label").withColumn("corpus", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 QUERIES = {f.__name__: f for f in (pca_reconstruction_error, wide_component_error, fixed_component_error, principal_angles, wavelet_scattering, random_projection, representation_comparison, label_budget, decoupling, cars_selected, grouped_cells, posterior_audit, mean_coverage, ridge_jackknife, physics_gate, sample_selection, fusion_regression, fusion_classification, simulated_mixtures, simulated_mixtures_total, fuel_compositions, corpus_blocks, corpus_flip)}
@@ -176,6 +195,8 @@ _DOT = "list_sum(list_transform(range(1, 65), lambda i: CAST(embedding[i] AS DOU
 SQL = {
     "fixed_component_error": "SELECT vec_id, round(list_sum(list_transform(range(21, 65), lambda i: pow(CAST(embedding[i] AS DOUBLE) - (i - 1) / 1000.0, 2))) / list_sum(list_transform(embedding, lambda v: pow(CAST(v AS DOUBLE), 2))), 6) AS error FROM embeddings",
     "random_projection": "WITH m AS (SELECT pos, c FROM (VALUES " + ", ".join(f"({i}, {c})" for i, c in enumerate(spectra.random_projection(64))) + f") t(pos, c)) SELECT vec_id, CAST(pos AS INT) AS pos, round({_DOT.format('c')}, 5) AS v FROM embeddings, m",
-    "corpus_blocks": "SELECT 'low' AS source, CAST(0 AS INT) AS block, count(*) AS n, CAST(512 AS INT) AS channels FROM embeddings WHERE label < 5 UNION ALL SELECT 'high', 1, count(*), 512 FROM embeddings WHERE label >= 5 UNION ALL SELECT 'simulated', 2, 200, 512",
-    "simulated_mixtures_total": "SELECT range AS idx, CAST(64 AS INT) AS channels, 1.0::DOUBLE AS total FROM range(500)",
+    "corpus_blocks": """WITH m AS (SELECT CASE WHEN label < 5 THEN 'low' ELSE 'high' END AS source, embedding AS e FROM embeddings WHERE label IS NOT NULL)
+SELECT source, CAST(CASE source WHEN 'low' THEN 0 ELSE 1 END AS INT) AS block, count(*) AS n, CAST(512 AS INT) AS channels, round(sum(CAST(e[1] AS DOUBLE)), 3) AS first, round(sum(CAST(e[10] AS DOUBLE)), 3) AS middle, round(sum(CAST(e[64] AS DOUBLE)), 3) AS last FROM m GROUP BY source
+UNION ALL SELECT 'simulated', 2, 200, 512, NULL, NULL, NULL""",
+    "simulated_mixtures_total": "SELECT row_number() OVER () - 1 AS idx, CAST(64 AS INT) AS channels, 1.0::DOUBLE AS total, true AS is_mixture FROM embeddings",
 }
