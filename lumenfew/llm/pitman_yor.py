@@ -22,9 +22,11 @@ A range meets all blocks' lists in one task, adds up the counts and says how man
 and dishes each of its contexts has; buckets of contexts add these up over all ranges and
 answer each range in its own order. Then the range seats its customers and answers each
 block with the probabilities of exactly the cells that the block asked for. Nothing is
-dropped, nothing reaches the driver, and what is gathered grows with the corpus. A frequent
-word or context is one entry a block, so no key is hot. A block has one row a range at most
-and never more rows than cells, so rows stay in proportion to the cells at any size.
+dropped, nothing reaches the driver, and what is gathered grows with the corpus. A block has a
+row for each range that one of its words is in, a range a row for each bucket that one of its
+contexts is in: never more rows than cells, at any size. A frequent word is one entry a block,
+but all its cells, one for each word before it, meet in the task of its range: that task grows
+with the number of distinct words, and is the largest.
 
 What is approximate: within a sweep the dishes move together, so other dishes' tables are
 those of the sweep before; tables that another range holds of a context are its dishes
@@ -198,45 +200,46 @@ def bucket_edges(contexts: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted((contexts.astype(np.uint64) * np.uint64(n)) >> np.uint64(32), np.arange(n + 1))
 
 
-_ASKS = "bucket int, `range` int, contexts binary, dishes binary, customers binary, facts binary"
-_TOTALS = "`range` int, bucket int, dishes binary, customers binary, facts binary"
+_FACTS = ["words", "distinct", "once", "twice", "alone", "paired", "cells"]
+_ASKS = "bucket int, `range` int, contexts binary, dishes binary, customers binary, " + ", ".join(f"{f} long" for f in _FACTS)
+_TOTALS = "`range` int, bucket int, dishes binary, customers binary"
 
 
 def _ask(n_buckets: int):
-    """A range's lists to its contexts' customers and dishes, by bucket.
+    """A range's lists to its contexts' customers and dishes, a row for each bucket that one of its contexts is in.
 
-    Facts: training words in all and distinct; cells with one customer and with two; words with one context and with two; cells in all.
+    Facts, on the range's first row: training words in all and distinct; cells with one customer and with two; words with one context and with two; cells in all.
     """
 
     def run(group: pa.Table) -> pa.Table:
         _, n_words, _, w, c, _, _, contexts, u = _merge_lists(group)
         on = c > 0
         dishes = np.bincount(w[on], minlength=len(n_words))
-        facts = np.array([n_words.sum(), (n_words > 0).sum(), (c == 1).sum(), (c == 2).sum(), (dishes == 1).sum(), (dishes == 2).sum(), on.sum()], np.int64).tobytes()
         per_dish, per_customer = np.bincount(u, on, len(contexts)).astype(np.int64), np.bincount(u, c, len(contexts)).astype(np.int64)
         edges = bucket_edges(contexts, n_buckets)
-        own = [(slice(i, j)) for i, j in zip(edges[:-1], edges[1:], strict=True)]
+        here = np.flatnonzero(np.diff(edges))
+        own = [slice(edges[k], edges[k + 1]) for k in here]
+        facts = np.zeros((len(_FACTS), len(here)), np.int64)
+        facts[:, 0] = [n_words.sum(), (n_words > 0).sum(), (c == 1).sum(), (c == 2).sum(), (dishes == 1).sum(), (dishes == 2).sum(), on.sum()]
         columns = [
-            pa.array(range(n_buckets), pa.int32()), pa.array([group["range"][0].as_py()] * n_buckets, pa.int32()),
+            pa.array(here, pa.int32()), pa.array([group["range"][0].as_py()] * len(here), pa.int32()),
             *(pa.array([packed(f(x)) for x in own], pa.binary()) for f in (lambda x: np.diff(contexts[x].astype(np.int64), prepend=0), lambda x: per_dish[x], lambda x: per_customer[x])),
-            pa.array([facts] * n_buckets, pa.binary()),
+            *map(pa.array, facts),
         ]
-        return pa.table(columns, names=["bucket", "range", "contexts", "dishes", "customers", "facts"])
+        return pa.table(columns, names=["bucket", "range", "contexts", "dishes", "customers", *_FACTS])
 
     return run
 
 
 def _settle(group: pa.Table) -> pa.Table:
     """One bucket of contexts: each range's contexts with the totals over all ranges."""
-    rows = group.to_pylist()
+    rows = group.select(["contexts", "dishes", "customers"]).to_pylist()
     lists = [np.cumsum(unpacked(r["contexts"]), dtype=np.int64) for r in rows]
     _, at = np.unique(np.concatenate(lists), return_inverse=True)
     totals = [np.bincount(at, np.concatenate([unpacked(r[c]) for r in rows])).astype(np.int64) for c in ("dishes", "customers")]
-    facts = np.sum([np.frombuffer(r["facts"], np.int64) for r in rows], axis=0).tobytes()
     ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
     own = [at[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
-    columns = [group["range"], group["bucket"], *(pa.array([packed(t[x]) for x in own], pa.binary()) for t in totals), pa.array([facts] * len(rows), pa.binary())]
-    return pa.table(columns, names=["range", "bucket", "dishes", "customers", "facts"])
+    return pa.table([group["range"], group["bucket"], *(pa.array([packed(t[x]) for x in own], pa.binary()) for t in totals)], names=["range", "bucket", "dishes", "customers"])
 
 
 # -- seating -------------------------------------------------------------------
@@ -388,7 +391,8 @@ def _answer(group: pa.Table, totals: pa.Table) -> pa.Table:
     rows = sorted(totals.to_pylist(), key=lambda r: r["bucket"])
     dishes, customers = (np.concatenate([unpacked(r[k]) for r in rows]).astype(np.float64) for k in ("dishes", "customers"))
     rng = np.random.default_rng([7919, group["range"][0].as_py()])
-    p = seat(rng, w, u, c, len(n_words), dishes, customers, np.frombuffer(rows[0]["facts"], np.int64))
+    facts = np.array([rows[0][f] for f in _FACTS], np.int64)
+    p = seat(rng, w, u, c, len(n_words), dishes, customers, facts)
     del w, c, u
     release()
     coded = np.clip(np.round(-np.log10(np.maximum(p, 1e-300)) * UNIT), 0, 65_535).astype(np.uint16)
@@ -397,7 +401,7 @@ def _answer(group: pa.Table, totals: pa.Table) -> pa.Table:
         pa.array(blocks, pa.int64()), pa.array([group["range"][0].as_py()] * len(blocks), pa.int32()),
         pa.array([packed(n_words[at[i:j]]) for i, j in zip(starts[:, 0].tolist(), ends[:, 0].tolist(), strict=True)], pa.binary()),
         pa.array([packed(coded[place[i:j]]) for i, j in zip(starts[:, 1].tolist(), ends[:, 1].tolist(), strict=True)], pa.binary()),
-        pa.array([rows[0]["facts"]] * len(blocks), pa.binary()),
+        pa.array([facts.tobytes()] * len(blocks), pa.binary()),
     ]
     return pa.table(columns, names=["block", "range", "n", "log_p", "facts"])
 
@@ -433,7 +437,9 @@ def scores(docs: DataFrame, held: str = f"__crc % {FOLDS} = {HELD}") -> DataFram
     blocks = staged(rows.mapInArrow(_read_blocks, _BLOCKS), "blocks")
     # one exchange of the lists serves both readings of a range
     by_range = blocks.mapInArrow(_list_cells(n_ranges), _LISTS).groupBy("range")
-    totals = by_range.applyInArrow(_ask(n_ranges), _ASKS).groupBy("bucket").applyInArrow(_settle, _TOTALS)
+    asks = by_range.applyInArrow(_ask(n_ranges), _ASKS).repartition("bucket")
+    facts = asks.agg(*[F.sum(f).alias(f) for f in _FACTS])  # one row
+    totals = asks.groupBy("bucket").applyInArrow(_settle, _TOTALS).crossJoin(F.broadcast(facts))
     answers = by_range.cogroup(totals.groupBy("range")).applyInArrow(_answer, _ANSWERS)
     texts = blocks.select("block", "tokens", "sizes", "ids")
     found = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score, _SCORES)

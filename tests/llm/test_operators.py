@@ -9,6 +9,8 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 import pyarrow.parquet as pq
 import pytest
 import xxhash
@@ -719,3 +721,20 @@ def test_warc_links_and_titles():
     page = """<a class=x HREF = "/one?a=1&amp;b=2">1</a><a>no</a><a name='b' href='/t>wo'>2</a><A href=/three>3</A><abbr href=no><a <a href="/four">4</a><a data-x="y" href="">5</a>"""
     assert warc.links(page) == ["/one?a=1&b=2", "/t>wo", "/three", "/four", ""]
     assert warc.title_of("<head><TITLE lang=en> a &lt; b </title>") == "a < b" and warc.title_of("<title>open") is None and warc.title_of("</title>") is None
+
+
+def test_language_model_rows_follow_the_cells(monkeypatch):
+    """However many buckets there are, a range writes no more rows than it has contexts."""
+    rng = np.random.default_rng(6)
+    for n in (300, 3000):
+        text = pa.array([" ".join(f"w{i}" for i in rng.zipf(1.5, 12) % 500) for _ in range(n // 12)])
+        batch = pa.RecordBatch.from_arrays([pa.array([False] * len(text)), pa.array([str(i) for i in range(len(text))]), text], names=["held", "id", "text"])
+        monkeypatch.setattr(pitman_yor, "TaskContext", type("One", (), {"get": staticmethod(lambda: type("T", (), {"partitionId": lambda self: 0})())}))
+        blocks = list(pitman_yor._read_blocks([batch]))
+        lists = pa.Table.from_batches([b for x in blocks for b in pitman_yor._list_cells(64)([x])])
+        made = [pitman_yor._ask(1 << 20)(lists.filter(pa.compute.equal(lists["range"], k))) for k in sorted(set(lists["range"].to_pylist()))]
+        cells = sum(len(pitman_yor.unpacked(c)) for c in lists["cell_context"].to_pylist())
+        asked = sum(len(pitman_yor.unpacked(c)) for m in made for c in m["contexts"].to_pylist())
+        assert len(made) <= 64 and sum(m.num_rows for m in made) <= asked <= cells
+        assert all(len(pitman_yor.unpacked(c)) for m in made for c in m["contexts"].to_pylist())
+        assert sum(sum(m["words"].to_pylist()) for m in made) == 13 * len(text)
