@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from lumenfew.functions import metrics as M
 from lumenfew.operators import heads, splits
+from lumenfew.sources.sinks import stored
 
 BY = ["task", "support_size", "repetition"]
 #: Query rows a cell needs more than.
@@ -54,7 +55,7 @@ def support_rows(rows: DataFrame, sizes: list[int], reps: int, family: str = "ev
     else:
         names = rows.select("task", group).distinct().crossJoin(grid(rows, sizes, reps))
         ranked = names.withColumn("__n", F.row_number().over(cell.orderBy(coded(family, F.col(group)), group))).where(F.col("__n") <= max(sizes))
-        few = F.broadcast(ranked.where(F.col("__n") <= F.col("support_size")).drop("__n"))  # grid x sizes rows
+        few = ranked.where(F.col("__n") <= F.col("support_size")).drop("__n")  # grid x sizes rows
         code = coded("member", F.col("idx"))
         ids = rows.select("task", *own).join(few, ["task", group]).groupBy(*BY, group).agg(F.min_by("idx", F.struct(code, "idx")).alias("idx"))
     return rows.join(F.broadcast(ids.select(*BY, "idx")), ["task", "idx"])  # at most grid x sizes ids
@@ -70,9 +71,10 @@ def fit_cells(rows: DataFrame, sizes: list[int], reps: int, fit: Fit, family: st
         out = frame[group or "idx"].unique().tolist()
         return pd.DataFrame({"task": [keys[0]], "blob": [pickle.dumps((named, out, made, float(y.mean())))]})
 
-    found = support_rows(rows, sizes, reps, family, group).groupBy(*BY).applyInPandas(run, "task string, blob binary").collect()
-    if (size := sum(len(r.blob) for r in found)) > MOST:
+    made = stored(support_rows(rows, sizes, reps, family, group).groupBy(*BY).applyInPandas(run, "task string, blob binary"), "heads")
+    if (size := made.agg(F.sum(F.octet_length("blob"))).first()[0] or 0) > MOST:
         raise ValueError(f"the fitted heads take {size} bytes, more than {MOST}: use a smaller grid")
+    found = made.collect()
     by_task: dict[str, list[bytes]] = {}
     for r in found:
         by_task.setdefault(r.task, []).append(bytes(r.blob))

@@ -33,7 +33,7 @@ def class_means(df: DataFrame, x: str, by: list[str], least: int = 1) -> DataFra
 def standardise_by_support(df: DataFrame, x: str, by: list[str], clip: float | None = 5.0, shift: bool = True) -> DataFrame:
     """``z``: each row by the channel statistics of its cell's support rows (``role``)."""
     stats = channel_stats(df.where("role = 'support'"), x, by)
-    joined = df.join(F.broadcast(stats), by) if by else df.crossJoin(F.broadcast(stats))  # one row a cell
+    joined = df.join(stats, by) if by else df.crossJoin(F.broadcast(stats))  # without cells: one row
     return joined.withColumn("z", A.standardised(A.doubles(x), F.col("centre"), F.col("spread"), clip, shift)).drop("centre", "spread")
 
 

@@ -172,7 +172,7 @@ def corpus_blocks(spark, sf):
     df = rows(spark, sf).select(F.col("vec_id").alias("ordinal"), "label", F.col("x").alias("spectrum"))
     simulated = simulate.mixtures(spark, class_library(spark, sf), 200).select(F.col("idx").alias("ordinal"), "spectrum")
     every = simulate.corpus({"low": df.where("label < 5"), "high": df.where("label >= 5")}, simulated)
-    total = lambda i: F.round(F.sum(F.when(F.col("source") != "simulated", F.get("spectrum", F.lit(i)).cast("double"))), 3)
+    total = lambda i: F.round(F.sum(F.when(F.col("source") != "simulated", F.get("spectrum", F.lit(i)).cast("double")).otherwise(0.0)), 3)
     return every.groupBy("source", "block").agg(F.count("*").alias("n"), F.min(F.size("spectrum")).alias("channels"), total(0).alias("first"), total(73).alias("middle"), total(511).alias("last"))
 
 
@@ -197,6 +197,6 @@ SQL = {
     "random_projection": "WITH m AS (SELECT pos, c FROM (VALUES " + ", ".join(f"({i}, {c})" for i, c in enumerate(spectra.random_projection(64))) + f") t(pos, c)) SELECT vec_id, CAST(pos AS INT) AS pos, round({_DOT.format('c')}, 5) AS v FROM embeddings, m",
     "corpus_blocks": """WITH m AS (SELECT CASE WHEN label < 5 THEN 'low' ELSE 'high' END AS source, embedding AS e FROM embeddings WHERE label IS NOT NULL)
 SELECT source, CAST(CASE source WHEN 'low' THEN 0 ELSE 1 END AS INT) AS block, count(*) AS n, CAST(512 AS INT) AS channels, round(sum(CAST(e[1] AS DOUBLE)), 3) AS first, round(sum(CAST(e[10] AS DOUBLE)), 3) AS middle, round(sum(CAST(e[64] AS DOUBLE)), 3) AS last FROM m GROUP BY source
-UNION ALL SELECT 'simulated', 2, 200, 512, NULL, NULL, NULL""",
+UNION ALL SELECT 'simulated', 2, 200, 512, 0.0, 0.0, 0.0""",
     "simulated_mixtures_total": "SELECT row_number() OVER () - 1 AS idx, CAST(64 AS INT) AS channels, 1.0::DOUBLE AS total, true AS is_mixture FROM embeddings",
 }

@@ -85,7 +85,7 @@ def modalities(nir: DataFrame, mir: DataFrame, raman: DataFrame, replicates: int
     each = parts.select("oil", F.posexplode("spectrum").alias("pos", "v")).groupBy("oil", "pos").agg(F.avg("v").alias("v"))
     mean = each.groupBy("oil").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda p: p["v"]).alias("nir"))
     both = mean.join(mir.select(F.col("ordinal").alias("oil"), F.col("kind").cast("int").alias("label"), F.col("value").alias("peroxide"), F.col("spectrum").alias("mir")), "oil").join(raman.select(F.col("ordinal").alias("oil"), F.col("spectrum").alias("raman")), "oil")
-    return both.join(F.broadcast(dead), "oil", "left_anti")
+    return both.join(dead, "oil", "left_anti")
 
 
 def fuel_raman(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, list[float]]:
