@@ -82,14 +82,17 @@ def exact_signed_rank_p(w_plus: float, n: int) -> float:
     return min(1.0, 2 * tail / 2**n)
 
 
+def normal_signed_rank_p(w_plus: float, n: int, tie_term: float = 0.0) -> float:
+    """Two-sided p by the normal approximation."""
+    spread = n * (n + 1) * (2 * n + 1) / 24 - tie_term
+    return math.erfc(abs(w_plus - n * (n + 1) / 4) / math.sqrt(2 * spread)) if spread > 0 else 1.0
+
+
 def wilcoxon_p(w_plus: float, n: int, tie_term: float = 0.0) -> float:
     """Two-sided p: exact for up to ``EXACT_PAIRS`` pairs without ties, else by the normal approximation."""
     if not n:
         return 1.0
-    if n <= EXACT_PAIRS and not tie_term:
-        return exact_signed_rank_p(w_plus, n)
-    spread = n * (n + 1) * (2 * n + 1) / 24 - tie_term
-    return math.erfc(abs(w_plus - n * (n + 1) / 4) / math.sqrt(2 * spread)) if spread > 0 else 1.0
+    return exact_signed_rank_p(w_plus, n) if n <= EXACT_PAIRS and not tie_term else normal_signed_rank_p(w_plus, n, tie_term)
 
 
 def paired_test(df: DataFrame, by: list[str], difference: Column) -> DataFrame:

@@ -65,8 +65,9 @@ def nearest_support_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     own = each.join(stats, "k").select("k", F.struct(F.col("vec_id").alias("id"), "label", z.alias("z")).alias("s"))
     support = own.groupBy("k").agg(F.collect_list("s").alias("support")).join(stats, "k")  # at most 40 spectra a size
     rest = df.join(F.broadcast(ranked.select("vec_id")), "vec_id", "left_anti")
-    asked = rest.crossJoin(F.broadcast(support)).withColumn("z", z)
-    near = F.array_min(F.transform("support", lambda s: F.struct(A.squared_distance(s["z"], F.col("z")).alias("d"), s["id"].alias("id"), s["label"].alias("label"))))
+    asked = rest.crossJoin(F.broadcast(support))
+    # z is made once a row and size
+    near = A.bound(z, lambda q: F.array_min(F.transform("support", lambda s: F.struct(A.squared_distance(s["z"], q).alias("d"), s["id"].alias("id"), s["label"].alias("label")))))
     return asked.select("k", "label", near["label"].alias("pred")).groupBy(F.col("k").alias("support_size")).agg(F.count("*").alias("n_query"), F.round(F.avg((F.col("pred") == F.col("label")).cast("double")), 6).alias("accuracy"))
 
 
