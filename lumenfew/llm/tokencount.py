@@ -13,11 +13,17 @@ A text runs as chunks of ``CHUNK`` bytes in lock step. A chunk's state map sends
 state to an exit state and a count. White space ends every pre-token, so past its first
 white space a chunk's map no longer depends on the entry state: it is a constant map, run
 from the start state. Composing maps from the left (a prefix scan) then gives each chunk
-its entry state, and the bytes before the first white space are run from it. Chunks
-without white space are composed in rounds.
+its entry state, and the bytes before the first white space are run from it. A chunk
+without white space gets a map over the states that can reach it: one that the chunk before
+leaves when it is run from the start state, then what the maps found so far lead to, until
+no state is new (merging forgets what lies far back, so one or two states a chunk are
+common). The maps are composed by pointer doubling. Chunks whose maps still grow after
+``ROUNDS`` rounds are run one after another, which is exact as well.
 
 Defined cases: null counts as empty; an empty text has 0 tokens; a special string within a
-text is one token, as the library has it; repeated rows count alike.
+text is one token, as the library has it; ties and repeated rows count alike; texts are read whole
+however long they are; an empty table gives an empty result; further columns are not read,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -33,8 +39,10 @@ from lumenfew.llm.textvec import per_doc_sum
 
 LIMIT = 2048
 CHUNK = 256
-#: States kept at most; each takes 1.5 kB.
+#: States kept at most (and twice those that a batch's chunks are in); each takes 1.5 kB.
 STATES = 120_000
+#: States that a chunk without white space is tried from, at most.
+ROUNDS = 12
 #: Tokens with a common beginning up to which the tokens before them are told apart only by what they admit.
 FEW = 12
 SPECIAL = 0xFF
@@ -82,9 +90,6 @@ class Transducer:
             for i in range(1, len(token[0]) + 1):
                 self.under.setdefault(token[0][:i], []).append(token)
         self.under = {k: v for k, v in self.under.items() if len(v) <= FEW}
-        self.alike: dict[tuple, bytes | None] = {}
-        self.stands: dict[tuple, bytes | None] = {}
-        self.fits: dict[tuple, bool] = {}
         self.kinds: dict[str, str] = {}
         self.reset()
 
@@ -158,11 +163,27 @@ class Transducer:
     # -- states ----------------------------------------------------------------
 
     def reset(self) -> None:
+        self.most = STATES
+        self.alike: dict[tuple, bytes | None] = {}
+        self.stands: dict[tuple, bytes | None] = {}
+        self.fits: dict[tuple, bool] = {}
         self.names: list[tuple] = [("start",)]
         self.ids: dict[tuple, int] = {("start",): START}
         self.next = np.full((1024, 256), -1, np.int32)
         self.emit = np.zeros((1024, 256), np.int16)
 
+    def forget(self, held: list[np.ndarray]) -> None:
+        """Drop all states but those in ``held``, whose numbers are made anew in place (below 0: none)."""
+        kept = np.unique(np.concatenate(held))
+        kept = kept[kept >= 0]
+        names = [self.names[s] for s in kept.tolist()]
+        self.reset()
+        anew = np.array([self.number(name) for name in names], np.int64)
+        self.most = max(STATES, 2 * len(self.names))
+        for states in held:
+            live = states >= 0
+            states[live] = anew[np.searchsorted(kept, states[live])]
+
     def number(self, state: tuple) -> int:
         if state not in self.ids:
             self.ids[state] = len(self.names)
@@ -246,11 +267,16 @@ class Transducer:
         parts = self.split_specials.split(text) if self.split_specials and any(s in text for s in self.specials) else [text]
         return bytes([SPECIAL]).join((p.lower() if not _PLAIN.search(p) else self.library.normalizer.normalize_str(p)).encode() for p in parts)
 
-    def march(self, entry: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Run lanes in lock step; rows: (steps, lanes) bytes. The exit states, and each step's changes."""
+    def march(self, entry: np.ndarray, rows: np.ndarray, held: tuple = ()) -> tuple[np.ndarray, np.ndarray]:
+        """Run lanes in lock step; rows: (steps, lanes) bytes. The exit states, and each step's changes.
+
+        ``held`` are arrays of states that the caller goes on with; they are renumbered when states are dropped.
+        """
         out = np.empty(rows.shape, np.int16)
         state = entry.astype(np.int64)
         for j in range(len(rows)):
+            if len(self.names) > self.most:
+                self.forget([state, *held])
             at = state * 256 + rows[j]
             after = self.next.ravel()[at]
             if after.min(initial=0) < 0:
@@ -261,10 +287,46 @@ class Transducer:
             state = after.astype(np.int64)
         return state, out
 
+    def compose_open(self, grid: np.ndarray, open_: np.ndarray, leave: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exit states (written to ``leave``) of chunks without white space by their maps. The chunks so settled, and their counts."""
+        lanes = len(grid)
+        after_open = np.zeros(lanes, bool)
+        after_open[1:] = open_[:-1]
+        first = np.flatnonzero(open_ & ~after_open)
+        guessed = np.flatnonzero(open_ & np.append(open_[1:], False))
+        # a guess begins at a character: the rest of one that began in the chunk before is left out
+        split = np.logical_and.accumulate((grid[guessed] & 0xC0) == 0x80, axis=1)
+        guess, _ = self.march(np.zeros(len(guessed), np.int64), np.ascontiguousarray(np.where(split, np.uint8(32), grid[guessed]).T), (leave,))
+        lane = np.concatenate([first, guessed + 1])
+        entry = np.concatenate([np.where(first > 0, leave[first - 1], START), guess])
+        chunk, begin, end, count = (np.empty(0, np.int64) for _ in range(4))
+        for _ in range(ROUNDS):
+            key = np.unique((lane << 32) | entry)
+            key = key[~np.isin(key, (chunk << 32) | begin)]
+            if not len(key):
+                break
+            lane, entry = key >> 32, key & 0xFFFFFFFF
+            state, made = self.march(entry, np.ascontiguousarray(grid[lane].T), (leave, begin, end, entry))
+            chunk, begin, end = np.append(chunk, lane), np.append(begin, entry), np.append(end, state)
+            count = np.append(count, made.sum(axis=0, dtype=np.int64))
+            goes_on = np.append(open_, False)[lane + 1]
+            lane, entry = lane[goes_on] + 1, state[goes_on]
+        order = np.argsort((chunk << 32) | begin)
+        chunk, begin, end, count = chunk[order], begin[order], end[order], count[order]
+        key, none = (chunk << 32) | begin, len(order)
+        place = lambda wanted: np.where(np.append(key, -1)[np.searchsorted(key, wanted)] == wanted, np.searchsorted(key, wanted), none)
+        jump = np.append(place(((chunk + 1) << 32) | end), none)
+        met = np.zeros(none + 1, bool)
+        met[place((first << 32) | np.where(first > 0, leave[first - 1], START))] = True
+        for _ in range(int(open_.sum()).bit_length()):
+            met[jump[met]] = True
+            jump = jump[jump]
+        met = met[:none]
+        leave[chunk[met]] = end[met]
+        return chunk[met], count[met]
+
     def counts(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text."""
-        if len(self.names) > STATES:
-            self.reset()
         encoded = [self.normalised(t) + b" " for t in texts]
         bounds = np.concatenate([[0], np.cumsum([len(e) for e in encoded])]).astype(np.int64)
         data = np.frombuffer(b"".join(encoded), np.uint8)
@@ -280,14 +342,18 @@ class Transducer:
         leave, changes = self.march(np.zeros(lanes, np.int64), np.ascontiguousarray(body.T))
         changes = np.ascontiguousarray(changes.T)
         leave[open_] = -1
-        enter = np.concatenate([[START], leave[:-1]])
         todo = np.arange(lanes)
-        while len(todo):  # compose: heads whose entry state is known, then those behind them
+        if open_.any():
+            settled, made = self.compose_open(grid, open_, leave)
+            changes[settled, 0] = made  # a chunk without white space lies within one text
+            todo = np.setdiff1d(todo, settled)
+        enter = np.concatenate([[START], leave[:-1]])
+        while len(todo):  # heads whose entry state is known, then those behind them
             ready = todo[enter[todo] >= 0]
             todo = todo[enter[todo] < 0]
             longest = int(head[ready].max())
             rows = np.where(np.arange(longest) < head[ready][:, None], grid[ready, :longest], np.uint8(32))
-            state, made = self.march(enter[ready], np.ascontiguousarray(rows.T))
+            state, made = self.march(enter[ready], np.ascontiguousarray(rows.T), (enter, leave))
             changes[ready, :longest] += made.T
             through = ready[open_[ready]]
             leave[through] = state[open_[ready]]

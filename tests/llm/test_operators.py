@@ -225,6 +225,34 @@ def test_token_counts_on_strange_text():
     assert machine.counts(texts).tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
+@pytest.mark.parametrize("states, rounds", [(120_000, 12), (120_000, 1), (2_000, 12), (300, 2)])
+def test_token_counts_without_white_space(monkeypatch, states, rounds):
+    """Chunks composed by maps, by fewer rounds than they need, and with states dropped on the way, count as the library does."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokencount, "STATES", states)
+    monkeypatch.setattr(tokencount, "ROUNDS", rounds)
+    library = Tokenizer.from_file(packing.vocabulary_path())
+    rng = np.random.default_rng(7)
+    draw = lambda among, n: "".join(rng.choice(list(among), n))
+    texts = ["a" * 3000, "ab" * 1500, draw("abcdefghij", 3000), draw(["the", "naïve", "日本", "don't", "42"], 1500), "日本語" * 700, "é" * 1501, "", "!?" * 900, "'" * 800 + "s", "<|endoftext|>" * 120, "x " * 200]
+    machine = tokencount.Transducer(packing.vocabulary_path())
+    want = [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert machine.counts(texts).tolist() == want
+    assert machine.counts(texts[::-1]).tolist() == want[::-1]
+    assert len(machine.names) <= machine.most + 64
+
+
+def test_long_text_without_white_space_takes_few_steps(monkeypatch):
+    machine, steps = tokencount.Transducer(packing.vocabulary_path()), []
+    march = machine.march
+    monkeypatch.setattr(machine, "march", lambda entry, rows, held=(): steps.append(rows.shape) or march(entry, rows, held))
+    text = "".join(np.random.default_rng(2).choice(["spark", "model", "data", "learning"], 20_000))
+    machine.counts([text])
+    lanes = len(text) / tokencount.CHUNK
+    assert sum(s[0] for s in steps) <= 8 * tokencount.CHUNK and sum(s[1] for s in steps) <= 6 * lanes
+
+
 def auc(y, score):
     rank = pd.Series(score).rank()
     y = np.asarray(y)
