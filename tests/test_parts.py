@@ -66,6 +66,10 @@ def test_pls_with_all_components_is_least_squares():
         errors.append(sum((heads.PLS(n).fit(np.delete(XS, i, 0), np.delete(YS, i)).predict(XS[i : i + 1])[0] - YS[i]) ** 2 for i in range(14)))
     assert heads.best_components(XS, YS) == int(np.argmin(errors)) + 1
     assert len(heads.folds_of(40)) == 40 and len(heads.folds_of(41)) == 5 and heads.folds_of(10, 3)[0].tolist() == [0, 1, 2, 3]
+    # a shuffle of 0..n-1 by the legacy generator seeded with 0, cut into five consecutive parts
+    rows = np.arange(53)
+    np.random.RandomState(0).shuffle(rows)
+    assert [f.tolist() for f in heads.folds_of(53)] == [rows[a:b].tolist() for a, b in ((0, 11), (11, 22), (22, 33), (33, 43), (43, 53))]
 
 
 def test_cars_finds_the_channels_that_matter():
