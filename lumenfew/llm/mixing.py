@@ -12,8 +12,11 @@ Targets: sources by code point, null last, weigh 5, 2, 1, repeating, and share `
 of all words; a source's target stops at ``EPOCHS`` times its words and the excess is
 shared anew by weight.
 
-Defined cases: null texts have no words and are never taken; a null source is a source;
-repeated rows are documents of their own; a table without words has targets 0.
+Defined cases: null and empty texts have no words and are never taken; a null source is a
+source; repeated rows are documents of their own; rows that share an id (ties) are ordered by
+size, then by text; a very long text spans as many blocks as it fills; a table without words
+has targets 0, an empty one gives an empty result; further columns are carried by ``mixed`` and
+not read elsewhere, whatever their names (but for those that begin with two underscores).
 """
 
 from __future__ import annotations
@@ -130,11 +133,17 @@ def mix(ordered: DataFrame, goals: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def taken(ordered: DataFrame, goals: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``ordered`` with ``source_size``, ``target`` and ``taken``, the words that the mix takes of each row."""
-    sums = mix(ordered, goals, block).groupBy(F.col("source").alias("s"), F.col("begin").alias("b")).agg(F.sum("taken").cast("long").alias("got"))
+    """``ordered`` with ``source_size``, ``target`` and ``taken``, the words that the mix takes of each row.
+
+    ``first_slot`` is the first slot of the schedule that takes words of it (null: none), ``epochs`` how many epochs do.
+    """
+    # the epochs that take words of a row run from the first on
+    once = [F.sum("taken").cast("long").alias("got"), F.min("t").alias("first_slot"), (F.max("epoch") + 1).cast("long").alias("seen")]
+    sums = mix(ordered, goals, block).groupBy(F.col("source").alias("s"), F.col("begin").alias("b")).agg(*once)
     own = (F.col("size") > 0) & F.col("source").eqNullSafe(F.col("s")) & (F.col("begin") == F.col("b"))
     per = goals.select(F.col("source").alias("src"), "source_size", "target")
-    found = ordered.join(sums, own, "left").withColumn("taken", F.coalesce("got", F.lit(0)).cast("long")).drop("s", "b", "got")
+    counted = {to: F.coalesce(c, F.lit(0)).cast("long") for to, c in (("taken", "got"), ("epochs", "seen"))}
+    found = ordered.join(sums, own, "left").withColumns(counted).drop("s", "b", "got", "seen")
     return found.join(per, found.source.eqNullSafe(per.src)).drop("src")
 
 
@@ -164,10 +173,10 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, epoch
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that the mix takes of each document."""
+    """Words that the mix takes of each document, in how many epochs, and from which slot of the schedule on."""
     sized = staged(sizes(table(spark, sf_dir, "documents"), ["doc_id", "source"]), "sizes")
     goals = staged(targets(sized), "targets")
-    return taken(staged(shuffled(sized), "shuffled"), goals).select("doc_id", F.col("size"), F.col("source_size").cast("long").alias("source_size"), "target", "taken")
+    return taken(staged(shuffled(sized), "shuffled"), goals).select("doc_id", F.col("size"), F.col("source_size").cast("long").alias("source_size"), "target", "taken", "first_slot", "epochs")
 
 
 OP1_SQL = r"""
@@ -189,8 +198,31 @@ goals AS (
 placed AS (
   SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(concat_ws(':', 'mix', CAST(doc_id AS VARCHAR))), size DESC
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begins FROM sized),
-joined AS (SELECT p.*, g.source_size, g.target, CAST(floor(g.target) AS BIGINT) AS wanted FROM placed p JOIN goals g ON p.source IS NOT DISTINCT FROM g.source)
+joined AS (SELECT p.*, g.source_size, g.target, CAST(floor(g.target) AS BIGINT) AS wanted FROM placed p JOIN goals g ON p.source IS NOT DISTINCT FROM g.source),
+need AS (SELECT *, CAST(floor(target) AS BIGINT) AS wanted, (source_size + 255) // 256 AS n_blocks FROM goals WHERE floor(target) > 0),
+bounds AS (
+  SELECT *, wanted // source_size * n_blocks + (wanted % source_size + 255) // 256 AS slots, row_number() OVER by_source AS s,
+    (sum(target) OVER by_source - target) / sum(target) OVER () AS low, sum(target) OVER by_source / sum(target) OVER () AS high
+  FROM need WINDOW by_source AS (ORDER BY source ASC NULLS LAST)),
+every AS (SELECT CAST(coalesce(sum(slots), 0) AS BIGINT) AS n, max(s) AS k FROM bounds),
+points AS (SELECT t, t // 1048576 * ((0.6180339887498949::DOUBLE * 1048576) % 1.0::DOUBLE) + (t % 1048576) * 0.6180339887498949::DOUBLE AS p FROM (SELECT unnest(range(n)) AS t FROM every)),
+named_slots AS (
+  SELECT t, s, row_number() OVER (PARTITION BY s ORDER BY t) - 1 AS rank
+  FROM points JOIN bounds ON p - floor(p) >= low AND (p - floor(p) < high OR s = (SELECT k FROM every))),
+drawn AS (SELECT t, s, rank FROM named_slots JOIN bounds USING (s) WHERE rank < slots),
+got AS (SELECT s, slots, coalesce(g, 0) AS g FROM bounds LEFT JOIN (SELECT s, count(*) AS g FROM drawn GROUP BY s) USING (s)),
+late AS (SELECT n + rank - g AS t, s, rank FROM (SELECT s, g, unnest(range(g, CAST(slots AS BIGINT))) AS rank FROM got), every),
+slotted AS (
+  SELECT t, source, source_size, rank // n_blocks AS epoch, rank % n_blocks AS block,
+    least(256, source_size - rank % n_blocks * 256, wanted - rank // n_blocks * source_size - rank % n_blocks * 256) AS upto
+  FROM (SELECT * FROM drawn UNION ALL SELECT * FROM late) JOIN bounds USING (s)),
+firsts AS (
+  SELECT p.source, p.begins, min(t) AS first_slot, max(epoch) + 1 AS epochs
+  FROM placed p JOIN slotted g ON p.source IS NOT DISTINCT FROM g.source AND g.block BETWEEN p.begins // 256 AND (p.begins + p.size - 1) // 256
+  WHERE p.size > 0 AND least(p.begins + p.size, g.block * 256 + g.upto) > greatest(p.begins, g.block * 256) GROUP BY ALL)
 SELECT doc_id, size, source_size, target,
-  CASE WHEN size = 0 THEN CAST(0 AS BIGINT) ELSE CAST(wanted // source_size * size + greatest(0, least(begins + size, wanted % source_size) - begins) AS BIGINT) END AS taken
-FROM joined
+  CASE WHEN size = 0 THEN CAST(0 AS BIGINT) ELSE CAST(wanted // source_size * size + greatest(0, least(joined.begins + size, wanted % source_size) - joined.begins) AS BIGINT) END AS taken,
+  CASE WHEN size > 0 THEN CAST(first_slot AS BIGINT) END AS first_slot,
+  CASE WHEN size > 0 THEN CAST(coalesce(epochs, 0) AS BIGINT) ELSE CAST(0 AS BIGINT) END AS epochs
+FROM joined LEFT JOIN firsts ON joined.source IS NOT DISTINCT FROM firsts.source AND joined.begins = firsts.begins AND joined.size > 0
 """

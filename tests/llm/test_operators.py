@@ -93,9 +93,10 @@ def test_mixing_equals_sql(spark, sf, odd, which):
     order = ["doc_id", "size", "taken"]
     if which == "odd":  # rows that share an id may change places
         got, want = (d[d.doc_id.notna() & (d.doc_id != 9)] for d in (got, want))
-    got, want = (d.sort_values(order).reset_index(drop=True)[["doc_id", "size", "source_size", "target", "taken"]] for d in (got, want))
+    got, want = (d.sort_values(order).reset_index(drop=True)[["doc_id", "size", "source_size", "target", "taken", "first_slot", "epochs"]] for d in (got, want))
     pd.testing.assert_frame_equal(got, want, check_dtype=False)
     assert (got.taken <= 2 * got["size"]).all()
+    assert (got.first_slot.notna() == (got.taken > 0)).all() and ((got.epochs > 0) == (got.taken > 0)).all()
 
 
 def test_mix_is_low_discrepancy_and_whole(spark, sf):
