@@ -9,11 +9,13 @@ below zero its gradient is reversed, as in the non-negative estimator, which sto
 unlabelled toxic documents from being learned as clean.
 
 The risk is minimised on at most ``POSITIVES`` and ``UNLABELLED`` rows, by the hash of their
-ids. How many documents of U have a feature, which scales it, and the scores that settle
+ids, one row an id, as far as the features of each side take ``BYTES``. How many documents of U have a feature, which scales it, and the scores that settle
 the bias are counted over all training text.
 
 Defined cases: null and empty texts get the score of the bias alone; with no toxic
-training row every score is 0; repeated rows are scored alike.
+training row every score is 0; repeated rows are scored alike; of rows that share an id
+(ties) the one whose features come first can be fitted on; very long texts are read whole; an
+empty table gives an empty result; further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,15 +24,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenfew.llm.common import append_arrow, crc_of_id, session, table
+from lumenfew.llm.common import append_arrow, crc_of_id, session, staged, table
 from lumenfew.llm.textvec import lowered, mix, per_doc_sum, slices, words_of
 
 #: Rows on which the risk is minimised at most.
 POSITIVES = 3000
 UNLABELLED = 8000
+#: Bytes of features that a side's rows bring to the driver at most.
+BYTES = 128 << 20
 BUCKETS = 1 << 20
 FOLDS = 5
 #: Documents of P that a feature needs.
@@ -142,6 +146,15 @@ def _counted(rows: DataFrame, of) -> tuple[np.ndarray, np.ndarray]:
     return np.array([r.v for r in found], np.int64), np.array([r.n for r in found], np.int64)
 
 
+def sampled(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``doc_id, y, buckets`` of the chosen ids, one row an id, by the hash of the id up to ``BYTES`` a side."""
+    made = append_arrow(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "text", [("buckets", "binary")], _features, keep=["doc_id", "y"])
+    rows = staged(made.groupBy("doc_id", "y").agg(F.min("buckets").alias("buckets")), "features")
+    in_turn = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
+    upto = rows.select("doc_id", "y", F.sum(F.octet_length("buckets").cast("long")).over(in_turn).alias("upto"))  # POSITIVES + UNLABELLED rows at most
+    return rows.join(F.broadcast(upto.where(F.col("upto") <= BYTES).select("doc_id", "y")), ["doc_id", "y"])
+
+
 def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> Model:
     """Fit from rows whose crc32(doc_id) modulo ``folds`` is not 0."""
     ids = lambda df: df.where("doc_id is not null").where(crc_of_id() % folds != 0)
@@ -150,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> Model:
     some = lambda df, n, y: df.select("doc_id", F.lit(y).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     free = ids(docs.select("doc_id")).distinct()
     chosen = some(known.where("y = 1"), POSITIVES, 1).unionAll(some(free, UNLABELLED, 0))
-    rows = append_arrow(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "text", [("buckets", "binary")], _features, keep=["doc_id", "y"]).collect()
+    rows = sampled(docs, chosen).collect()
     side = {y: [np.frombuffer(r.buckets, np.int32) for r in sorted(rows, key=lambda r: (r.doc_id, r.buckets)) if r.y == y] for y in (0, 1)}
     if not side[1] or share <= 0:
         return fit(side[1], side[0], share)

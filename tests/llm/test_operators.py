@@ -623,6 +623,55 @@ def test_toxicity_with_every_document_labelled(spark):
     assert sum(got[i] for i in got if i % 10) < 11
 
 
+def test_toxicity_fits_one_row_an_id_within_bytes(spark, monkeypatch):
+    rows = [(i % 6, f"word{i} some more words of text {'long ' * (i // 6)}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    chosen = spark.createDataFrame([(i, y) for i in range(6) for y in (0, 1)], "doc_id long, y int")
+    every = toxicity.sampled(docs, chosen).collect()
+    assert sorted((r.doc_id, r.y) for r in every) == sorted((i, y) for i in range(6) for y in (0, 1))
+    own = {bytes(f) for f in toxicity._features(pa.array([t for _, t in rows]))[0].to_pylist()}
+    assert all(bytes(r.buckets) in own for r in every)
+    monkeypatch.setattr(toxicity, "BYTES", max(len(r.buckets) for r in every) * 3)
+    few = toxicity.sampled(docs, chosen).collect()
+    for y in (0, 1):
+        assert 3 <= sum(r.y == y for r in few) < 6 and sum(len(r.buckets) for r in few if r.y == y) <= toxicity.BYTES
+
+
+def test_toxicity_fit_equals_a_dense_version():
+    rng = np.random.default_rng(5)
+    n, width, prior, decay, rate = 200, 30, 0.2, 1e-3, 0.05
+    toxic = rng.random(n) < 0.15
+    x = rng.random((n, width)) < np.where(toxic[:, None] & (np.arange(width) < 8), 0.8, 0.05)
+    sides = x[toxic], x
+    lists = [[np.flatnonzero(r) for r in side] for side in sides]
+    got = toxicity.fit(*lists, prior)
+    count_p, count_u = (s.sum(axis=0) for s in sides)
+    odds = np.log((count_p + 0.5) / (len(sides[0]) + 1) / ((count_u + 0.5) / (n + 1)))
+    use = (count_p >= toxicity.LEAST) & (odds > 2.5 * np.sqrt(1 / (count_p + 0.5) + 1 / (count_u + 0.5))) & (odds > 0.4)
+    scaled = [s * np.where(use, odds, 0.0) for s in sides]
+    theta = np.append(np.where(use, 0.5, 0.0), -2.0)
+    first, second = np.zeros(width + 1), np.zeros(width + 1)
+
+    def parts(theta):
+        """Values and gradients of the confirmed part and of the part that may not fall below zero."""
+        zp, zu = (s @ theta[:-1] + theta[-1] for s in scaled)
+        up, uu = (np.hstack([s, np.ones((len(s), 1))]) for s in scaled)
+        p, u = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
+        rest = np.log1p(np.exp(zu)).mean() - prior * np.log1p(np.exp(zp)).mean()
+        return rest, prior * up.T @ (p - 1) / len(p), uu.T @ u / len(u) - prior * up.T @ p / len(p)
+
+    for t in range(1, 201):
+        rest, confirmed, other = parts(theta)
+        grad = (confirmed + other if rest >= 0 else -other) + decay * np.append(theta[:-1], 0)
+        first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
+        theta = theta - rate * first / (1 - 0.9**t) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
+        theta[:-1] = np.where(use, np.maximum(theta[:-1], 0), 0)
+    assert use.sum() >= 3
+    np.testing.assert_allclose(got.weights[:width], theta[:-1] * np.where(use, odds, 0), rtol=1e-4, atol=1e-5)
+    z = x @ got.weights[:width].astype(float) + got.bias
+    assert abs((1 / (1 + np.exp(-z))).mean() - prior) < 1e-6
+
+
 def test_toxicity_counts_all_training_text(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "UNLABELLED", 20)
     seen = {}
