@@ -71,9 +71,11 @@ def _features(column: pa.Array):
     return (pa.array([bucket[i:j].astype(np.int32).tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()),)
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 200, rate: float = 0.05, decay: float = 1e-3, seen: tuple[np.ndarray, int] | None = None) -> Model:
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 200, rate: float = 0.05, decay: float = 3e-4, seen: tuple[np.ndarray, int] | None = None) -> Model:
     """Minimise the non-negative risk with logistic loss; each feature is scaled by its log-odds in P against U.
 
+    The decay is the one of least log loss among 3e-5 to 1e-2 on a fifth of the training rows held out of training.
+
     ``seen``: how many of all documents of U have each bucket, and their number (those of ``unlabelled`` by default).
     """
     if not positive or not unlabelled or prior <= 0:

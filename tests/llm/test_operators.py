@@ -639,7 +639,7 @@ def test_toxicity_fits_one_row_an_id_within_bytes(spark, monkeypatch):
 
 def test_toxicity_fit_equals_a_dense_version():
     rng = np.random.default_rng(5)
-    n, width, prior, decay, rate = 200, 30, 0.2, 1e-3, 0.05
+    n, width, prior, decay, rate = 200, 30, 0.2, 3e-4, 0.05
     toxic = rng.random(n) < 0.15
     x = rng.random((n, width)) < np.where(toxic[:, None] & (np.arange(width) < 8), 0.8, 0.05)
     sides = x[toxic], x
