@@ -12,11 +12,13 @@
    n - 4n/5 + 1 of the larger. That is exact. Shingles that are frequent in a sample of the
    crowd stand last, so a prefix holds what a text doesn't share with many: lists are short again.
    (The order decides how long lists are, never which pairs meet.)
-4. Hubs. A prefix reaches into frequent shingles only if eight ninths of the set are frequent: it is
-   one of many copies. In such a shingle's long list all meet the open set that is in most company,
-   are compared, and those linked are settled; the others meet the next hub among them, for
-   ``HUBS`` rounds. Sets that are open even then meet in ``FOREST`` bands of ``DEEP`` minima: a pair at 0.8 has
-   none of them in common with probability 0.011, at 0.85 1.4e-4.
+4. Blocks. A prefix reaches into frequent shingles only if eight ninths of the set are frequent: it is
+   one of many copies. Sets that long lists join, directly or by others, are a blob; it is dealt by hash over blocks of
+   bounded bytes. All sets of a block are compared, but for those that its links join already: parities of hashed shingles
+   bound the difference of two sets from below, what is left is counted. If a blob has several blocks, some sets of each large component
+   meet first, so that one component of many blocks becomes one; then each two blocks meet, unless both hold
+   only sets of the same component. That is exact: its links join what all pairs would join. Its work grows with the square of
+   the sets of a blob that are not joined, its memory with a block.
 5. Verification. Each candidate pair's shingles are compared: what is linked has the
    similarity, exactly.
 
@@ -32,7 +34,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfew.llm.common import append_arrow, release, staged
@@ -44,10 +46,10 @@ BANDS = 20
 ROWS = 4
 #: Sets of a posting list that are all compared with each other.
 PAIRWISE = 64
-#: Rounds in which a long list's open sets meet a hub, and the bands and minima of those that stay open.
-HUBS = 8
-FOREST = 64
-DEEP = 12
+#: Bytes of a block's shingles and its sets, both about; sets of a large component that stand for it when blocks first meet.
+BLOCK_BYTES = 16 << 20
+BLOCK_SETS = 8192
+STAND = 32
 #: Sets of a crowd that the order of shingles is drawn from, how often one has to occur there, and how many are told apart.
 SAMPLE = 8192
 OFTEN = 3
@@ -55,7 +57,6 @@ FREQUENT = 1 << 20
 #: Shingles that are multiplied at once.
 PART = 1 << 12
 _FACTORS = np.random.default_rng(17).integers(1, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-_FOREST = np.random.default_rng(18).integers(1, 1 << 63, FOREST * DEEP, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_set(text: bytes) -> np.ndarray:
@@ -184,7 +185,10 @@ def frequent(crowd: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     held = counts.orderBy(F.col("n").desc(), "token").limit(FREQUENT).toArrow()
     token, n = held.column(0).to_numpy().view(np.uint64), held.column(1).to_numpy()
     order = np.argsort(token)
-    return token[order], n[order]
+    token, n = token[order], n[order]
+    del held
+    release()
+    return token, n
 
 
 def prefixes(crowd: DataFrame) -> DataFrame:
@@ -214,44 +218,115 @@ def prefixes(crowd: DataFrame) -> DataFrame:
     return staged(crowd.select("sig", "shingles").mapInArrow(run, "token long, sig long, n_set long, probe boolean"), "prefixes")
 
 
-def deep(sets: DataFrame) -> DataFrame:
-    """``band, value, sig, n_set, probe``: the deeper bands of ``sig, shingles``."""
+def parities(sets: list[np.ndarray], bits: int) -> np.ndarray:
+    """For each set, whether an odd number of its shingles falls on each of ``bits``, as words: two sets differ by as many shingles as bits, at least."""
+    out = np.zeros((len(sets), bits // 64), np.uint64)
+    for i, s in enumerate(sets):
+        odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+        out[i] = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+    return out
 
-    def run(batches):
-        for batch in batches:
-            made = [(len(x) // 8, bands(np.frombuffer(x, np.uint64), _FOREST, DEEP)) for x in batch.column(1).to_pylist()]
-            n = np.repeat(np.array([m for m, _ in made], np.int64), FOREST)
-            value = np.concatenate([np.zeros(0, np.int64), *(v for _, v in made)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(FOREST), len(made))), pa.array(value), pa.array(batch.column(0).to_numpy().repeat(FOREST)), pa.array(n), pa.array(np.ones(len(n), bool))], names=["band", "value", "sig", "n_set", "probe"])
 
-    return staged(sets.select("sig", "shingles").mapInArrow(run, "band long, value long, sig long, n_set long, probe boolean"), "forest")
+def spanning(sets: list[np.ndarray], label: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
+    """Links that, with the labels, join what all links between the sides (or within the only one) would join."""
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    sets, side = [sets[i] for i in order], side[order]
+    root = np.unique(label[order], return_inverse=True)[1]
+    size = np.array([len(s) for s in sets])
+    last = np.searchsorted(4 * size, 5 * size, "right")  # the first set too large for each
+    bits = 1 << int(np.clip(np.ceil(np.log2(16 * max(np.median(size), 1))), 10, 16))
+    fine = parities(sets, bits)
+    coarse = np.bitwise_xor.reduce(fine.reshape(len(sets), -1, 16), axis=1)  # folded to 1,024 bits
+    both, found = side.min() != side.max(), []
+    for i in range(len(sets)):
+        own = slice(i + 1, last[i])
+        j = i + 1 + np.flatnonzero((root[own] != root[i]) & ((side[own] != side[i]) if both else True))
+        # 5 * common >= 4 * union, by the difference
+        for words in (coarse, fine):
+            j = np.concatenate([part[9 * np.bitwise_count(words[part] ^ words[i]).sum(axis=1, dtype=np.int64) <= size[part] + size[i]] for part in np.array_split(j, len(j) // 2048 + 1)])
+        for k in j.tolist():
+            if root[k] != root[i] and jaccard(sets[i], sets[k]) >= LEAST:
+                root[root == root[k]] = root[i]
+                found.append((int(order[i]), int(order[k])))
+    return found
+
+
+def met(groups: DataFrame, key: list[str]) -> DataFrame:
+    """``(a, b)`` of each group of ``sig, label, side, shingles``."""
+
+    def run(group: pa.Table) -> pa.Table:
+        sig, sets = group.column("sig").to_numpy(), [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
+        found = np.array(spanning(sets, group.column("label").to_numpy(), group.column("side").to_numpy()), np.int64).reshape(-1, 2)
+        release()
+        a, b = sig[found[:, 0]], sig[found[:, 1]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return groups.select(*key, "sig", "label", "side", "shingles").groupBy(*key).applyInArrow(run, "a long, b long")
+
+
+def parts(n: str = "n", size: str = "size") -> Column:
+    """Blocks for so many sets and bytes."""
+    return F.ceil(F.greatest(F.col(n) / BLOCK_SETS, F.col(size) / BLOCK_BYTES)).cast("long")
+
+
+def dealt(salt: int, over: Column, by: str = "sig") -> Column:
+    return F.pmod(F.xxhash64(by, F.lit(salt)), F.greatest(over, F.lit(1)))
+
+
+def labelled(sets: DataFrame, found: list[DataFrame], name: str) -> DataFrame:
+    """``sets`` with the ``label`` of the component that the links make of each."""
+    from lumenfew.llm.components import components
+
+    roots = components(_together(found)).withColumnsRenamed({"node": "sig", "root": "label"})
+    return staged(sets.drop("label").join(roots, "sig", "left").withColumn("label", F.coalesce("label", "sig")), name)
+
+
+def block_pairs(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of ``blob, sig, label, size``: each set's ``block`` with the component that all of the block is (``pure``), and the blocks ``(i, j)`` to compare."""
+    each = sets.groupBy("blob", "label").agg(F.count("*").alias("n"), F.sum("size").alias("size")).withColumn("whole", 2 * F.greatest(F.col("n") / BLOCK_SETS, F.col("size") / BLOCK_BYTES) >= 1)
+    mixed = each.where("not whole").groupBy("blob").agg(F.sum("n").alias("n"), F.sum("size").alias("size")).select("blob", parts().alias("of_mixed"))
+    large = each.select("blob", "label", "whole", parts().alias("of_whole"))
+    own = sets.join(large, ["blob", "label"]).join(mixed, "blob", "left")
+    at = F.when(F.col("whole"), dealt(1, F.col("of_whole"))).otherwise(dealt(2, F.col("of_mixed"), "label"))
+    own = own.select("blob", "sig", "label", F.when(F.col("whole"), F.col("label")).alias("pure"), at.alias("nth"))
+    own = staged(own.withColumn("block", F.xxhash64("blob", F.col("pure").isNull(), "pure", "nth")), "blocks")
+    blocks = own.select("blob", "block", "pure").distinct()
+    left, right = blocks.select("blob", F.col("block").alias("i"), F.col("pure").alias("of_i")), blocks.select("blob", F.col("block").alias("j"), F.col("pure").alias("of_j"))
+    return own, staged(left.join(right, "blob").where("i <= j and not coalesce(of_i = of_j, false)").select("i", "j"), "meetings")
 
 
 def crowd_links(crowd: DataFrame) -> DataFrame:
-    """Links ``(a, b)`` within a crowd (``sig, shingles``) of texts that many have much in common with."""
+    """Links ``(a, b)`` within a crowd (``sig, shingles``) of texts that many have much in common with: they join what all links would join."""
+    from lumenfew.llm.components import components
+
     short, long = by_length(prefixes(crowd), ["token"])
     found = [verified(within(short, ["token"]), crowd)]
-    long = staged(long, "crowded")
-    open_ = long.where("probe").select("token", "sig")
-    company = staged(long.groupBy("sig").agg(F.count("*").alias("company")), "company")
-    for _ in range(HUBS):
-        if open_.isEmpty():
-            return _together(found)
-        hubs = staged(open_.join(company, "sig").groupBy("token").agg(F.max_by("sig", F.struct("company", "sig")).alias("hub")), "hubs")
-        sizes = long.select(F.col("sig").alias("hub"), F.col("n_set").alias("of_hub")).distinct()
-        # a set meets the hubs of its lists, mostly the same one in all
-        met = long.join(hubs, "token").select("sig", "n_set", "hub").where("sig <> hub").distinct().join(sizes, "hub")
-        met = met.where(fits(F.least("n_set", "of_hub"), F.greatest("n_set", "of_hub"))).select(F.col("sig").alias("a"), F.col("hub").alias("b"))
-        near = staged(verified(met, crowd), "near")
-        found.append(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        settled = near.unionAll(hubs.select(F.col("hub").alias("a"), F.col("hub").alias("b"))).distinct()
-        left = open_.join(hubs, "token").join(settled, (F.col("sig") == F.col("a")) & (F.col("hub") == F.col("b")), "left_anti")
-        open_ = staged(left.select("token", "sig"), "open")
-    rest = crowd.join(open_.select("sig").distinct(), "sig")
-    short, long = by_length(deep(rest), ["band", "value"])
-    hub = long.groupBy("band", "value").agg(F.min("sig").alias("hub"))
-    met = long.join(hub, ["band", "value"]).select(F.col("sig").alias("a"), F.col("hub").alias("b")).where("a <> b").distinct()
-    return _together([*found, verified(within(short, ["band", "value"]).unionAll(met).distinct(), crowd)])
+    # a list without a set that asks has no pair
+    heads = long.groupBy("token").agg(F.min("sig").alias("head"), F.max("probe").alias("asked")).where("asked").select("token", "head")
+    blobs = components(long.join(heads, "token").select(F.col("sig").alias("a"), F.col("head").alias("b")))
+    blobs = blobs.unionAll(blobs.select(F.col("root").alias("node"), "root")).distinct()
+    sets = staged(crowd.join(blobs.select(F.col("node").alias("sig"), F.col("root").alias("blob")), "sig").withColumn("size", F.octet_length("shingles")), "blobs")
+    own = staged(sets.groupBy("blob").agg(F.count("*").alias("n"), F.sum("size").alias("size")).select("blob", parts().alias("of")), "parts")
+    alone = F.lit(0).cast("int").alias("side")
+    first = sets.join(own, "blob").select("blob", dealt(0, F.col("of")).alias("nth"), "sig", F.col("sig").alias("label"), alone, "shingles")
+    found.append(met(first, ["blob", "nth"]))
+    if (own.agg(F.max("of")).first()[0] or 0) < 2:
+        return _together(found)
+    found = [staged(x, "near") for x in found]
+    wide = staged(sets.join(own.where("of > 1"), "blob").select("blob", "sig", "size", "of"), "wide")
+    now = labelled(wide, found, "labelled")
+    # a few of each component that may lie in many blocks
+    ranked = now.withColumn("n", F.row_number().over(Window.partitionBy("blob", "label").orderBy(F.xxhash64("sig", F.lit(3)), "sig"))).where(F.col("n") <= STAND)
+    large = now.groupBy("blob", "label").count().where(F.col("count") >= STAND).select("blob", "label")
+    stand = ranked.join(large, ["blob", "label"], "left_semi").select("blob", "sig", "label", "size")
+    shares = stand.groupBy("blob").agg(F.count("*").alias("n"), F.sum("size").alias("size")).select("blob", parts().alias("of"))
+    few = stand.join(shares, "blob").select("blob", dealt(4, F.col("of")).alias("nth"), "sig", "label", alone).join(crowd, "sig")
+    found.append(staged(met(few, ["blob", "nth"]), "near"))
+    own, pairs = block_pairs(labelled(wide, found, "labelled"))
+    rows = own.select("block", "sig", "label").join(crowd, "sig")
+    left = rows.join(pairs, rows.block == pairs.i).select("i", "j", "sig", "label", alone, "shingles")
+    right = rows.join(pairs.where("i < j"), rows.block == pairs.j).select("i", "j", "sig", "label", F.lit(1).cast("int").alias("side"), "shingles")
+    return _together([*found, met(left.unionAll(right), ["i", "j"])])
 
 
 def _together(parts: list[DataFrame]) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfew.llm.common import append_arrow, table
+from lumenfew.llm.common import append_arrow, release, table
 from lumenfew.llm.textvec import mix, per_doc_sum, words_of
 
 #: Labelled rows used for training at most.
@@ -142,6 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     if len({r.y for r in fold}) < 2 or len({r.y for r in rest}) < 2:
         fold = rest = rows
     weights, bias = _fit(fold)
+    release()
     z = np.array([np.frombuffer(r.value, np.float32) @ weights[np.frombuffer(r.buckets, np.int32)] for r in rest]) + bias
     y = np.array([r.y for r in rest], np.float64)
     target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))

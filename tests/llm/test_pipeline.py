@@ -224,3 +224,67 @@ def test_copies_of_a_text_that_is_not_there(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
     assert least <= kept and len(kept) - len(least) <= 0.02 * len(links)
+
+
+def choices(n, m, seed):
+    """Texts that choose between two words at 33 places, so that no shingle is rare: ``n`` near each other, and ``m`` that are near one of those alone."""
+    rng = np.random.default_rng(seed)
+    fresh = lambda k: ["".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(k)]
+    text, other, out = fresh(400), fresh(400), {False: [], True: []}
+    places = np.arange(6, 402 - 12, 12)
+    for i in range(n + m):
+        chosen = rng.permutation(len(places))[:4] if i < n else np.concatenate([own := rng.permutation(len(places))[:4], np.setdiff1d(rng.permutation(len(places)), own)[rng.permutation(len(places) - 4)[:8]]])
+        for some in [chosen] if i < n else [chosen[:4], chosen]:
+            words_ = list(text)
+            for at in places[some]:
+                words_[at] = other[at]
+            out[len(some) == 4].append(" ".join(words_))
+    return list(enumerate(out[False] + out[True]))
+
+
+@pytest.mark.parametrize("block", [None, 800])
+def test_no_link_of_a_crowd_is_lost(spark, monkeypatch, block):
+    """The crowd's groups are those of all pairs, in one block of sets and in many."""
+    from lumenfew.llm import minhash
+    from lumenfew.llm.components import components
+
+    if block:
+        monkeypatch.setattr(minhash, "BLOCK_SETS", block)
+    sets = [minhash.shingle_set(t.encode()) for _, t in choices(100, 1500, 33)]
+    names = np.unique(np.concatenate(sets))
+    has = np.stack([np.isin(names, x) for x in sets]).astype(np.float32)
+    size, both = has.sum(axis=1), has @ has.T
+    near, root = both >= 0.8 * (size[:, None] + size - both) - 1e-3, np.arange(len(sets))
+    while (least := np.where(near, root, len(sets)).min(axis=1)).tolist() != root.tolist():
+        root = least
+    crowd = minhash.staged(spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(sets)], "sig long, shingles binary").repartition(4), "crowd")
+    found = {r.node: r.root for r in components(minhash.crowd_links(crowd)).collect()}
+    assert [found.get(i, i) for i in range(len(sets))] == root.tolist()
+
+
+def test_links_of_a_crowd_join_what_all_pairs_join():
+    """Chains of sets: the spanning links, within one side and between two, against all pairs."""
+    from lumenfew.llm.minhash import jaccard, spanning
+
+    rng = np.random.default_rng(5)
+    sets = []
+    for _ in range(12):
+        own = rng.integers(0, 1 << 63, 300, np.uint64)
+        for _ in range(15):  # every set replaces some of the one before
+            own = own.copy()
+            own[rng.choice(len(own), int(rng.integers(10, 50)), replace=False)] = rng.integers(0, 1 << 63, 1, np.uint64)
+            sets.append(np.unique(own))
+    rng.shuffle(sets)
+    label, side = np.arange(len(sets)), rng.integers(0, 2, len(sets))
+
+    def joined(links):
+        root = list(range(len(sets)))
+        for a, b in links:
+            root = [root[a] if r == root[b] else r for r in root]
+        return [root.index(r) for r in root]
+
+    every = [(i, j) for i in range(len(sets)) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8]
+    assert len(every) > 50
+    assert joined(spanning(sets, label, np.zeros(len(sets), int))) == joined(every)
+    assert joined(spanning(sets, label, side)) == joined([(i, j) for i, j in every if side[i] != side[j]])
+    assert spanning(sets, np.zeros(len(sets), int), side) == []
