@@ -3,8 +3,8 @@
 Rows of up to ``NARROW`` channels: MLlib's covariance (channels x channels numbers on the driver). Wider
 rows, such as raw spectra of 11,618 channels: a randomised range finder. Each pass multiplies the rows'
 covariance with a sketch of ``k + MORE`` columns: a task sends one channels x columns sum, sums meet
-``FAN`` by ``FAN``, and the driver makes the sketch orthonormal again, until the space of the components
-stays where it is. Nothing is rows x rows or channels x channels.
+``FAN`` by ``FAN``, and the driver looks for the components in the space of all sketches so far (a block Krylov space,
+orthonormal throughout), until they stay where they are. Nothing is rows x rows or channels x channels.
 """
 
 from __future__ import annotations
@@ -118,7 +118,7 @@ def fit_wide(df: DataFrame, x: str, k: int, seed: int = 20260915) -> Model:
     centre = first[:-1] / max(first[-1], 1)
     columns = min(wide, k + MORE)
     basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(wide, columns)))[0]
-    before = None
+    before, every, images = None, np.zeros((wide, 0)), np.zeros((wide, 0))
     for _ in range(PASSES):
         sent = spark.sparkContext.broadcast((centre, basis))
 
@@ -127,15 +127,24 @@ def fit_wide(df: DataFrame, x: str, k: int, seed: int = 20260915) -> Model:
             own, sketch = rows - sent.value[0], sent.value[1]
             return np.concatenate([(own.T @ (own @ sketch)).ravel(), [(own * own).sum()]])
 
-        total = summed(df, x, both, wide * columns + 1)
-        moved = total[:-1].reshape(wide, columns)
-        # within the sketch: the covariance is columns x columns
-        values, turn = np.linalg.eigh((basis.T @ moved + moved.T @ basis) / 2)
+        total = summed(df, x, both, wide * basis.shape[1] + 1)
+        moved = total[:-1].reshape(wide, -1)
+        every, images = np.hstack([every, basis]), np.hstack([images, moved])
+        # within all sketches: the covariance is columns x columns
+        inner = every.T @ images
+        values, turn = np.linalg.eigh((inner + inner.T) / 2)
         order = np.argsort(-values)[:k]
-        found, values = basis @ turn[:, order], values[order]
+        found, values = every @ turn[:, order], values[order]
         if before is not None and np.sqrt(max(0.0, 1 - np.linalg.svd(before.T @ found, compute_uv=False).min() ** 2)) < STEADY:
             break
-        before, basis = found, np.linalg.qr(moved)[0]
+        before = found
+        rest = moved - every @ (every.T @ moved)
+        rest -= every @ (every.T @ rest)
+        fresh, size, _ = np.linalg.svd(rest, full_matrices=False)
+        fresh = fresh[:, size > 1e-10 * max(np.abs(values).max(initial=0.0), 1e-300)][:, : wide - every.shape[1]]
+        if not fresh.shape[1]:  # the space is the covariance's own
+            break
+        basis = np.linalg.qr(fresh - every @ (every.T @ fresh))[0]
     return Model(centre.tolist(), found.T.tolist(), (values / total[-1] if total[-1] else values).tolist())
 
 

@@ -615,3 +615,14 @@ def test_registered_grid_has_the_published_sizes(spark, sf):
     rows = models.label_budget(spark, sf).collect()
     assert len(rows) == 50 and all(1 <= r.n_components_pls <= 15 for r in rows)
     assert json.dumps(sorted({r.support_size for r in rows})) == "[5, 10, 20, 50, 100]"
+
+
+def test_wide_components_take_few_passes(spark, monkeypatch):
+    """Rows without structure: subspace steps alone took every pass."""
+    passes, summed = [], pca.summed
+    monkeypatch.setattr(pca, "summed", lambda *a: passes.append(1) or summed(*a))
+    x = np.random.default_rng(8).normal(size=(600, 200))
+    model = pca.fit_wide(spark.createDataFrame([(r,) for r in x.tolist()], "x array<double>"), "x", 10)
+    exact = np.linalg.svd(x - x.mean(0), full_matrices=False)[2][:10]
+    assert np.linalg.svd(np.array(model.columns) @ exact.T, compute_uv=False).min() > 1 - 1e-9
+    assert len(passes) < 20
