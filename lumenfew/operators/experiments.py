@@ -27,6 +27,8 @@ BY = ["task", "support_size", "repetition"]
 #: Query rows a cell needs more than.
 LEAST_QUERY = 5
 SCHEMA = "task string, support_size int, repetition int"
+#: Rows of a batch that are a matrix at once.
+BLOCK = 1024
 #: Bytes of all fitted heads at most.
 MOST = 256 << 20
 
@@ -83,7 +85,7 @@ def fit_cells(rows: DataFrame, sizes: list[int], reps: int, fit: Fit, family: st
 
 def _parts(rows: pd.DataFrame, cells: dict[str, list], group: str | None) -> Iterator[tuple]:
     """Each task's rows of a batch with each of its cells: keys, heads, centre, query rows and their ``x``."""
-    for task, part in rows.groupby("task", sort=False):
+    for task, part in (own for i in range(0, len(rows), BLOCK) for own in rows.iloc[i : i + BLOCK].groupby("task", sort=False)):
         x = np.stack(part.x.to_list()).astype(float)
         for keys, out, made, centre in cells.get(task, []):
             query = ~part[group or "idx"].isin(out).to_numpy()

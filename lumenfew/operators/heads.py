@@ -226,7 +226,8 @@ class NearestMean:
         return self
 
     def predict(self, x):
-        return self.names[((x[:, None] - self.means[None]) ** 2).sum(2).argmin(1)]
+        # a class at a time: no rows x classes x channels
+        return self.names[np.stack([((x - m) ** 2).sum(1) for m in self.means], axis=1).argmin(1)]
 
     def quantiles(self, x, levels=QUANTILES):
         return np.repeat(self.predict(x)[None], len(levels), 0)

@@ -626,3 +626,16 @@ def test_wide_components_take_few_passes(spark, monkeypatch):
     exact = np.linalg.svd(x - x.mean(0), full_matrices=False)[2][:10]
     assert np.linalg.svd(np.array(model.columns) @ exact.T, compute_uv=False).min() > 1 - 1e-9
     assert len(passes) < 20
+
+
+def test_nearest_mean_holds_no_rows_by_classes():
+    import tracemalloc
+
+    rng = np.random.default_rng(9)
+    x, y = rng.normal(size=(4000, 64)), rng.integers(0, 40, 4000).astype(float)
+    made = heads.NearestMean().fit(x, y)
+    plain = np.concatenate([made.names[((p[:, None] - made.means[None]) ** 2).sum(2).argmin(1)] for p in np.array_split(x, 40)])
+    tracemalloc.start()
+    assert (made.predict(x) == plain).all()
+    assert tracemalloc.get_traced_memory()[1] < 4 * x.nbytes
+    tracemalloc.stop()
