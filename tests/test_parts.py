@@ -618,7 +618,7 @@ def test_registered_grid_has_the_published_sizes(spark, sf):
 
 
 def test_wide_components_take_few_passes(spark, monkeypatch):
-    """Rows without structure: subspace steps alone took every pass."""
+    """Rows without structure, on which a sketch alone converges slowly."""
     passes, summed = [], pca.summed
     monkeypatch.setattr(pca, "summed", lambda *a: passes.append(1) or summed(*a))
     x = np.random.default_rng(8).normal(size=(600, 200))
