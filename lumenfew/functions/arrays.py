@@ -45,16 +45,19 @@ def min_max(x: Column) -> Column:
 
 
 def resample(x: Column, n: int) -> Column:
-    """Piecewise linear onto ``n`` points over the row's own range; both ends stay."""
+    """Piecewise linear onto ``n`` points over the row's own range; both ends stay. ``x`` is made once."""
 
-    def at(j: Column) -> Column:
-        pos = j.cast("double") * (F.size(x) - 1) / float(max(n - 1, 1))
-        low = F.floor(pos).cast("int")
-        a = F.get(x, low)
-        b = F.get(x, F.least(low + 1, F.size(x) - 1))
-        return a + (pos - low) * (b - a)
+    def whole(x: Column) -> Column:
+        def at(j: Column) -> Column:
+            pos = j.cast("double") * (F.size(x) - 1) / float(max(n - 1, 1))
+            low = F.floor(pos).cast("int")
+            a = F.get(x, low)
+            b = F.get(x, F.least(low + 1, F.size(x) - 1))
+            return a + (pos - low) * (b - a)
 
-    return F.when(x.isNotNull() & (F.size(x) > 0), F.transform(F.sequence(F.lit(0), F.lit(n - 1)), at))
+        return F.when(x.isNotNull() & (F.size(x) > 0), F.transform(F.sequence(F.lit(0), F.lit(n - 1)), at))
+
+    return bound(x, whole)
 
 
 def dot(x: Column, y: Column) -> Column:

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from lumenfew.functions import arrays as A
 from lumenfew.operators.ordered import quantiles
 
 # -- row numbers ------------------------------------------------------------------------
@@ -247,8 +248,8 @@ def sheet_table(spark: SparkSession, path: str, number: int = 1) -> DataFrame:
     """``path, ordinal, fields``: a sheet whose first row names its columns, each row below as a map."""
     rows = sheet(spark, path, number)
     head = rows.groupBy("path").agg(F.min_by("cells", "ordinal").alias("head"), F.min("ordinal").alias("top"))
-    names = F.map_from_entries("head")
-    entries = F.transform("cells", lambda c: F.struct(F.element_at(names, c["column"]).alias("k"), c["text"].alias("v")))
+    # the map is made once a row, not once a cell
+    entries = A.bound(F.map_from_entries("head"), lambda names: F.transform("cells", lambda c: F.struct(F.element_at(names, c["column"]).alias("k"), c["text"].alias("v"))))
     body = rows.join(head, "path").where("ordinal > top")
     return body.select("path", (F.col("ordinal") - F.col("top") - 1).alias("ordinal"), F.map_from_entries(F.filter(entries, lambda e: e["k"].isNotNull())).alias("fields"), F.transform("head", lambda c: c["text"]).alias("names"))
 

@@ -325,7 +325,9 @@ def load_evoo(spark: SparkSession, root: str) -> DataFrame:
     rows = formats.sheet_table(spark, f"{base}.xlsx")
     cell = lambda name: F.element_at("fields", name)
     channels = F.filter("names", lambda n: F.regexp_replace(n, r"\.", "").rlike("^[0-9]+$"))
-    df = rows.select("ordinal", "fields", channels.alias("channels")).withColumn("spectrum", F.transform("channels", lambda n: F.element_at("fields", n).try_cast("double")))
+    # the row's map is made once, not once a channel
+    spectrum = A.bound(F.col("fields"), lambda own: F.transform("channels", lambda n: F.element_at(own, n).try_cast("double")))
+    df = rows.select("ordinal", "fields", channels.alias("channels")).withColumn("spectrum", spectrum)
     return _loaded(df, cell("sample_id"), {"adulteration_level": T.number(cell("adulteration_level"))}, F.transform("channels", lambda n: n.cast("double")), cell("sample_id"), cell("class_1"))
 
 

@@ -639,3 +639,10 @@ def test_nearest_mean_holds_no_rows_by_classes():
     assert (made.predict(x) == plain).all()
     assert tracemalloc.get_traced_memory()[1] < 4 * x.nbytes
     tracemalloc.stop()
+
+
+def test_resample_makes_its_array_once(spark):
+    ids = F.array(F.monotonically_increasing_id(), F.monotonically_increasing_id()).cast("array<double>")
+    got = spark.range(3).coalesce(1).select("id", A.resample(ids, 5).alias("y")).collect()
+    # an array that is made anew for each use counts on within a row
+    assert [(r.id, r.y) for r in got] == [(i, [float(i)] * 5) for i in range(3)]
